@@ -10,18 +10,39 @@ from hostlens.settings import (
     ARABIC_RANGE, DEFAULTS, ENGLISH_WORDS, FRENCH_WORDS, Settings,
 )
 
-_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# whitespace, ordered so that the common characters are decided by one table lookup
+_ASCII_BLANK = r"[\t-\r\x1c-\x20]"
+_BLANK = (
+    r"[\t-\r\x1c-\x20\x85\xa0]"
+    r"|(?=[ -　])[  -     　]"
+)
 _WORD = r"[\p{L}\p{N}_]"
+# letters with a third spelling under Unicode case folding
+_FOLDED = {"s": "sSſ", "k": "kKK"}
 LANGUAGES = ("arabic", "french", "english")
 
 
+def _letters(letter: str) -> str:
+    return _FOLDED.get(letter, letter + letter.upper())
+
+
 def _any_word(words: tuple[str, ...]) -> str:
-    # explicit word boundaries: \b differs between Java versions and engines
-    return rf"(?iu)(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?!{_WORD})"
+    """Whole words in any case.
+
+    Spelled with character classes and explicit boundaries: `\b` differs between
+    Java versions, and a first-letter test keeps most positions cheap.
+    """
+    first = "".join(sorted({_letters(word[0]) for word in words}))
+    spelled = "|".join("".join(f"[{_letters(c)}]" for c in word) for word in words)
+    return rf"(?=[{first}])(?<!{_WORD})(?:{spelled})(?!{_WORD})"
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
 
 
 def has_arabic(c: Column) -> Column:
-    return c.rlike(f"[{ARABIC_RANGE[0]}-{ARABIC_RANGE[1]}]")
+    return ~is_ascii(c) & c.rlike(f"[{ARABIC_RANGE[0]}-{ARABIC_RANGE[1]}]")
 
 
 def has_french(c: Column) -> Column:
@@ -34,7 +55,10 @@ def has_english(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of pieces between Unicode blanks."""
-    return F.size(F.array_remove(F.split(c, _BLANK), ""))
+    def pieces(blank: str) -> Column:
+        return F.size(F.array_remove(F.split(c, blank), ""))
+
+    return F.when(is_ascii(c), pieces(_ASCII_BLANK)).otherwise(pieces(_BLANK))
 
 
 def has_content(c: Column) -> Column:

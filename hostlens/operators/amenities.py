@@ -15,9 +15,8 @@ UNAVAILABLE = "Visual amenity detection unavailable; neutral score used"
 NEUTRAL = 50.0
 
 
-def amenity_key(item: Column) -> Column:
-    """Canonical key of a free-text amenity: two-way substring, first key wins."""
-    word = strip(F.lower(item))
+def amenity_key(word: Column) -> Column:
+    """Canonical key of a lower-case amenity: two-way substring, first key wins."""
     key = F.when(F.lit(False), F.lit(""))
     for name, aliases in AMENITY_ALIASES.items():
         hit = F.lit(False)
@@ -29,7 +28,9 @@ def amenity_key(item: Column) -> Column:
 
 def declared_keys(amenities: Column) -> Column:
     """Sorted distinct keys of a list of free-text amenities."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.transform(amenities, amenity_key))))
+    words = F.transform(amenities, lambda item: strip(F.lower(item)))
+    keys = F.transform(words, amenity_key)
+    return F.array_sort(F.array_distinct(F.array_compact(keys)))
 
 
 def with_detected(

@@ -31,6 +31,18 @@ def _lower_side(pairs: DataFrame, key: str) -> DataFrame:
     return moved.unionByName(kept).distinct()
 
 
+def _is_star_forest(stars: DataFrame, key: str) -> bool:
+    """Whether every node is either a centre or the leaf of one centre."""
+    ends = stars.select(key, F.inline(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("leaf")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("centre"), F.lit(1).alias("leaf")),
+    )))
+    nodes = ends.groupBy(key, "node").agg(
+        F.max("centre").alias("centre"), F.sum("leaf").alias("leaf")
+    )
+    return nodes.filter(F.col("centre") + F.col("leaf") > 1).isEmpty()
+
+
 def component_roots(edges: DataFrame, key: str) -> DataFrame:
     """(key, node, root) for every node that has an edge; root is the smallest node.
 
@@ -44,19 +56,8 @@ def component_roots(edges: DataFrame, key: str) -> DataFrame:
         ).filter("u <> v").distinct()
     )
 
-    def shape(df: DataFrame):
-        return df.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.bit_xor(F.xxhash64(key, "u", "v")).alias("x"),
-        ).first()
-
-    before = shape(stars)
-    while before["n"]:
+    while not _is_star_forest(stars, key):
         stars = cut(_lower_side(_toward_min(stars, key), key))
-        now = shape(stars)
-        if now == before:
-            break
-        before = now
     roots = stars.select(key, F.col("v").alias("node"), F.col("u").alias("root"))
     centres = stars.select(key, F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return roots.unionByName(centres)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.clean import strip
 from hostlens.functions.numeric import round_half_even
-from hostlens.operators.rooms import room_from_file_name
+from hostlens.operators.rooms import named_room, with_name_rule
 from hostlens.operators.validation import require_columns
 
 # --- fixed values: label spellings that mean "blurry" ---
@@ -51,7 +51,7 @@ def room_pairs(
         return rows.select(
             "truth", strip(predictor(F.col("path")).cast("string")).alias("predicted")
         )
-    named, _ = room_from_file_name(F.col("path"))
+    rows, named = with_name_rule(rows), named_room(F.col("_rule"))
     if predictions is None:
         return rows.select("truth", named.alias("predicted"))
     table = predictions.groupBy("path").agg(F.first("room").alias("room"))

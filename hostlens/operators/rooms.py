@@ -14,24 +14,33 @@ from hostlens.settings import (
 ALL_ROOMS = (1 << len(EXPECTED_ROOMS)) - 1
 
 
-def file_name_words(path: Column) -> Column:
-    name = F.lower(F.substring_index(path, "/", -1))
-    return F.translate(name, "_-", "  ")
-
-
-def room_from_file_name(path: Column) -> tuple[Column, Column]:
-    """(label, confidence) from keywords in the file name, first keyword wins."""
-    name = F.concat(F.lit(" "), file_name_words(path), F.lit(" "))
-    label = F.when(F.lit(False), F.lit(""))
-    confidence = F.when(F.lit(False), F.lit(0.0))
-    for keyword, room in ROOM_KEYWORDS:
-        label = label.when(name.contains(keyword), room)
-        confidence = confidence.when(name.contains(keyword), 0.5)
-    cover = name.contains("cover")
-    return (
-        label.when(cover, "exterior").otherwise("other"),
-        confidence.when(cover, 0.4).otherwise(0.2),
-    )
+# outcome of the file-name rule -> (room, confidence); the last two are the
+# "cover" hint and no hint at all
+_NAMED = (*((room, 0.5) for _, room in ROOM_KEYWORDS), ("exterior", 0.4), ("other", 0.2))
+
+
+def with_name_rule(photos: DataFrame, path: str = "path") -> DataFrame:
+    """Add `_rule`, the number of the first keyword found in the file name.
+
+    The cleaned name is its own projection: Spark then computes it once per row
+    instead of once per keyword.
+    """
+    name = F.translate(F.lower(F.substring_index(path, "/", -1)), "_-", "  ")
+    words = F.col("_words")
+    rule = F.when(F.lit(False), F.lit(0))
+    for i, (keyword, _) in enumerate(ROOM_KEYWORDS):
+        rule = rule.when(words.contains(keyword), i)
+    n = len(ROOM_KEYWORDS)
+    rule = rule.when(words.contains("cover"), n).otherwise(n + 1)
+    return photos.withColumn("_words", name).withColumn("_rule", rule).drop("_words")
+
+
+def named_room(rule: Column) -> Column:
+    return F.get(F.array(*[F.lit(room) for room, _ in _NAMED]), rule)
+
+
+def named_confidence(rule: Column) -> Column:
+    return F.get(F.array(*[F.lit(sure) for _, sure in _NAMED]), rule)
 
 
 def with_room(
@@ -44,10 +53,13 @@ def with_room(
     probability decides; rows without a usable embedding, and all rows without
     prompts, fall back to the file name.
     """
-    named, sure = room_from_file_name(F.col(path))
+    ruled = with_name_rule(photos, path)
+    named, sure = named_room(F.col("_rule")), named_confidence(F.col("_rule"))
     if embedding is None or prompts is None:
-        return photos.withColumn("room", named).withColumn("room_confidence", sure)
-    seen = photos.withColumn("_p", prompt_softmax(prompts)(F.col(embedding)))
+        return ruled.select(
+            *photos.columns, named.alias("room"), sure.alias("room_confidence")
+        )
+    seen = ruled.withColumn("_p", prompt_softmax(prompts)(F.col(embedding)))
     return seen.select(
         *photos.columns,
         F.coalesce(top_label(F.col("_p"), ROOM_LABELS), named).alias("room"),
