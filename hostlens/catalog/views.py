@@ -73,6 +73,93 @@ SELECT vec_id, embedding, label, 'photos/adv_' || CAST(vec_id % 20 AS STRING) ||
 FROM @embeddings
 """
 
+# uncleaned text cells of every spelling the loaders must handle
+V_RAW = f"""
+SELECT CASE doc_id % 23 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN NULL
+            WHEN 3 THEN ' lst_' || CAST(doc_id AS STRING) || ' '
+            ELSE 'lst_' || {_padded('doc_id')} END AS listing_id,
+       CASE doc_id % 5 WHEN 0 THEN 'stay' WHEN 1 THEN '' WHEN 2 THEN 'Stay' WHEN 3 THEN ' '
+            END AS vertical,
+       CASE doc_id % 13 WHEN 0 THEN '' WHEN 1 THEN 'N/A'
+            ELSE substr(split_part(text, chr(10), 1), 1, 60) END AS name,
+       text AS description,
+       CASE doc_id % 7 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' WHEN 2 THEN ' ' ELSE source END AS city,
+       CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN 'NA' WHEN 3 THEN '4'
+            WHEN 4 THEN '4.9' WHEN 5 THEN '-2.7' WHEN 6 THEN '1e1' WHEN 7 THEN NULL
+            ELSE ' 7 ' END AS capacity,
+       CASE doc_id % 6 WHEN 0 THEN '120.50' WHEN 1 THEN '' WHEN 2 THEN 'nan' WHEN 3 THEN '0'
+            WHEN 4 THEN ' 99 ' ELSE '1e3' END AS base_price,
+       CASE doc_id % 12 WHEN 0 THEN 'True' WHEN 1 THEN 'false' WHEN 2 THEN 'YES' WHEN 3 THEN 'no'
+            WHEN 4 THEN '1' WHEN 5 THEN '0' WHEN 6 THEN 'on' WHEN 7 THEN 'off' WHEN 8 THEN 'y'
+            WHEN 9 THEN ' N ' WHEN 10 THEN '' END AS instant_booking,
+       CASE doc_id % 8 WHEN 0 THEN '["Wi-Fi", "Kitchen"]' WHEN 1 THEN '[''Pool'', ''TV'']'
+            WHEN 2 THEN 'A | B |  | C' WHEN 3 THEN '' WHEN 5 THEN '[broken'
+            WHEN 6 THEN 'WiFi, Pool' WHEN 7 THEN '["spa", true, null, 3]' END AS amenities,
+       doc_id
+FROM @documents
+"""
+
+# uncleaned photo records
+V_RAW_PHOTOS = f"""
+SELECT CASE l_partkey % 29 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN NULL
+            ELSE ' adv_' || {_padded('l_orderkey % 500')} END AS entity_id,
+       CASE l_suppkey % 31 WHEN 0 THEN ' ' ELSE 'photos/' || CAST(l_orderkey AS STRING) || '_'
+            || CAST(l_partkey AS STRING) || '.jpg ' END AS file,
+       CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN '3.0'
+            ELSE CAST(l_linenumber AS STRING) END AS seq,
+       CASE WHEN l_linenumber = 1 THEN 'True' WHEN l_linenumber = 2 THEN '' ELSE 'False' END
+            AS is_cover,
+       CAST(l_quantity * 40 AS STRING) AS width, 'NA' AS height
+FROM @lineitem
+"""
+
+# labelled photos: the true room, sometimes wrong, against the file name
+V_LABELS = """
+SELECT file AS photo_file,
+       CASE WHEN l_suppkey % 7 = 0 THEN ' kitchen ' WHEN l_suppkey % 11 = 0 THEN 'sauna'
+            WHEN l_partkey % 10 IN (0) THEN 'bedroom' WHEN l_partkey % 10 IN (1, 8) THEN 'bathroom'
+            WHEN l_partkey % 10 = 2 THEN 'kitchen' WHEN l_partkey % 10 = 3 THEN 'living'
+            WHEN l_partkey % 10 IN (4, 7) THEN 'exterior' WHEN l_partkey % 10 = 5 THEN 'pool'
+            WHEN l_partkey % 10 = 6 THEN 'view' ELSE 'other' END AS label,
+       CASE l_suppkey % 5 WHEN 0 THEN 'Blurry' WHEN 1 THEN 'sharp' WHEN 2 THEN ' yes '
+            WHEN 3 THEN '0' END AS blur_label,
+       l_quantity * 2 AS rater1,
+       CASE WHEN l_suppkey % 9 <> 0 THEN l_discount * 1000 END AS rater2,
+       CASE WHEN l_suppkey % 13 <> 0 THEN l_quantity * 2 END AS avg_rating
+FROM v_photos
+"""
+
+# explanation cells, good and broken in every way the contract check must see
+V_CELLS = f"""
+SELECT CASE doc_id % 37 WHEN 0 THEN ' ' WHEN 1 THEN NULL WHEN 2 THEN 'lst_same'
+            ELSE 'lst_' || {_padded('doc_id')} END AS listing_id,
+       CASE doc_id % 41 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN -1e0 WHEN 2 THEN 101e0
+            WHEN 3 THEN CAST('Infinity' AS DOUBLE) ELSE doc_id % 100 * 1e0 END AS quality_score,
+       CASE doc_id % 43 WHEN 0 THEN CAST('Infinity' AS DOUBLE) WHEN 1 THEN -5e0
+            ELSE doc_id % 90 * 1e0 END AS photo_technical,
+       CASE doc_id % 47 WHEN 0 THEN CAST('NaN' AS DOUBLE) ELSE doc_id % 80 * 1e0 END
+            AS photo_aesthetic,
+       20e0 AS room_coverage, 50e0 AS amenity_check,
+       CASE doc_id % 53 WHEN 0 THEN 100.5e0 ELSE 60e0 END AS text_quality,
+       doc_id % 101 * 1e0 AS completeness,
+       'ok' AS photo_status, 'quality-v1' AS version, '1.0.0' AS quality_engine_version,
+       'quality-config-v1' AS config_version,
+       CASE doc_id % 19
+         WHEN 0 THEN 'not json'
+         WHEN 1 THEN '{{{{"positive":[NaN],"issues":[],"suggestions":[]}}}}'
+         WHEN 2 THEN '{{{{"positive":[],"issues":[],"suggestions":[]}}}} x'
+         WHEN 3 THEN '{{{{"positive":[],"issues":[]}}}}'
+         WHEN 4 THEN '{{{{"positive":"a","issues":[],"suggestions":[]}}}}'
+         WHEN 5 THEN '[1,2]' WHEN 6 THEN NULL WHEN 7 THEN ''
+         WHEN 8 THEN '{{{{"positive":[],"issues":[],"suggestions":[]}}}}{{{{}}}}'
+         WHEN 9 THEN '{{{{"positive":null,"issues":[],"suggestions":[]}}}}'
+         WHEN 10 THEN ' {{{{"suggestions":["a"],"issues":[{{{{"k":[1]}}}}],"positive":[],"n":-1.5e3}}}} '
+         ELSE '{{{{"positive":["' || source || '"],"issues":[],"suggestions":["b"]}}}}'
+       END AS explanation_json,
+       doc_id
+FROM @documents
+"""
+
 # a row order every engine can rebuild from the values themselves
 ROW_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
            "l_quantity")
@@ -91,7 +178,7 @@ def select(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def plain(sql: str) -> str:
     """The same SELECT for an engine that knows the tables by name."""
-    return sql.replace("@", "")
+    return sql.replace("@", "").replace("{{", "{").replace("}}", "}")
 
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,5 +205,25 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select(spark, sf_dir, V_RAW)
+
+
+def raw_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select(spark, sf_dir, V_RAW_PHOTOS)
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Room and blur labels and ratings, one row per photo."""
+    return spark.sql(
+        V_LABELS.replace("v_photos", "{photos}"), photos=select(spark, sf_dir, V_PHOTOS)
+    )
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feature table with defects."""
+    return select(spark, sf_dir, V_CELLS)
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select(spark, sf_dir, V_EMBEDDINGS)

@@ -67,6 +67,18 @@ def with_room(
     )
 
 
+def join_predictions(photos: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Photos with the room of a predictions table (`path, room, room_confidence`).
+
+    A photo without a prediction keeps null. The table is cut to one row per path
+    first, so a path predicted twice does not double its photo.
+    """
+    best = predictions.groupBy("path").agg(
+        F.max_by(F.struct("room", "room_confidence"), "room_confidence").alias("_best")
+    )
+    return photos.join(best, "path", "left").select(*photos.columns, "_best.*")
+
+
 def room_bit(s: Settings = DEFAULTS) -> Column:
     """Bit of the room a photo covers; 0 below the confidence or outside the list."""
     bit = F.when(F.lit(False), F.lit(0))

@@ -26,7 +26,13 @@ INLINE_FLAGS = 100_000
 # per-gallery values of a listing without photos
 _NO_GALLERY = {
     "photo_count": "bigint", "valid_count": "bigint", "blurry_count": "bigint",
-    "duplicate_groups": "bigint",
+    "low_resolution_count": "bigint", "duplicate_groups": "bigint",
+}
+_FLAGS = "array<struct<path:string,reason:string,width:int,height:int>>"
+_UNKNOWN = {
+    "avg_sharpness": "double", "avg_exposure": "double", "avg_resolution": "double",
+    "avg_aesthetic": "double", "room_mask": "int", "detected_mask": "int",
+    "bad_photos": _FLAGS,
 }
 
 
@@ -120,14 +126,22 @@ def gallery_rows(
 
 
 def score_rows(
-    listings: DataFrame, galleries: DataFrame, vision: Vision,
+    listings: DataFrame, galleries: DataFrame | None, vision: Vision = Vision(),
     calibrator: tuple[float, float] | None = None, s: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Join finished gallery rows to the listings and compute all components."""
-    keyed = listings.withColumn("gallery", matching.spread_key(
-        F.col("gallery"), F.col("listing_id")
-    ))
-    rows = keyed.join(galleries, "gallery", "left")
+    """Join finished gallery rows to the listings and compute all components.
+
+    Without galleries every listing counts as having no photos.
+    """
+    if galleries is None:
+        rows = listings.withColumns({
+            name: F.lit(None).cast(kind) for name, kind in {**_NO_GALLERY, **_UNKNOWN}.items()
+        })
+    else:
+        keyed = listings.withColumn("gallery", matching.spread_key(
+            F.col("gallery"), F.col("listing_id")
+        ))
+        rows = keyed.join(galleries, "gallery", "left")
     rows = rows.withColumns({
         name: F.coalesce(F.col(name), F.lit(0).cast(kind)) for name, kind in _NO_GALLERY.items()
     })
@@ -137,8 +151,7 @@ def score_rows(
         "photo_aesthetic": technical.aesthetic_score(calibrator),
         "photo_status": F.when(F.col("photo_count") > 0, "ok").otherwise("no_photos"),
         "bad_photos": F.coalesce(
-            "bad_photos",
-            F.array().cast("array<struct<path:string,reason:string,width:int,height:int>>"),
+            "bad_photos", F.array().cast(_FLAGS)
         ),
         **rooms.coverage_columns(),
     })
