@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.catalog import views
-from hostlens.catalog.registry import part, query
+from hostlens.catalog.registry import NUDGE, part, query
 from hostlens.catalog.sqltext import MISSING, strip
 from hostlens.functions import clean
 from hostlens.operators import calibration, evaluation, profiling
@@ -28,7 +28,8 @@ from hostlens.sources.images import existing_files, read_images
 
 
 def r6(c):
-    return F.round(c, 6)
+    """Six decimals; the nudge keeps sums that differ in the last bit on one side."""
+    return F.round(c + NUDGE, 6)
 
 
 def csv_copy(df: DataFrame, name: str) -> str:
@@ -81,7 +82,7 @@ _SQL_LIST = """CASE WHEN amenities IS NULL OR trim(amenities) = '' THEN []::VARC
   WHEN starts_with(amenities, '[') AND json_valid(amenities) THEN
     list_transform(CAST(CAST(amenities AS JSON) AS JSON[]), lambda j:
       CASE CAST(j AS VARCHAR) WHEN 'true' THEN 'True' WHEN 'false' THEN 'False'
-           WHEN 'null' THEN 'None' ELSE j ->> '$' END)
+           ELSE coalesce(j ->> '$', 'None') END)
   WHEN starts_with(amenities, '[''') THEN regexp_extract_all(amenities, '''([^'']*)''', 1)
   WHEN starts_with(amenities, '[') THEN [amenities]
   ELSE list_filter(list_transform(string_split(amenities, '|'), lambda x: trim(x)),
@@ -279,12 +280,12 @@ def _over(test: str) -> str:
 
 RANGE = "NOT isnan({0}) AND ({0} < 0 OR {0} > 100)"
 FINITE = "NOT isfinite({0})"
-VALID_JSON = r"""coalesce(json_valid(explanation_json)
-  AND NOT regexp_matches(explanation_json, '\bNaN\b')
-  AND json_type(explanation_json) = 'OBJECT'
+VALID_JSON = r"""coalesce(CASE WHEN json_valid(explanation_json)
+    AND NOT regexp_matches(explanation_json, '\bNaN\b') THEN
+  json_type(explanation_json) = 'OBJECT'
   AND json_type(explanation_json, '$.positive') = 'ARRAY'
   AND json_type(explanation_json, '$.issues') = 'ARRAY'
-  AND json_type(explanation_json, '$.suggestions') = 'ARRAY', false)"""
+  AND json_type(explanation_json, '$.suggestions') = 'ARRAY' END, false)"""
 part("contract_counts", f"""
 SELECT count(*) AS row_count,
   count(*) FILTER (id IS NULL OR id = '') AS listing_id_missing,

@@ -11,6 +11,10 @@ from hostlens.catalog.views import plain
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
+# added before rounding to six decimals, in Spark and in SQL: an exact tie would
+# otherwise round by the last bit of a sum, which depends on the order of rows
+NUDGE = 3.14159e-9
+
 RUNNERS: dict[str, Runner] = {}
 SQL: dict[str, str] = {}
 PARTS: dict[str, str] = {}
@@ -40,16 +44,20 @@ def _needed(sql: str, seen: dict[str, None]) -> None:
             seen[name] = None
 
 
+def _nudged(sql: str) -> str:
+    return sql.replace(", 6)", f" + {NUDGE}, 6)")
+
+
 def full_sql(key: str) -> str:
     """The SQL of a query with the named parts it uses, in order."""
-    sql = SQL[key]
+    sql = _nudged(SQL[key])
     used: dict[str, None] = {}
     _needed(sql, used)
     if not used:
         return sql
     clauses = []
     for name in used:
-        body = PARTS[name]
+        body = _nudged(PARTS[name])
         head = re.match(r"\s*\((.*?)\)\s*AS\s", body)
         columns = f"({head.group(1)})" if head else ""
         clauses.append(f"{name}{columns} AS ({body[head.end():] if head else body})")

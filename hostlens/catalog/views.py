@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def _padded(number: str) -> str:
-    return f"lpad(CAST({number} AS STRING), greatest(6, length(CAST({number} AS STRING))), '0')"
+    digits = f"CAST({number} AS STRING)"
+    return f"lpad({digits}, CAST(greatest(6, length({digits})) AS INT), '0')"
 
 
 # one listing per document, cells as typed values but the amenities as raw text
@@ -62,7 +63,8 @@ SELECT CASE WHEN l.g % 20 = 0 THEN 'misc'
          ((l.l_partkey % 97 * 2654435761 % 4294967296) * 4194304
           + (l.l_partkey % 97 * 40503 + 12345) * 69069 % 4194304) * 256
          + CAST(pow(2, l.l_linenumber) AS BIGINT) - 1 END AS phash,
-       l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice, l.l_quantity
+       l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice, l.l_quantity,
+       l.l_discount
 FROM (SELECT li.*, li.l_orderkey % (SELECT count(*) FROM @documents) AS g FROM @lineitem li) l
 """
 
