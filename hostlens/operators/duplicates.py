@@ -22,6 +22,7 @@ BUCKET_ROWS = 1024
 HASH_BITS = 64
 # split levels: as many as keep the table of bit masks short
 MOST_MASKS = 1500
+_BUCKET = ["gallery", "path", "bits"]
 
 
 def distinct_hashes(members: DataFrame) -> DataFrame:
@@ -136,59 +137,74 @@ def _block_edges(rows: DataFrame, sizes: DataFrame, keys: list[str],
     )
 
 
+def _sure_edges(hashes: DataFrame, threshold: int) -> DataFrame:
+    """Edges that one pass finds: same window of bits, or close to the hub."""
+    if threshold == 0:
+        return hashes.select(
+            "gallery", F.col("phash").alias("u"), F.col("phash").alias("v")
+        ).limit(0)
+    return _window_edges(hashes, threshold).unionByName(
+        _hub_edges(hashes, threshold)
+    ).distinct()
+
+
+def _split(rows: DataFrame, level: int, parts: int) -> DataFrame:
+    """Each row once per band: its bucket is the path of bands and their bits."""
+    children = F.array(*[
+        F.array(*[F.lit(_signed(mask)) for mask in group])
+        for group in _split_masks(level, parts)
+    ])
+    return rows.select(
+        "gallery", "phash", F.col("path").alias("up"),
+        F.posexplode(F.get(children, F.col("path"))).alias("band", "mask"),
+    ).select(
+        "gallery", "phash", (F.col("up") * parts + F.col("band")).alias("path"),
+        F.col("phash").bitwiseAND(F.col("mask")).alias("bits"),
+    )
+
+
+def _rooted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows with the root of their component under the edges found so far."""
+    roots = component_roots(edges, "gallery").withColumnRenamed("node", "phash")
+    return rows.join(roots, ["gallery", "phash"], "left").withColumn(
+        "root", F.coalesce("root", "phash")
+    )
+
+
+def _open_buckets(rooted: DataFrame) -> DataFrame:
+    """Sizes of the buckets whose members are not all connected yet."""
+    return rooted.groupBy(*_BUCKET).agg(
+        F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")
+    ).filter(F.col("low") != F.col("high")).select(*_BUCKET, "size")
+
+
 def _split_edges(hashes: DataFrame, threshold: int, limit: int) -> DataFrame:
-    """Edges of galleries that are too large for one bucket."""
-    sure = cut(
-        _window_edges(hashes, threshold).unionByName(_hub_edges(hashes, threshold)).distinct()
-        if threshold else hashes.select("gallery", F.col("phash").alias("u"),
-                                        F.col("phash").alias("v")).limit(0)
-    )
-    roots = component_roots(sure, "gallery").withColumnRenamed("node", "phash")
-    rows = hashes.join(roots, ["gallery", "phash"], "left").select(
-        "gallery", "phash", F.coalesce("root", "phash").alias("root")
-    )
-    rows = rows.withColumn("path", F.lit(0)).withColumn("bits", F.lit(0).cast("bigint"))
-    keys = ["gallery", "path", "bits"]
-    condition = _close(threshold) & (F.col("a.root") != F.col("b.root"))
-    found = [sure]
+    """Edges of galleries that are too large for one bucket.
+
+    Only pairs of different components are compared, so a dense cluster that
+    earlier edges connect drops out instead of being compared pair by pair.
+    """
+    parts = threshold + 1
     deepest = 1
-    while (threshold + 1) ** (deepest + 1) <= MOST_MASKS and deepest < 3:
+    while parts ** (deepest + 1) <= MOST_MASKS and deepest < 3:
         deepest += 1
+    unlinked = _close(threshold) & (F.col("a.root") != F.col("b.root"))
+    edges = cut(_sure_edges(hashes, threshold))
+    rows = hashes.select("gallery", "phash", F.lit(0).alias("path"))
     for level in range(1, deepest + 1):
-        children = F.array(*[
-            F.array(*[F.lit(_signed(mask)) for mask in group])
-            for group in _split_masks(level, threshold + 1)
-        ])
-        rows = (
-            rows.select(
-                "gallery", "phash", "root", F.col("path").alias("up"),
-                F.posexplode(F.get(children, F.col("path"))).alias("band", "mask"),
-            )
-            .withColumn("path", F.col("up") * (threshold + 1) + F.col("band"))
-            .withColumn("bits", F.col("phash").bitwiseAND(F.col("mask")))
-            .select("gallery", "phash", "root", "path", "bits")
-        )
-        # a bucket whose members are connected already needs no comparison
-        sizes = cut(
-            rows.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"),
-                 F.max("root").alias("high"))
-            .filter(F.col("low") != F.col("high")).select(*keys, "size")
-        )
+        rows = _split(rows, level, parts)
+        rooted = cut(_rooted(rows, edges))
+        sizes = cut(_open_buckets(rooted))
         small = sizes.filter(F.col("size") <= limit).drop("size")
-        large = sizes.filter(F.col("size") > limit)
-        checked = rows.join(broadcast_if_small(small), keys, "left_semi")
-        found.append(_edges_inside(checked, keys, condition))
+        large = sizes.filter(F.col("size") > limit).drop("size")
+        checked = rooted.join(broadcast_if_small(small), _BUCKET, "left_semi")
+        edges = cut(edges.unionByName(_edges_inside(checked, _BUCKET, unlinked)).distinct())
         if large.isEmpty():
-            break
-        if level == deepest:
-            found.append(_block_edges(rows, large, keys, condition, limit))
-        else:
-            rows = cut(rows.join(broadcast_if_small(large.drop("size")), keys, "left_semi"))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    return edges.distinct()
+            return edges
+        rows = rooted.join(broadcast_if_small(large), _BUCKET, "left_semi").drop("root")
+    rooted = cut(_rooted(rows, edges))
+    last = _block_edges(rooted, _open_buckets(rooted), _BUCKET, unlinked, limit)
+    return edges.unionByName(last).distinct()
 
 
 def near_edges(hashes: DataFrame, threshold: int, limit: int = BUCKET_ROWS) -> DataFrame:

@@ -103,7 +103,8 @@ def gallery_members(
         named = named.join(broadcast_if_small(wanted), "gallery", "left_semi")
     known = photos if records is None else records
     found = fallback_members(unmatched_galleries(wanted, known), photos)
-    return named if found is None else named.unionByName(found)
+    # written once: several aggregates read it, and finding it scans every path
+    return named if found is None else named.unionByName(cut(found, "fallback"))
 
 
 def with_entity_order(members: DataFrame, photos: DataFrame) -> DataFrame:
