@@ -13,8 +13,10 @@ def _sorted_rows(df: DataFrame, order: list[Column]) -> DataFrame:
 
     Writing fixes the partition borders for all readers. The order must end in a
     unique key: then range partitions stay balanced however many rows share the
-    leading columns.
+    leading columns. The input is written first, since a range sort reads it
+    twice: once to sample the borders, once to sort.
     """
+    df = cut(df, "unsorted")
     serial = F.monotonically_increasing_id()
     placed = df.orderBy(*order).withColumn("_serial", serial).select(
         "*",
