@@ -66,6 +66,7 @@ def technical_aggregates() -> list[Column]:
         F.count_if(valid).alias("valid_count"),
         F.count_if(F.col("is_blurry")).alias("blurry_count"),
         F.count_if(F.col("is_low_resolution")).alias("low_resolution_count"),
+        F.count_if(F.col("is_blurry") | F.col("is_low_resolution")).alias("flag_count"),
         F.avg(F.when(valid, F.col("sharpness"))).alias("avg_sharpness"),
         F.avg(F.when(valid, F.col("exposure_score"))).alias("avg_exposure"),
         F.avg(F.when(valid, F.col("resolution_score"))).alias("avg_resolution"),
@@ -120,17 +121,21 @@ def aesthetic_reasons(score: Column) -> Column:
     )
 
 
+def with_duplicate_groups(stats: DataFrame, duplicates: DataFrame | None) -> DataFrame:
+    """Join the cluster counts; a gallery without a valid photo has none."""
+    if duplicates is None:
+        return stats.withColumn("duplicate_groups", F.lit(0).cast("bigint"))
+    counted = F.when(F.col("valid_count") > 0, F.coalesce("duplicate_groups", F.lit(0)))
+    return stats.join(duplicates, "gallery", "left").withColumn(
+        "duplicate_groups", counted.otherwise(0).cast("bigint")
+    )
+
+
 def score_galleries(photos: DataFrame, duplicates: DataFrame | None = None,
                     s: Settings = DEFAULTS) -> DataFrame:
     """Technical and aesthetic results per gallery from scored photo rows."""
     stats = photos.groupBy("gallery").agg(*technical_aggregates())
-    if duplicates is None:
-        stats = stats.withColumn("duplicate_groups", F.lit(0).cast("bigint"))
-    else:
-        stats = stats.join(duplicates, "gallery", "left").withColumn(
-            "duplicate_groups", F.coalesce("duplicate_groups", F.lit(0).cast("bigint"))
-        )
-    return stats.select(
+    return with_duplicate_groups(stats, duplicates).select(
         "*", technical_score(s).alias("photo_technical"),
         technical_reasons().alias("technical_reasons"),
     )

@@ -86,8 +86,7 @@ def gallery_flags(members: DataFrame, stats: DataFrame, photos: DataFrame,
     Galleries with more flags than `inline` are left out before anything is
     collected; their rows are in the flag table.
     """
-    flagged = F.col("blurry_count") + F.col("low_resolution_count")
-    crowded = stats.filter(flagged > inline).select("gallery")
+    crowded = stats.filter(F.col("flag_count") > inline).select("gallery")
     flags = scoring.flagged_photos(members, s).join(
         broadcast_if_small(crowded), "gallery", "left_anti"
     )
@@ -115,11 +114,8 @@ def gallery_rows(
         *technical.technical_aggregates(), rooms.room_aggregate(s),
         amenities.amenity_aggregate(),
     ))
-    stats = counted.join(duplicate_groups(members, s.hash_threshold), "gallery", "left")
-    stats = stats.withColumn(
-        "duplicate_groups",
-        F.when(F.col("valid_count") > 0, F.coalesce("duplicate_groups", F.lit(0)))
-        .otherwise(0).cast("bigint"),
+    stats = technical.with_duplicate_groups(
+        counted, duplicate_groups(members, s.hash_threshold)
     )
     flags = gallery_flags(members, counted, photos, inline, s)
     return stats.join(flags, "gallery", "left")
