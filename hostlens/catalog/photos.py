@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.catalog import views
-from hostlens.catalog.inputs import inventory, r6, scored_photos
+from hostlens.catalog.inputs import inventory, r6
 from hostlens.catalog.registry import part, query
 from hostlens.catalog.sqltext import (
     aesthetic, amenity_case, clamp, exposure, joined, normal, quoted, resolution,
