@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import LOWER, UPPER
+from hostlens.llm.common import LOWER, UPPER, WORD, table
+from hostlens.llm.mixing import mix_plan
+from hostlens.llm.sharding import shard_documents
 from hostlens.llm.streaming_dedup import streaming_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +36,77 @@ FROM documents WINDOW g AS (PARTITION BY {AZ})
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming_dedup(spark, f"{sf_dir}/documents.parquet").select(
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+MIX = {"target_entropy": 0.97, "repetition_limit": 1.5, "seed": 17}
+_STEPS = "SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL"
+
+
+@query("op2_temperature_mixing", f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) + 1 AS tokens
+  FROM documents
+), sizes AS (
+  SELECT source, count(*) AS n, sum(tokens)::BIGINT AS t FROM rows GROUP BY source
+), shares AS (
+  SELECT list(t / (SELECT sum(t) FROM sizes)::DOUBLE) AS p, (max(t) / min(t))::DOUBLE AS steep
+  FROM sizes
+), e AS ({_STEPS}
+  SELECT step + 1,
+    CASE WHEN good THEN (low + high) / 2 ELSE low END,
+    CASE WHEN good THEN high ELSE (low + high) / 2 END
+  FROM (SELECT *,
+    ln(list_sum(list_transform(p, lambda x: pow(x, (low + high) / 2))))
+      - (low + high) / 2 * list_sum(list_transform(p, lambda x: pow(x, (low + high) / 2) * ln(x)))
+      / list_sum(list_transform(p, lambda x: pow(x, (low + high) / 2)))
+      >= {MIX["target_entropy"]} * ln(len(p)) AS good
+    FROM e, shares WHERE step < 40)
+), r AS ({_STEPS}
+  SELECT step + 1,
+    CASE WHEN often THEN (low + high) / 2 ELSE low END,
+    CASE WHEN often THEN high ELSE (low + high) / 2 END
+  FROM (SELECT *, pow(steep, 1 - (low + high) / 2) > {MIX["repetition_limit"]} AS often
+    FROM r, shares WHERE step < 40)
+), x AS (
+  SELECT greatest(
+    (SELECT CASE WHEN high = 1.0 THEN 1.0 ELSE floor(low * 1e6) / 1e6 END FROM e WHERE step = 40),
+    (SELECT least(1.0, ceil(high * 1e6) / 1e6) FROM r WHERE step = 40)) AS exponent
+), plan AS (
+  SELECT source, n, t, exponent, ceil(sqrt(n))::BIGINT AS blocks, greatest(t, round(
+    t * pow((SELECT max(t) FROM sizes)::DOUBLE / t, 1 - exponent))::BIGINT) AS budget_tokens
+  FROM sizes, x
+), slots AS (
+  SELECT r.doc_id, r.source, r.tokens, p.t, p.exponent, p.budget_tokens,
+    unnest(range(ceil(p.budget_tokens / p.t)::BIGINT)) AS epoch,
+    ('0x' || substr(md5(concat_ws(':', '{MIX["seed"]}', 'block', coalesce(
+      r.doc_id::VARCHAR, 'null'))), 1, 8))::BIGINT % p.blocks AS block
+  FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source
+), keyed AS (
+  SELECT *,
+    md5(concat_ws(':', '{MIX["seed"]}', epoch::VARCHAR, coalesce(source, 'null'), block::VARCHAR))
+      AS block_key,
+    md5(concat_ws(':', '{MIX["seed"]}', epoch::VARCHAR, coalesce(doc_id::VARCHAR, 'null')))
+      AS row_key
+  FROM slots
+), placed AS (
+  SELECT *, dense_rank() OVER (PARTITION BY source, epoch ORDER BY block_key, block) AS block_rank,
+    epoch * t + coalesce(sum(tokens) OVER (PARTITION BY source, epoch
+      ORDER BY block_key, block, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+      AS token_offset
+  FROM keyed
+)
+SELECT doc_id, source, epoch, block_rank, token_offset::BIGINT AS token_offset,
+       tokens AS n_tokens, exponent, budget_tokens
+FROM placed WHERE token_offset < budget_tokens
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, placed = mix_plan(table(spark, sf_dir, "documents"), **MIX)
+    return placed.select("doc_id", "source", "epoch", "block_rank", "token_offset", "n_tokens",
+                         "exponent", "budget_tokens")
+
+
+@query("op4_minimax_shards")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
