@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hostlens.llm.common import lower_az
-from hostlens.session import scratch_path
+from hostlens.session import cut, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # rows of one text that one task compares with the bytes of the row that stays
@@ -87,26 +87,24 @@ class StreamingDedup:
     def decisions(self) -> DataFrame:
         """(doc_id, keep_id, group_size, kept, digest) of every row taken in."""
         seen = self._keyed(self.spark.read.schema(self.schema).parquet(self.path))
-        state = self.state()
+        state = cut(self.state(), "dedup-state")
         joined = seen.drop("text").join(state, "digest")
         kept = F.col("locator") == F.col("keep_locator")
-        # full bytes of hits against the bytes of the row that stays, salted for large groups
-        salts = F.ceil(F.col("group_size") / ROWS_PER_SALT)
-        groups = state.filter("group_size > 1").withColumn("salts", salts)
-        hit_rows = seen.join(groups, "digest").withColumn(
-            "salt", F.pmod(F.xxhash64("locator"), "salts"))
-        keepers = (
-            seen.select("digest", F.col("locator").alias("keep_locator"),
-                        lower_az(F.col("text")).alias("keep_text"))
-            .join(groups.select("digest", "keep_locator", "salts"), ["digest", "keep_locator"])
-            .select("digest", "keep_text", F.explode(F.sequence(
+        # full bytes of hits against the bytes of the row that stays, salted for large groups;
+        # the texts of groups are written once, so all texts are shuffled once only
+        groups = state.filter("group_size > 1").withColumn(
+            "salts", F.ceil(F.col("group_size") / ROWS_PER_SALT))
+        hits = cut(seen.join(groups, "digest").select(
+            "doc_id", "digest", "locator", lower_az(F.col("text")).alias("bytes"), "salts",
+            (F.col("locator") == F.col("keep_locator")).alias("keeps")), "dedup-hits")
+        keepers = hits.filter("keeps").select(
+            "digest", F.col("bytes").alias("keep_bytes"), F.explode(F.sequence(
                 F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-        )
-        apart = (
-            hit_rows.join(keepers, ["digest", "salt"])
-            .filter(lower_az(F.col("text")) != F.col("keep_text"))
-            .select("doc_id", "locator", "digest", lower_az(F.col("text")).alias("bytes"))
-        )
+        apart = cut(
+            hits.withColumn("salt", F.pmod(F.xxhash64("locator"), "salts"))
+            .join(keepers, ["digest", "salt"])
+            .filter(F.col("bytes") != F.col("keep_bytes"))
+            .select("doc_id", "locator", "digest", "bytes"), "dedup-apart")
         own = apart.groupBy("digest", "bytes").agg(
             F.max(F.struct("doc_id", "locator")).alias("own"), F.count(F.lit(1)).alias("own_size"))
         regrouped = apart.join(own, ["digest", "bytes"]).select(
