@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from hostlens.llm.common import LOWER, UPPER, WORD, table
 from hostlens.llm.mixing import mix_plan
+from hostlens.llm.multiset_hash import edited_fingerprints
+from hostlens.llm.piece_codec import Vocabulary, decode_documents, encode_documents
 from hostlens.llm.sharding import shard_documents
 from hostlens.llm.streaming_dedup import streaming_dedup
 
@@ -110,3 +112,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def vocabulary() -> Vocabulary:
+    import public_tokenizers
+
+    return Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_piece_codec")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_documents(docs, model).select("doc_id", "ids")
+    return decode_documents(coded, model).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_multiset_hash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
