@@ -9,7 +9,12 @@ from pyspark.sql.types import StructType
 from hostlens.llm.common import lower_az
 from hostlens.session import cut, scratch_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # many small stores: no megabytes of disk set aside for each
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 # rows of one text that one task compares with the bytes of the row that stays
 ROWS_PER_SALT = 4096
 
@@ -67,14 +72,19 @@ class StreamingDedup:
             F.count(F.lit(1)).alias("group_size"),
         )
         conf = self.spark.conf
-        before = conf.get("spark.sql.streaming.stateStore.providerClass")
-        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        before = {key: conf.get(key, None) for key in STATE_STORE}
+        for key, value in STATE_STORE.items():
+            conf.set(key, value)
         try:
             (state.writeStream.format("noop").outputMode("update")
                 .option("checkpointLocation", self.state_path)
                 .trigger(availableNow=True).start().awaitTermination())
         finally:
-            conf.set("spark.sql.streaming.stateStore.providerClass", before)
+            for key, value in before.items():
+                if value is None:
+                    conf.unset(key)
+                else:
+                    conf.set(key, value)
 
     def state(self) -> DataFrame:
         """(digest, keeper id, keeper locator, rows): the keyed state as a table."""
