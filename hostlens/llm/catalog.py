@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.llm.common import LOWER, UPPER, WORD, table
+from hostlens.llm.link_trust import DAMPING, ITERATIONS, LINK, judge_urls
 from hostlens.llm.mixing import mix_plan
 from hostlens.llm.multiset_hash import edited_fingerprints
 from hostlens.llm.piece_codec import Vocabulary, decode_documents, encode_documents
@@ -134,3 +135,79 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_multiset_hash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+# fixed by the contract of the query
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def _rank_sql(name: str, edges: str, seeds: str) -> str:
+    """The same number of steps, one named SELECT for each."""
+    steps = [f"{name}_0 AS (SELECT host, seed AS rank FROM {seeds})"]
+    for k in range(ITERATIONS):
+        steps.append(f"""{name}_{k + 1} AS (SELECT host, sum(rank) AS rank FROM (
+          SELECT f.dst AS host, r.rank * f.share * {DAMPING} AS rank
+          FROM {edges} f JOIN {name}_{k} r ON f.src = r.host
+          UNION ALL SELECT host, seed * {1 - DAMPING} FROM {seeds}) GROUP BY host)""")
+    return ",\n".join(steps)
+
+
+_HOST = "regexp_extract({0}, '://([^/?#]*)', 1)"
+_LINK_SQL = LINK.removeprefix("(?i)").replace("'", "''")
+
+
+@query("op5_link_trust", f"""
+WITH u AS (
+  SELECT page_id, html, translate({_HOST.format("url")}, '{UPPER}', '{LOWER}') AS host,
+    regexp_extract(url, '://[^/?#]*(/[^?#]*)?', 1) AS path
+  FROM pages
+), rules(rule_host, rule_path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}
+), judged AS (
+  SELECT page_id, any_value(u.host) AS host, any_value(path) AS path,
+    arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(verdict, length(rule_host || rule_path)) AS rule_verdict
+  FROM u LEFT JOIN rules r
+    ON (u.host = rule_host OR u.host LIKE '%.' || rule_host) AND starts_with(path, rule_path)
+  GROUP BY page_id
+), links AS (
+  SELECT host AS src, unnest(regexp_extract_all(html, '{_LINK_SQL}', 1, 'i')) AS link FROM u
+), linked AS (
+  SELECT src, translate({_HOST.format("CASE WHEN link LIKE '//%' THEN ':' || link ELSE link END")},
+    '{UPPER}', '{LOWER}') AS dst
+  FROM links WHERE link LIKE '%//%'
+), parts AS (
+  SELECT DISTINCT string_split(host, '.') AS labels FROM u WHERE host <> ''
+), steps AS (
+  SELECT DISTINCT array_to_string(labels[k:], '.') AS child,
+    array_to_string(labels[k + 1:], '.') AS parent
+  FROM (SELECT labels, unnest(range(1, len(labels) - 1)) AS k FROM parts)
+), edges AS (
+  SELECT src, dst, sum(w)::DOUBLE AS weight FROM (
+    SELECT src, dst, 1 AS w FROM linked WHERE src <> '' AND dst <> '' AND src <> dst
+    UNION ALL SELECT child, parent, 1 FROM steps UNION ALL SELECT parent, child, 1 FROM steps)
+  GROUP BY src, dst
+), onward AS (
+  SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
+), backward AS (
+  SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS share FROM edges
+), good AS (
+  SELECT host, count(*) / (SELECT count(*) FROM judged WHERE rule_verdict = 'allow') AS seed
+  FROM judged WHERE rule_verdict = 'allow' GROUP BY host
+), bad AS (
+  SELECT host, count(*) / (SELECT count(*) FROM judged WHERE rule_verdict = 'block') AS seed
+  FROM judged WHERE rule_verdict = 'block' GROUP BY host
+), {_rank_sql("trust", "onward", "good")},
+{_rank_sql("distrust", "backward", "bad")}
+SELECT page_id, j.host, path, rule, coalesce(rule_verdict,
+    CASE WHEN round(coalesce(t.rank, 0) - coalesce(d.rank, 0), 12) < 0 THEN 'block'
+    ELSE 'allow' END) AS verdict,
+  round(coalesce(t.rank, 0), 9) AS trust, round(coalesce(d.rank, 0), 9) AS distrust
+FROM judged j LEFT JOIN trust_{ITERATIONS} t ON j.host = t.host
+LEFT JOIN distrust_{ITERATIONS} d ON j.host = d.host
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
