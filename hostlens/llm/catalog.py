@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.llm.common import LOWER, UPPER, WORD, table
+from hostlens.llm.cover_anchors import remove_repeats
 from hostlens.llm.link_trust import DAMPING, ITERATIONS, LINK, judge_urls
 from hostlens.llm.mixing import mix_plan
 from hostlens.llm.multiset_hash import edited_fingerprints
@@ -211,3 +212,26 @@ LEFT JOIN distrust_{ITERATIONS} d ON j.host = d.host
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op10_cover_anchors", f"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents
+), wins AS (
+  SELECT doc_id, unnest(range(1, len(words) - 11)) AS start, words FROM w WHERE len(words) >= 13
+), keyed AS (
+  SELECT doc_id, start, md5(array_to_string(words[start:start + 12], ' ')) AS k FROM wins
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 13)) AS pos
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) AS low FROM keyed) WHERE low < doc_id
+), gone AS (
+  SELECT doc_id, list(pos) AS pos FROM covered GROUP BY doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(pos), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_filter(words, lambda x, i:
+    pos IS NULL OR NOT list_contains(pos, i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone g ON w.doc_id = g.doc_id
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
