@@ -12,6 +12,7 @@ from hostlens.llm.cover_anchors import remove_repeats
 from hostlens.llm.link_trust import DAMPING, ITERATIONS, LINK, judge_urls
 from hostlens.llm.mixing import mix_plan
 from hostlens.llm.multiset_hash import edited_fingerprints
+from hostlens.llm.partenum import similar_components
 from hostlens.llm.piece_codec import Vocabulary, decode_documents, encode_documents
 from hostlens.llm.sharding import shard_documents
 from hostlens.llm.streaming_dedup import streaming_dedup
@@ -235,3 +236,30 @@ FROM w LEFT JOIN gone g ON w.doc_id = g.doc_id
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op3_partenum_join", f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({AZ}, '{WORD}') AS words FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5
+    THEN [hash(array_to_string(words, ' '))] ELSE list_distinct(list_transform(
+      range(1, len(words) - 3), lambda k: hash(array_to_string(words[k:k + 4], ' ')))) END AS grams
+  FROM w
+), e AS (SELECT doc_id, unnest(grams) AS gram FROM g
+), hits AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+  FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), linked AS (
+  SELECT a, b FROM hits JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = b
+  WHERE 100 * common >= 80 * (len(x.grams) + len(y.grams) - common)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a
+)
+SELECT g.doc_id, len(grams)::BIGINT AS n_shingles, low AS component_id
+FROM g JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON g.doc_id = r.a
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
