@@ -16,6 +16,7 @@ from hostlens.llm.partenum import similar_components
 from hostlens.llm.piece_codec import Vocabulary, decode_documents, encode_documents
 from hostlens.llm.sharding import shard_documents
 from hostlens.llm.streaming_dedup import streaming_dedup
+from hostlens.llm.template_lines import drop_recurring_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -263,3 +264,55 @@ FROM g JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON g.doc_id = r.a
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id")
+
+
+_LEAD = ("array_to_string(list_transform(string_split(line, ' ')[1:3], lambda t: "
+         "CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ')")
+
+
+@query("op7_template_lines", f"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents
+), led AS (
+  SELECT *, {_LEAD} AS lead, len(string_split(line, ' ')) AS n FROM l
+), h AS (
+  SELECT *, ('0x' || substr(md5(lead), 1, 15))::BIGINT AS h FROM led
+), f AS (
+  SELECT doc_id, list_sort(list_distinct(list(h))) AS f FROM h GROUP BY doc_id
+), lines AS (
+  SELECT h.doc_id, pos, line, n || ' ' || lead AS leaf,
+    CASE WHEN h.h = f[1] THEN coalesce(f[2], f[1]) ELSE f[1] END AS family
+  FROM h JOIN f ON h.doc_id = f.doc_id WHERE n >= 3
+), found AS (
+  SELECT * FROM lines WHERE leaf IN (
+    SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT family) >= 10)
+), tokens AS (
+  SELECT leaf, line, family, unnest(string_split(line, ' ')) AS token,
+    generate_subscripts(string_split(line, ' '), 1) AS i
+  FROM (SELECT DISTINCT leaf, line, family FROM found)
+), constants AS (
+  SELECT leaf, i, token FROM tokens WHERE NOT regexp_matches(token, '[0-9]')
+  GROUP BY leaf, i, token HAVING count(DISTINCT family) >= 10
+), parsed AS (
+  SELECT t.leaf, t.line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY t.i) AS template
+  FROM (SELECT DISTINCT leaf, line, i, token FROM tokens) t
+  LEFT JOIN constants c ON t.leaf = c.leaf AND t.i = c.i AND t.token = c.token
+  GROUP BY t.leaf, t.line HAVING count(c.token) >= 0.75 * count(*)
+), placed AS (
+  SELECT f.*, p.template FROM found f JOIN parsed p ON f.leaf = p.leaf AND f.line = p.line
+), gone AS (
+  SELECT doc_id, pos FROM placed WHERE template IN (
+    SELECT template FROM placed GROUP BY template HAVING count(DISTINCT family) >= 10)
+)
+SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, sha256(coalesce(
+  string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), ''))
+  AS kept_sha256
+FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_recurring_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
