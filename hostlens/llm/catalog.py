@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlens.llm.common import LOWER, UPPER, WORD, table
 from hostlens.llm.cover_anchors import remove_repeats
+from hostlens.llm.deobfuscation import fit_toxicity, score_toxicity
 from hostlens.llm.link_trust import DAMPING, ITERATIONS, LINK, judge_urls
 from hostlens.llm.mixing import mix_plan
 from hostlens.llm.multiset_hash import edited_fingerprints
@@ -316,3 +317,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(docs).select(
         "doc_id", "n_lines", "n_dropped",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def held_out(doc_id) -> Column:
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+@query("op6_deobfuscation")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    scored = score_toxicity(docs, fit_toxicity(docs, labels), out_col="score")
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
