@@ -16,7 +16,7 @@ from hostlens.llm.common import pieces
 SPACE = "▁"
 _RUNS = re.compile(f"({SPACE}*)([^{SPACE}]*)")
 # words and token pairs that a worker remembers; they only save time
-CACHE_WORDS, CACHE_PAIRS = 600_000, 2_000_000
+CACHE_WORDS, CACHE_PAIRS = 250_000, 250_000
 
 
 class Vocabulary:
@@ -266,14 +266,15 @@ class Decoder:
         return (text[1:] if self.fronted[first] else text).encode()
 
 
-_MADE: dict[int, tuple] = {}
+_MADE: dict[tuple, Encoder | Decoder] = {}
 
 
-def _tools(shared) -> tuple[Encoder, Decoder]:
+def _tool(kind, shared) -> Encoder | Decoder:
     """Built once in each worker."""
-    if shared.id not in _MADE:
-        _MADE[shared.id] = (Encoder(shared.value), Decoder(shared.value))
-    return _MADE[shared.id]
+    if (kind, shared.id) not in _MADE:
+        _MADE.clear()
+        _MADE[kind, shared.id] = kind(shared.value)
+    return _MADE[kind, shared.id]
 
 
 class _Shared:
@@ -301,7 +302,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "t
     schema = StructType([*kept, StructField(out_col, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _tools(shared)
+        encoder = _tool(Encoder, shared)
         for batch in pieces(batches, text_col):
             at = batch.schema.get_field_index(text_col)
             coded = [encoder.encode(t or "") for t in batch.column(at).to_pylist()]
@@ -324,7 +325,7 @@ def decode_documents(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "id
     schema = StructType([*kept, StructField(out_col, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, decoder = _tools(shared)
+        decoder = _tool(Decoder, shared)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
