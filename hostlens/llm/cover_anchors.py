@@ -17,114 +17,117 @@ WINDOW, PERIOD = 13, 7
 LAST_ID = (1 << 63) - 1  # null ids come after all others
 
 
-def _local(key: np.ndarray, doc: np.ndarray, salt: np.ndarray):
-    """Meet equal keys within a batch, before the shuffle.
-
-    Returns (key, other): rows of a key that several documents of the batch have keep
-    `other`, another document of the key (the smallest, at the smallest itself the
-    largest), and all but those of the smallest document get a key of their own. So a
-    key reaches the shuffle for one document per batch, however many of them have it.
-    """
+def _met(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, doc) of a batch, and the smallest and largest doc of each one's key."""
     order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    first = np.concatenate(([True], k[1:] != k[:-1]))
+    key, doc = key[order], doc[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+    key, doc = key[new], doc[new]
+    first = np.concatenate(([True], key[1:] != key[:-1]))
     start = np.flatnonzero(first)
     group = np.cumsum(first) - 1
-    low, high = d[start][group], d[np.append(start[1:], len(d)) - 1][group]
-    shared = low != high
-    other = np.full(len(key), -1, dtype=np.int64)
-    known = np.zeros(len(key), dtype=bool)
-    other[order] = np.where(d == low, high, low)
-    known[order] = shared
-    own = np.empty(len(key), dtype=bool)
-    own[order] = d != low
-    key = np.where(own, mix(key + mix(doc.astype(np.uint64) + mix(salt.astype(np.uint64)))), key)
-    return key, pa.array(other, mask=~known)
+    return key, doc, doc[start][group], doc[np.append(start[1:], len(doc)) - 1][group]
 
 
-def _anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
-    """(key, doc_id, other, at): hashes of the windows at cover positions of every text."""
+def _cover_keys(texts: pa.Array, window: int, period: int):
+    """(words, counts, positions, keys): hashes of the windows at cover positions, even."""
     size = window - period + 1
+    words, counts = word_hashes(texts, fold=False)
+    hashes = window_hashes(words, size)
+    at = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+    n = np.repeat(counts, counts)
     covered = np.isin(np.arange(period), COVERS[period])
+    good = np.flatnonzero(
+        (covered[at % period] & (at <= n - size) & (n >= window))[: len(hashes)])
+    return words, counts, good, hashes[good] & ~np.uint64(1)
+
+
+def _anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
+    """(key, doc_id) of the anchors of every text.
+
+    Where several documents of a batch have an anchor, only the smallest and the largest of
+    them keep its key. The others are known to be matched: they get an odd key of their
+    own, with the same lower half.
+    """
+    low = np.uint64(0xFFFFFFFF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            words, counts = word_hashes(batch.column(1), fold=False)
-            hashes = window_hashes(words, size)
-            at = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-            n = np.repeat(counts, counts)
-            good = covered[at % period] & (at <= n - size) & (n >= window)
-            good = np.flatnonzero(good[: len(hashes)])
+            _, counts, good, keys = _cover_keys(batch.column(1), window, period)
             if not len(good):
                 continue
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts)[good]
-            key, other = _local(hashes[good], ids, at[good])
+            key, doc, least, most = _met(keys, ids)
+            own = (mix(key + mix(doc.view(np.uint64))) & ~low) | (key & low) | np.uint64(1)
+            key = np.where((doc != least) & (doc != most), own, key)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids), other,
-                 pa.array(at[good].astype(np.int32))], names=["key", "doc_id", "other", "at"])
+                [pa.array(key.view(np.int64)), pa.array(doc)], names=["key", "doc_id"])
 
-    return docs.mapInArrow(run, "key bigint, doc_id bigint, other bigint, at int")
+    return docs.mapInArrow(run, "key bigint, doc_id bigint")
 
 
 def _windows(rows: DataFrame, window: int, period: int) -> DataFrame:
-    """(key, doc_id, other, text_hash, at): hashes of the windows around matched anchors."""
+    """(key, doc_id, via): hashes of the windows around matched anchors.
+
+    `via` is set for windows that a smaller document of the batch has, too; those need not
+    meet the others of their key.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            words, counts = word_hashes(batch.column(1), fold=False)
+            words, counts, good, keys = _cover_keys(batch.column(1), window, period)
             hashes = window_hashes(words, window)
-            base = np.cumsum(counts) - counts
-            lists = batch.column(3)
-            lengths = np.diff(lists.offsets.to_numpy())
-            marks = lists.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(counts)), lengths)
-            inside = marks < counts[owner]
-            at = base[owner[inside]] + marks[inside]
+            owner = np.repeat(np.arange(len(counts)), counts)
+            lists = batch.column(2)
+            marks = lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+            marked = np.repeat(np.arange(len(counts)), np.diff(lists.offsets.to_numpy()))
+            # a row's marks and anchors meet on (row, lower half of the key)
+            tag = np.uint64(32)
+            matched = np.isin((owner[good].astype(np.uint64) << tag) | (keys & np.uint64(0xFFFFFFFE)),
+                              (marked.astype(np.uint64) << tag) | (marks & np.uint64(0xFFFFFFFE)))
+            at = good[matched]
             wanted = np.zeros(len(words), dtype=bool)
             for back in range(period):
                 wanted[at[at >= back] - back] = True
-            place = np.arange(len(words)) - np.repeat(base, counts)
-            good = wanted & (place <= np.repeat(counts, counts) - window)
-            good = np.flatnonzero(good[: len(hashes)])
-            if not len(good):
+            place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
+            found = np.flatnonzero(
+                (wanted & (place <= np.repeat(counts, counts) - window))[: len(hashes)])
+            if not len(found):
                 continue
-            row = np.repeat(np.arange(len(counts)), counts)[good]
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[row]
-            key, other = _local(hashes[good], ids, place[good])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[owner[found]]
+            key, doc, least, _ = _met(hashes[found], ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids), other,
-                 batch.column(2).take(pa.array(row)), pa.array(place[good].astype(np.int32))],
-                names=["key", "doc_id", "other", "text_hash", "at"])
+                [pa.array(key.view(np.int64)), pa.array(doc),
+                 pa.array(mix(key + mix(doc.view(np.uint64))).view(np.int64), mask=doc == least)],
+                names=["key", "doc_id", "via"])
 
-    return rows.mapInArrow(
-        run, "key bigint, doc_id bigint, other bigint, text_hash bigint, at int")
+    return rows.mapInArrow(run, "key bigint, doc_id bigint, via bigint")
 
 
 def _kept(rows: DataFrame, window: int) -> DataFrame:
+    """What is left of each text without the windows whose hashes `repeats` lists."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             out, totals, removed = [], [], []
-            for raw, own, found in zip(batch.column(1).cast(pa.binary()).to_pylist(),
-                                       batch.column(2).to_pylist(), batch.column(3), strict=True):
-                words = (raw or b"").split()  # of bytes: at \x20 and \x09-\x0D
-                totals.append(len(words))
-                starts = np.zeros(0, dtype=np.int64)
-                if found.is_valid:
-                    starts = found.values.field("at").to_numpy()[
-                        found.values.field("text_hash").to_numpy() == own]
-                if not len(starts):
-                    removed.append(0)
-                    out.append(b" ".join(words))
-                    continue
-                edge = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
-                stays = np.cumsum(edge[:-1]) == 0
-                removed.append(int(len(words) - stays.sum()))
-                out.append(b" ".join([words[k] for k in np.flatnonzero(stays)]))
+            words, counts = word_hashes(batch.column(1), fold=False)
+            hashes = window_hashes(words, window).view(np.int64)
+            start = 0
+            for raw, found, n in zip(batch.column(1).cast(pa.binary()).to_pylist(),
+                                     batch.column(2), counts, strict=True):
+                own = raw.split()  # of bytes: at \x20 and \x09-\x0D
+                if found.is_valid and n >= window:
+                    starts = np.flatnonzero(np.isin(
+                        hashes[start: start + n - window + 1], found.values.to_numpy()))
+                    edge = np.zeros(n + 1, dtype=np.int64)
+                    edge[starts] += 1
+                    edge[starts + window] -= 1
+                    own = [own[k] for k in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+                start += n
+                totals.append(n)
+                removed.append(n - len(own))
+                out.append(b" ".join(own).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array([t.decode() for t in out], pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_text"])
+                 pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return rows.mapInArrow(
         run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
@@ -145,27 +148,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     shared anchor are never hashed. Hashes have 64 bits.
 
     Anchors and windows are met within each batch first, so that a passage in very many
-    documents is a few rows in the shuffle. Texts are shuffled once (the exchange by id
-    serves both joins). A null text has no words. Null ids come after all others and are
-    returned as null. Rows of equal id do not remove each other's words.
+    documents is a few rows in the shuffle. Only hashes and ids are shuffled, and texts
+    once (the exchange by id serves both joins); positions are found again from the hashes.
+    A null text has no words. Null ids come after all others and are returned as null. Rows
+    of equal id do not remove each other's words.
     """
     texts = docs.select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("bigint").alias("doc_id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     by_key = Window.partitionBy("key")
-    lowest = F.min(F.least("doc_id", "other")).over(by_key)
-    highest = F.max(F.greatest("doc_id", "other")).over(by_key)
     matched = (
-        _anchors(texts, window, period).withColumn("low", lowest).withColumn("high", highest)
-        .filter("low <> high")
+        _anchors(texts, window, period)
+        .withColumn("low", F.min("doc_id").over(by_key))
+        .withColumn("high", F.max("doc_id").over(by_key))
+        .filter("low <> high or key % 2 <> 0")
         # as many as the text has, at most
-        .groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
+        .groupBy("doc_id").agg(F.collect_list(
+            F.expr("cast(shiftright(shiftleft(key, 32), 32) as int)")).alias("anchors"))
     )
-    own_hash = F.xxhash64("text").alias("text_hash")
-    around = texts.join(matched, "doc_id").select("doc_id", "text", own_hash, "anchors")
+    around = texts.join(matched, "doc_id").select("doc_id", "text", "anchors")
+    own = Window.partitionBy(F.coalesce("via", "key"))
     repeats = (
-        _windows(around, window, period).withColumn("low", lowest).filter("low < doc_id")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "at")).alias("repeats"))
+        _windows(around, window, period).withColumn("low", F.min("doc_id").over(own))
+        .filter("via is not null or low < doc_id")
+        .groupBy("doc_id").agg(F.collect_list("key").alias("repeats"))
     )
-    rows = texts.join(repeats, "doc_id", "left").select("doc_id", "text", own_hash, "repeats")
+    rows = texts.join(repeats, "doc_id", "left").select("doc_id", "text", "repeats")
     return _kept(rows, window).withColumn(
         "doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
