@@ -281,11 +281,15 @@ WITH l AS (
 ), h AS (
   SELECT *, ('0x' || substr(md5(lead), 1, 15))::BIGINT AS h FROM led
 ), f AS (
-  SELECT doc_id, list_sort(list_distinct(list(h))) AS f FROM h GROUP BY doc_id
+  SELECT doc_id, arg_min(h, -ln((h + 1) / 1152921504606846976.0) / (length(line) + 1)) AS f1
+  FROM h GROUP BY doc_id
+), f2 AS (
+  SELECT doc_id, arg_min(h, -ln((h + 1) / 1152921504606846976.0) / (length(line) + 1)) AS f2
+  FROM h JOIN f USING (doc_id) WHERE h <> f1 GROUP BY doc_id
 ), lines AS (
   SELECT h.doc_id, pos, line, n || ' ' || lead AS leaf,
-    CASE WHEN h.h = f[1] THEN coalesce(f[2], f[1]) ELSE f[1] END AS family
-  FROM h JOIN f ON h.doc_id = f.doc_id WHERE n >= 3
+    CASE WHEN h.h = f1 THEN coalesce(f2, f1) ELSE f1 END AS family
+  FROM h JOIN f ON h.doc_id = f.doc_id LEFT JOIN f2 ON h.doc_id = f2.doc_id WHERE n >= 3
 ), found AS (
   SELECT * FROM lines WHERE leaf IN (
     SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT family) >= 10)

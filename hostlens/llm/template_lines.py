@@ -32,8 +32,9 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A leaf of the tree is a number of tokens (pieces between blanks) and the first LEAD of
     them, with fields masked. The family of a line stands for the rest of its document: the
-    smallest hash of the leading tokens of the document's other lines. Copies and near
-    copies of a document mostly share it, so they don't make their lines recur.
+    leading tokens of one of its other lines, drawn by hash with a chance in proportion to
+    the length of the line. Copies and near copies of a document mostly draw the same, so
+    they don't make their lines recur; a block of short recurring lines is rarely drawn.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -41,7 +42,12 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.split(text, "\n").alias("lines"))
     rows = rows.withColumn("leads", F.transform("lines", _lead)).withColumn(
         "hashes", F.transform("leads", _hash))
-    rows = rows.withColumn("f", F.slice(F.array_sort(F.array_distinct("hashes")), 1, 2))
+    drawn = F.array_sort(F.zip_with("lines", "hashes", lambda line, h: F.struct(
+        (-F.ln((h + 1) / F.lit(float(1 << 60))) / (F.length(line) + 1)).alias("turn"),
+        h.alias("h"))))
+    first = F.element_at("drawn", 1)["h"]
+    rows = rows.withColumn("drawn", drawn).withColumn("f", F.array(first, F.coalesce(F.get(
+        F.filter("drawn", lambda d: d["h"] != first), F.lit(0))["h"], first)))
     each = rows.select("doc_id", "text_hash", "f", F.posexplode(
         F.arrays_zip("lines", "leads", "hashes")).alias("at", "l"))
     line = F.col("l.lines")
@@ -49,8 +55,8 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return each.filter(tokens >= LEAST_TOKENS).select(
         "doc_id", "text_hash", "at", line.alias("line"),
         F.concat_ws(" ", tokens.cast("string"), F.col("l.leads")).alias("leaf"),
-        F.when(F.col("l.hashes") == F.col("f")[0], F.coalesce(F.get("f", F.lit(1)), F.col("f")[0]))
-        .otherwise(F.col("f")[0]).alias("family"))
+        F.when(F.col("l.hashes") == F.col("f")[0], F.col("f")[1]).otherwise(F.col("f")[0])
+        .alias("family"))
 
 
 def recurring_lines(docs: DataFrame, least: int = LEAST_FAMILIES, id_col: str = "doc_id",
