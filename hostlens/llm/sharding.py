@@ -21,7 +21,7 @@ class _Sums:
     """
 
     def __init__(self, bins: list[tuple[int, int]]) -> None:
-        self.bins = sorted(set(bins))
+        self.bins = sorted(bins)
         self.low = [b[0] for b in self.bins]
 
     def reach(self, x: int) -> tuple[int, int]:
@@ -48,81 +48,69 @@ def minimax_cuts(groups: DataFrame, shards: int, total: int, largest: int) -> tu
     `groups` has `end_bytes`, the running sum of the ordered sizes. The capacity is found by
     binary search; greedy filling checks each. Both run on binned running sums, at most a
     few thousand numbers on the driver, which bound each shard's end from both sides. Where
-    the bounds leave a capacity open, the next pass bins only the ends that matter, finer,
-    until every bin that decides holds one end.
+    the bounds leave a capacity open, the next pass has finer bins around the ends that
+    matter, until every bin that decides holds one end.
     """
     if not total:
         return 0, [0] * shards
     lower = max(largest, -(-total // shards)) - 1  # not feasible, or one less than the bound
     upper = -(-total // shards) + largest  # feasible
-    windows = [(-1, 0, total)]
-    bins_each, known = FIRST_BINS, []
+    windows, bins_each, finer = [(0, total)], FIRST_BINS, BINS
     while True:
-        ranges = F.array(*[
-            F.struct(F.lit(k).alias("k"), F.lit(left).cast("bigint").alias("left"),
-                     F.lit(start).cast("bigint").alias("start"),
-                     F.lit(stop).cast("bigint").alias("stop"),
-                     F.lit(max(1, -(-(stop - start) // bins_each))).cast("bigint").alias("width"))
-            for k, (left, start, stop) in enumerate(windows)])
-        end = F.col("end_bytes")
-        near = None
-        for left, _, stop in windows:
-            inside = (end > left) & (end <= stop)
-            near = inside if near is None else near | inside
-        rows = (
-            groups.filter(near).select("end_bytes", F.explode(F.filter(
-                ranges, lambda w: (end > w["left"]) & (end <= w["stop"]))).alias("w"))
-            .withColumn("bin", F.when(end <= F.col("w.start"), F.lit(-1)).otherwise(
-                F.floor((end - F.col("w.start") - 1) / F.col("w.width"))))
-            .groupBy("w.k", "bin").agg(F.min("end_bytes").alias("low"),
-                                       F.max("end_bytes").alias("high"))
-            .collect())
-        # below a window only the largest end counts
-        fresh = [(r["high"] if r["bin"] < 0 else r["low"], r["high"]) for r in rows]
-        covered = [(w[1], w[2]) for w in windows]
-        known = [b for b in known
-                 if not any(a < b[0] and b[1] <= z for a, z in covered)] + fresh
-        known = _disjoint(known)
-        sums = _Sums(known)
+        sums = _Sums(_binned(groups, windows, bins_each, total))
+
+        def search(side: int, low: int, high: int) -> tuple[int, int]:
+            while high - low > 1:
+                middle = (low + high) // 2
+                if _walk(sums, middle, shards, total)[-1][side] < total:
+                    low = middle
+                else:
+                    high = middle
+            return low, high
+
         # the largest capacity that surely fails, the smallest that surely holds
-        low, high = lower, upper
-        while high - low > 1:
-            middle = (low + high) // 2
-            if _walk(sums, middle, shards, total)[-1][1] < total:
-                low = middle
-            else:
-                high = middle
-        lower = low
-        low, high = lower, upper
-        while high - low > 1:
-            middle = (low + high) // 2
-            if _walk(sums, middle, shards, total)[-1][0] >= total:
-                high = middle
-            else:
-                low = middle
-        upper = high
+        lower, _ = search(1, lower, upper)
+        _, upper = search(0, lower, upper)
         ends = _walk(sums, upper, shards, total)
         if upper - lower == 1 and all(a == b for a, b in ends):
             return upper, [a for a, _ in ends]
-        first, last = _walk(sums, lower, shards, total), ends
-        windows, bins_each = [], BINS
-        a, b = 0, 0
-        for k in range(shards):
-            start = min(total, a + lower)
-            stop = min(total, b + upper)
-            windows.append((max(-1, start - largest - 1), start, max(start, stop)))
-            a, b = first[k][0], last[k][1]
-
-
-def _disjoint(bins: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of overlapping bins the narrower ones."""
-    kept: list[tuple[int, int]] = []
-    for low, high in sorted(set(bins), key=lambda b: (b[1] - b[0], b)):
-        at = bisect.bisect_right(kept, (low, high))
-        if at and kept[at - 1][1] >= low or at < len(kept) and kept[at][0] <= high:
-            continue
-        kept.insert(at, (low, high))
-    return kept
+        first = _walk(sums, lower, shards, total)
+        starts = [0, *(low for low, _ in first[:-1])]
+        stops = [0, *(high for _, high in ends[:-1])]
+        windows = [(min(total, a + lower), min(total, b + upper))
+                   for a, b in zip(starts, stops, strict=True)]
+        # each pass looks closer, whether or not the last one settled anything
+        bins_each, finer = finer, 2 * finer
+
+
+def _binned(groups: DataFrame, windows: list[tuple[int, int]], bins_each: int,
+            total: int) -> list[tuple[int, int]]:
+    """(smallest, largest) end of each bin: fine bins inside the windows, one for each gap."""
+    merged: list[list[int]] = []
+    for start, stop in sorted(windows):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], stop)
+            merged[-1][2] += bins_each
+        else:
+            merged.append([start, stop, bins_each])
+    parts, at = [], 0  # (start, width of its bins); a part reaches to the next one's start
+    for start, stop, bins in merged:
+        if start > at:
+            parts.append((at, max(1, start - at)))
+        parts.append((start, max(1, -(-(stop - start) // bins))))
+        at = stop
+    if at < total:
+        parts.append((at, total - at))
+    end, part = F.col("end_bytes"), F.lit(0)
+    for start, _ in parts[1:]:
+        part = part + (end > F.lit(start).cast("bigint")).cast("int")
+    starts, widths = (F.array(*[F.lit(p[k]).cast("bigint") for p in parts]) for k in (0, 1))
+    rows = (
+        groups.select("end_bytes", part.alias("part"))
+        .withColumn("bin", F.floor((end - starts[F.col("part")] - 1) / widths[F.col("part")]))
+        .groupBy("part", "bin").agg(F.min(end).alias("low"), F.max(end).alias("high"))
+        .collect())
+    return [(r["low"], r["high"]) for r in rows]
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
