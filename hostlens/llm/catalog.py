@@ -287,12 +287,13 @@ WITH l AS (
   SELECT doc_id, arg_min(h, -ln((h + 1) / 1152921504606846976.0) / (length(line) + 1)) AS f2
   FROM h JOIN f USING (doc_id) WHERE h <> f1 GROUP BY doc_id
 ), lines AS (
-  SELECT h.doc_id, pos, line, n || ' ' || lead AS leaf,
+  SELECT h.doc_id, h.text, pos, line, n || ' ' || lead AS leaf,
     CASE WHEN h.h = f1 THEN coalesce(f2, f1) ELSE f1 END AS family
   FROM h JOIN f ON h.doc_id = f.doc_id LEFT JOIN f2 ON h.doc_id = f2.doc_id WHERE n >= 3
 ), found AS (
   SELECT * FROM lines WHERE leaf IN (
-    SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT family) >= 10)
+    SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT family) >= 10
+      AND count(DISTINCT family) >= 0.25 * count(DISTINCT text))
 ), tokens AS (
   SELECT leaf, line, family, unnest(string_split(line, ' ')) AS token,
     generate_subscripts(string_split(line, ' '), 1) AS i
@@ -309,7 +310,8 @@ WITH l AS (
   SELECT f.*, p.template FROM found f JOIN parsed p ON f.leaf = p.leaf AND f.line = p.line
 ), gone AS (
   SELECT doc_id, pos FROM placed WHERE template IN (
-    SELECT template FROM placed GROUP BY template HAVING count(DISTINCT family) >= 10)
+    SELECT template FROM placed GROUP BY template HAVING count(DISTINCT family) >= 10
+      AND count(DISTINCT family) >= 0.25 * count(DISTINCT text))
 )
 SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, sha256(coalesce(
   string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), ''))

@@ -10,6 +10,8 @@ from hostlens.session import cut
 LEAD = 3  # depth of the tree below the token count: leading tokens
 LEAST_TOKENS = 3
 LEAST_FAMILIES = 10
+# unrelated documents have as many families as texts; near copies, however many, have few
+FAMILIES_PER_TEXT = 0.25
 SIMILAR = 0.75  # share of a template's tokens that must be constant
 FIELD = "<*>"
 
@@ -59,19 +61,28 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .alias("family"))
 
 
+def _recurring(lines: DataFrame, key: str, least: int) -> DataFrame:
+    """Keys that enough families have, also in proportion to the distinct texts with them."""
+    seen = lines.groupBy(key).agg(F.countDistinct("family").alias("families"),
+                                  F.countDistinct("text_hash").alias("texts"))
+    return seen.filter((F.col("families") >= least) & (
+        F.col("families") >= FAMILIES_PER_TEXT * F.col("texts"))).select(key)
+
+
 def recurring_lines(docs: DataFrame, least: int = LEAST_FAMILIES, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, at, template) of every line whose template recurs.
 
-    Only leaves with at least `least` families are parsed further. There a token is
+    A leaf or template recurs if `least` families have it, and a quarter as many families
+    as distinct texts. Only such leaves are parsed further. There a token is
     constant at its place if `least` families have it there; other tokens, and those with
-    digits, are fields. A line's template is its constants and fields. A template with a
-    share of SIMILAR constants that `least` families have recurs.
+    digits, are fields. A line's template is its constants and fields; it counts if a share of
+    SIMILAR is constant.
     """
     lines = split_lines(docs, id_col, text_col)
-    leaves = cut(lines.groupBy("leaf").agg(F.countDistinct("family").alias("n"))
-                 .filter(F.col("n") >= least).select("leaf"), "template-leaves")
-    found = cut(lines.join(leaves, "leaf"), "template-lines")
+    leaves = cut(_recurring(lines, "leaf", least), "template-leaves")
+    # always by shuffle: both sides grow with the input
+    found = cut(lines.hint("merge").join(leaves, "leaf"), "template-lines")
     kinds = found.select("leaf", "line", "family").distinct()
     tokens = kinds.select("leaf", "family", F.posexplode(F.split("line", " ")).alias("i", "token"))
     constants = (
@@ -91,9 +102,7 @@ def recurring_lines(docs: DataFrame, least: int = LEAST_FAMILIES, id_col: str =
         .select("leaf", "line", F.array_join("t.t", " ").alias("template"))
     )
     placed = cut(found.join(parsed, ["leaf", "line"]), "template-parsed")
-    recurs = placed.groupBy("template").agg(F.countDistinct("family").alias("n")).filter(
-        F.col("n") >= least).select("template")
-    return placed.join(recurs, "template").select("doc_id", "text_hash", "at", "template")
+    return placed.join(_recurring(placed, "template", least), "template").select("doc_id", "text_hash", "at", "template")
 
 
 def drop_recurring_lines(docs: DataFrame, least: int = LEAST_FAMILIES, id_col: str = "doc_id",
@@ -109,7 +118,7 @@ def drop_recurring_lines(docs: DataFrame, least: int = LEAST_FAMILIES, id_col: s
         "_id", "_hash").agg(F.collect_set("at").alias("_gone"))  # no more than a text has lines
     own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     kept = [name for name in docs.columns if name not in ("n_lines", "n_dropped")]
-    rows = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (own == gone["_hash"]), "left")
+    rows = docs.hint("merge").join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (own == gone["_hash"]), "left")
     lines = F.split(F.col(text_col), "\n")
     left = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(
         F.filter(lines, lambda line, at: ~F.array_contains(F.col("_gone"), at)), "\n"))
