@@ -17,9 +17,10 @@ SHINGLE = 5
 # links: 100 * |A n B| >= 80 * |A u B|, so |A| + |B| >= 9 times the number of differences
 PERCENT = 80
 BAND = 1.5  # largest to smallest set size of a band
-SPARE = 1.2  # partitions of a band, to those that similar sets may disagree in
-# a shingle in this share of the documents of a batch or more is taken for common
-COMMON_SHARE, COMMON_LEAST = 0.01, 3
+SPARE = 2.0  # partitions of a band, to those that similar sets may disagree in
+# a shingle is taken for common if batches in which so many documents have it hold this
+# share of all documents' occurrences
+COMMON_SHARE, COMMON_LEAST = 0.0005, 2
 
 
 def band_starts(most: int) -> np.ndarray:
@@ -143,17 +144,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles in about a hundredth of all documents or more, ascending.
+    """Shingles that many documents have, ascending.
 
-    Each batch reports those that are in so many of its own documents; of the reports, those
-    stay whose documents are half that share of all. There can be no more than 200 times the
-    mean set size, however large the table is.
+    Each batch reports those that COMMON_LEAST of its documents have; of the reports, those
+    stay whose documents are a share of COMMON_SHARE of all. There can be no more than
+    1 / COMMON_SHARE times the mean set size, however large the table is.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes, _ = shingle_sets(batch.column(1))
             found, n = np.unique(hashes, return_counts=True)
-            often = n >= max(COMMON_LEAST, COMMON_SHARE * batch.num_rows)
+            often = n >= COMMON_LEAST
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(found[often].view(np.int64), 0)),
                  pa.array(np.append(n[often], batch.num_rows).astype(np.int64)),
@@ -163,7 +164,7 @@ def _common(docs: DataFrame) -> np.ndarray:
     seen = docs.mapInArrow(run, "shingle bigint, n bigint, real boolean")
     counts = cut(seen.groupBy("real", "shingle").agg(F.sum("n").alias("n")), "common-shingles")
     rows = counts.filter("not real").agg(F.sum("n")).first()[0] or 0
-    found = counts.filter("real").filter(F.col("n") >= COMMON_SHARE / 2 * rows).select("shingle")
+    found = counts.filter("real").filter(F.col("n") >= COMMON_SHARE * rows).select("shingle")
     return np.sort(np.array([r[0] for r in found.collect()], dtype=np.int64).view(np.uint64))
 
 
@@ -237,7 +238,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id",
 
     Rows of equal shingle sets form a class, which is compared once. Classes that share a
     signature are candidates. In each signature's bucket, leaders (one in the first round,
-    then 2, 4, ...) are compared with all members that are not yet in the leader's
+    then up to 8, 64, ...) are compared with all members that are not yet in the leader's
     component, and leave; buckets go on until all their members are in one component or have
     led. So every candidate pair is either compared or already connected: no link is lost,
     and a bucket of near copies takes one round instead of all its pairs.
@@ -288,7 +289,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id",
             roots = cut(component_roots(edges, "key").select("node", "root"), "roots")
             edges = roots.filter("node <> root").select(
                 F.lit(0).alias("key"), F.col("root").alias("u"), F.col("node").alias("v"))
-        turn *= 2
+        turn *= 8
     if roots is None:
         named = classes.select("set_id", "set_check", F.col("least").alias("component_id"))
     else:
