@@ -255,7 +255,9 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
     rows += [(1000, near, "b"), (1001, near + " end", "b"), (1002, near, "b"), (1003, None, "c"),
              (1004, "", None), (1005, "i-d-i-o-t", "c")]
     boiler = "All rights of this text are reserved"
-    rows += [(2000 + i, f"{prose(random.Random(i), 20)}\n{boiler}\n{prose(random.Random(-i), 9)}", "d")
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits would be fields
+    rows += [(2000 + i, "\n".join([prose(random.Random(i), 40, 5000).translate(letters), boiler,
+                                   prose(random.Random(-i), 30, 5000).translate(letters)]), "d")
              for i in range(1, 30)]
     folder = str(tmp_path)
     spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows],
