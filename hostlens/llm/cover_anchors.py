@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,13 @@ def _anchors(docs: DataFrame, window: int, period: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, doc_id bigint")
 
 
+def _are_copies(batch: pa.RecordBatch, column: int) -> list[bool]:
+    """Whether the digest of each text is listed in its row as that of a copy."""
+    listed = batch.column(column).to_pylist()
+    return [bool(own) and hashlib.md5(raw).hexdigest() in own for raw, own in zip(
+        batch.column(1).cast(pa.binary()).to_pylist(), listed, strict=True)]
+
+
 def _windows(rows: DataFrame, window: int, period: int) -> DataFrame:
     """(key, doc_id, via): hashes of the windows around matched anchors.
 
@@ -74,6 +82,7 @@ def _windows(rows: DataFrame, window: int, period: int) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
+            batch = batch.filter(pa.array([not c for c in _are_copies(batch, 3)]))
             words, counts, good, keys = _cover_keys(batch.column(1), window, period)
             hashes = window_hashes(words, window)
             owner = np.repeat(np.arange(len(counts)), counts)
@@ -111,10 +120,13 @@ def _kept(rows: DataFrame, window: int) -> DataFrame:
             words, counts = word_hashes(batch.column(1), fold=False)
             hashes = window_hashes(words, window).view(np.int64)
             start = 0
-            for raw, found, n in zip(batch.column(1).cast(pa.binary()).to_pylist(),
-                                     batch.column(2), counts, strict=True):
+            copies = _are_copies(batch, 3)
+            for raw, found, copy, n in zip(batch.column(1).cast(pa.binary()).to_pylist(),
+                                           batch.column(2), copies, counts, strict=True):
                 own = raw.split()  # of bytes: at \x20 and \x09-\x0D
-                if found.is_valid and n >= window:
+                if copy and n >= window:
+                    own = []
+                elif found.is_valid and n >= window:
                     starts = np.flatnonzero(np.isin(
                         hashes[start: start + n - window + 1], found.values.to_numpy()))
                     edge = np.zeros(n + 1, dtype=np.int64)
@@ -147,7 +159,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     around them are hashed whole, and the smallest id of each decides. Windows with no
     shared anchor are never hashed. Hashes have 64 bits.
 
-    Anchors and windows are met within each batch first, so that a passage in very many
+    Whole copies of a text are found by their digest and skip that. Anchors and windows are
+    met within each batch first, so that a passage in very many
     documents is a few rows in the shuffle. Only hashes and ids are shuffled, and texts
     once (the exchange by id serves both joins); positions are found again from the hashes.
     A null text has no words. Null ids come after all others and are returned as null. Rows
@@ -165,13 +178,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         .groupBy("doc_id").agg(F.collect_list(
             F.expr("cast(shiftright(shiftleft(key, 32), 32) as int)")).alias("anchors"))
     )
-    around = texts.join(matched, "doc_id").select("doc_id", "text", "anchors")
+    # a whole copy of a text with a smaller id needs no windows: all its words go
+    digests = texts.select("doc_id", F.md5("text").alias("digest"))
+    firsts = digests.groupBy("digest").agg(
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = digests.join(firsts, "digest").filter("doc_id > first").groupBy("doc_id").agg(
+        F.collect_set("digest").alias("copies"))  # one, but for repeated ids
+    around = texts.join(matched.join(copies, "doc_id", "left"), "doc_id").select(
+        "doc_id", "text", "anchors", "copies")
     own = Window.partitionBy(F.coalesce("via", "key"))
     repeats = (
         _windows(around, window, period).withColumn("low", F.min("doc_id").over(own))
         .filter("via is not null or low < doc_id")
         .groupBy("doc_id").agg(F.collect_list("key").alias("repeats"))
+        .join(copies, "doc_id", "full")
     )
-    rows = texts.join(repeats, "doc_id", "left").select("doc_id", "text", "repeats")
+    rows = texts.join(repeats, "doc_id", "left").select("doc_id", "text", "repeats", "copies")
     return _kept(rows, window).withColumn(
         "doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
