@@ -61,13 +61,12 @@ def suffix_match(spark, sf):
 
 @query("C2_path_fallback_match", """
 SELECT w.gallery, count(*) AS photos, sum(p.seq) AS seq_sum, min(p.file) AS first_file
-FROM (SELECT DISTINCT doc_id::VARCHAR AS gallery FROM documents WHERE doc_id % 20 = 0) w
+FROM (SELECT DISTINCT regexp_extract(listing_id, '([0-9]+)$', 1) AS gallery FROM v_listings
+      WHERE regexp_extract(listing_id, '([0-9]+)$', 1) NOT IN
+        (SELECT regexp_extract(entity_id, '([0-9]+)$', 1) FROM v_photos)) w
 JOIN v_photos p ON contains(p.file, w.gallery) GROUP BY w.gallery""")
 def path_fallback_match(spark, sf):
-    documents = views.table(spark, sf, "documents").filter(F.col("doc_id") % 20 == 0)
-    listings = documents.select(
-        F.concat(F.lit("x_"), F.col("doc_id").cast("string")).alias("listing_id")
-    )
+    listings = views.listings(spark, sf).select("listing_id")
     photos = views.photos(spark, sf).select("entity_id", "file", "seq")
     wanted = matching.wanted_galleries(listings)
     unmatched = matching.unmatched_galleries(wanted, photos)
@@ -180,7 +179,7 @@ def expected_against_covered(spark, sf):
 part("amenity_words", """
 SELECT item, lower(trim(item)) AS word FROM (
   SELECT unnest(amenities) AS item FROM typed_listings
-  UNION ALL SELECT substr(text, 1, CAST(1 + doc_id % 7 AS BIGINT)) FROM documents)
+  UNION ALL SELECT unnest(string_split(text, chr(10))) FROM documents)
 """)
 
 
@@ -189,9 +188,7 @@ SELECT item, {amenity_case('word')} AS key, count(*) AS n FROM amenity_words GRO
 def amenity_alias_match(spark, sf):
     listed = views.listings(spark, sf).select(F.explode("amenities").alias("item"))
     documents = views.table(spark, sf, "documents")
-    words = documents.select(
-        F.col("text").substr(F.lit(1), (1 + F.col("doc_id") % 7).cast("int")).alias("item")
-    )
+    words = documents.select(F.explode(F.split("text", "\n")).alias("item"))
     items = listed.unionByName(words).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     keyed = items.withColumn("word", F.trim(F.lower("item")))
     return keyed.select("item", amenities.amenity_key(F.col("word")).alias("key"), "n")

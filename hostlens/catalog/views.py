@@ -21,7 +21,7 @@ V_LISTINGS = f"""
 SELECT 'lst_' || {_padded('d.doc_id')} AS listing_id,
        CASE d.doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN 'car' ELSE 'stay' END AS vertical,
        CASE WHEN d.doc_id % 13 = 0 THEN ''
-            ELSE substr(split_part(d.text, chr(10), 1), 1, 60) END AS name,
+            ELSE split_part(d.text, chr(10), 1) END AS name,
        d.text AS description, n.n_name AS city, r.r_name AS country,
        d.doc_id % 9 AS capacity, d.doc_id % 5 AS bedrooms,
        CAST(d.doc_id % 4 AS DOUBLE) * 0.5 AS bathrooms,
@@ -34,10 +34,10 @@ SELECT 'lst_' || {_padded('d.doc_id')} AS listing_id,
             WHEN 1 THEN 'TV | Terrace | Parking space' WHEN 2 THEN '["Jacuzzi"]'
             WHEN 3 THEN '' WHEN 4 THEN 'Climatisation|Balcon|Cuisine|Garage' END AS amenities,
        d.doc_id % 6 AS photo_count, d.source AS property_type, d.lang AS status, d.doc_id
-FROM @documents d
+FROM (SELECT doc.*, doc.doc_id % (SELECT count(*) FROM @part) AS part FROM @documents doc) d
 LEFT JOIN @nation n ON n.n_nationkey = d.doc_id % 25
 LEFT JOIN @region r ON r.r_regionkey = n.n_regionkey
-LEFT JOIN @part p ON p.p_partkey = d.doc_id % 200
+LEFT JOIN @part p ON p.p_partkey = d.part
 """
 
 # one photo per line item, with the raw metrics a decoded image would have;
@@ -70,9 +70,10 @@ FROM (SELECT li.*, li.l_orderkey % (SELECT count(*) FROM @documents) AS g FROM @
 
 # embeddings as photos of small galleries; 64 sign bits make a hash
 V_EMBEDDINGS = """
-SELECT vec_id, embedding, label, 'photos/adv_' || CAST(vec_id % 20 AS STRING) || '/img_'
-       || CAST(vec_id AS STRING) || '.jpg' AS path, CAST(vec_id % 20 AS STRING) AS gallery
-FROM @embeddings
+SELECT vec_id, embedding, label, 'photos/adv_' || CAST(g AS STRING) || '/img_'
+       || CAST(vec_id AS STRING) || '.jpg' AS path, CAST(g AS STRING) AS gallery
+FROM (SELECT e.*, e.vec_id % (SELECT CAST(greatest(1, floor(count(*) / 25)) AS BIGINT)
+                              FROM @embeddings) AS g FROM @embeddings e)
 """
 
 # uncleaned text cells of every spelling the loaders must handle
@@ -83,7 +84,7 @@ SELECT CASE doc_id % 23 WHEN 0 THEN '' WHEN 1 THEN '  ' WHEN 2 THEN NULL
        CASE doc_id % 5 WHEN 0 THEN 'stay' WHEN 1 THEN '' WHEN 2 THEN 'Stay' WHEN 3 THEN ' '
             END AS vertical,
        CASE doc_id % 13 WHEN 0 THEN '' WHEN 1 THEN 'N/A'
-            ELSE substr(split_part(text, chr(10), 1), 1, 60) END AS name,
+            ELSE split_part(text, chr(10), 1) END AS name,
        text AS description,
        CASE doc_id % 7 WHEN 0 THEN 'NA' WHEN 1 THEN 'null' WHEN 2 THEN ' ' ELSE source END AS city,
        CASE doc_id % 9 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN 'NA' WHEN 3 THEN '4'
@@ -104,7 +105,7 @@ FROM @documents
 # uncleaned photo records
 V_RAW_PHOTOS = f"""
 SELECT CASE l_partkey % 29 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN NULL
-            ELSE ' adv_' || {_padded('l_orderkey % 500')} END AS entity_id,
+            ELSE ' adv_' || {_padded('l_orderkey')} END AS entity_id,
        CASE l_suppkey % 31 WHEN 0 THEN ' ' ELSE 'photos/' || CAST(l_orderkey AS STRING) || '_'
             || CAST(l_partkey AS STRING) || '.jpg ' END AS file,
        CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN '3.0'

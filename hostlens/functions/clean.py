@@ -21,6 +21,7 @@ _ITEM = (
     r"""|True|False|None"""
 )
 _FLAT_LIST = rf"(?s)^\[\s*(?:(?:{_ITEM})\s*(?:,\s*(?:{_ITEM})\s*)*,?\s*)?\]$"
+_NUMBER = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
@@ -38,9 +39,18 @@ def as_text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def number(c: Column) -> Column:
+    """A decimal number, infinity or NaN as double; null for any other text.
+
+    Plain casts would also take type suffixes and hexadecimal floats.
+    """
+    text = strip(c)
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+
+
 def _number(c: Column, kind: str, strict: bool) -> Column:
     blank = c.isNull() | (strip(c) == "")
-    value = strip(c).try_cast("double")
+    value = number(c)
     usable = value.isNotNull()
     if kind == "bigint":
         usable = usable & ~F.isnan(value) & (F.abs(value) < F.lit(9.2e18))

@@ -54,12 +54,19 @@ def room_pairs(
     rows, named = with_name_rule(rows), named_room(F.col("_rule"))
     if predictions is None:
         return rows.select("truth", named.alias("predicted"))
-    table = predictions.groupBy("path").agg(F.first("room").alias("room"))
+    table = predictions.groupBy("path").agg(_surest(predictions).alias("room"))
     return rows.join(table, "path", "left").select(
         "truth", strip(F.coalesce("room", named)).alias("predicted")
     )
 
 
+def _surest(predictions: DataFrame) -> Column:
+    """Of several predictions for a path the surest; without confidences, and of ties, by name."""
+    if "room_confidence" not in predictions.columns:
+        return F.min("room")
+    return F.max_by("room", F.struct("room_confidence", "room"))
+
+
 def blur_pairs(
     labels: DataFrame, metrics: DataFrame | None = None,
     detector: Predictor | None = None, root: str | None = None,

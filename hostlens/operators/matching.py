@@ -86,21 +86,16 @@ def fallback_members(unmatched: DataFrame, photos: DataFrame) -> DataFrame | Non
 
 
 def gallery_members(
-    listings: DataFrame, photos: DataFrame, only_wanted: bool = False,
-    records: DataFrame | None = None,
+    listings: DataFrame, photos: DataFrame, records: DataFrame | None = None,
 ) -> DataFrame:
     """Photo rows with their gallery: named by the entity, else found in the path.
 
     `records` are all photo records; an entity without any existing photo still
     counts as a match, so it is they that decide who falls back to the paths.
-    With `only_wanted` the named photos are cut down to the listings' galleries
-    first; without it the gallery join at the end does that, which saves a
-    shuffle when most galleries are wanted.
+    Photos of galleries that no listing wants are left out before any work on them.
     """
     wanted = wanted_galleries(listings)
-    named = direct_members(photos)
-    if only_wanted:
-        named = named.join(broadcast_if_small(wanted), "gallery", "left_semi")
+    named = direct_members(photos).join(wanted, "gallery", "left_semi")
     known = photos if records is None else records
     found = fallback_members(unmatched_galleries(wanted, known), photos)
     # written once: several aggregates read it, and finding it scans every path

@@ -66,7 +66,6 @@ def technical_aggregates() -> list[Column]:
         F.count_if(valid).alias("valid_count"),
         F.count_if(F.col("is_blurry")).alias("blurry_count"),
         F.count_if(F.col("is_low_resolution")).alias("low_resolution_count"),
-        F.count_if(F.col("is_blurry") | F.col("is_low_resolution")).alias("flag_count"),
         F.avg(F.when(valid, F.col("sharpness"))).alias("avg_sharpness"),
         F.avg(F.when(valid, F.col("exposure_score"))).alias("avg_exposure"),
         F.avg(F.when(valid, F.col("resolution_score"))).alias("avg_resolution"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.functions.clean import strip
+from hostlens.functions.clean import number, strip
 from hostlens.functions.explanation import is_valid_cell
 from hostlens.settings import COMPONENTS, DEFAULTS, FEATURE_COLUMNS, Settings, check_weights
 
@@ -24,7 +24,7 @@ def require_columns(df: DataFrame, names) -> None:
 
 def to_number(c: Column) -> Column:
     """A number, or NaN for anything that is not one."""
-    return F.coalesce(strip(c.cast("string")).try_cast("double"), F.lit(float("nan")))
+    return F.coalesce(number(c.cast("string")), F.lit(float("nan")))
 
 
 def out_of_range(c: Column) -> Column:

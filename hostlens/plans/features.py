@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from hostlens.functions.explanation import to_json_cell
 from hostlens.operators import amenities, listing, matching, rooms, scoring, technical
 from hostlens.operators.duplicates import duplicate_groups
+from hostlens.operators.ordering import position_in_group
 from hostlens.operators.pixels import photo_metrics
-from hostlens.operators.sizing import broadcast_if_small
 from hostlens.session import cut
 from hostlens.settings import DEFAULTS, FEATURE_COLUMNS, Settings
 from hostlens.sources import sinks
-from hostlens.sources.images import read_images
+from hostlens.sources.images import existing_files, file_uri, read_images
 from hostlens.sources.tables import (
     eligible, first_listings, read_listings, read_photos,
 )
 
-# flags kept inside one explanation cell; larger galleries keep theirs in the flag table
-INLINE_FLAGS = 100_000
+# this many image files may be opened by name instead of reading whole folders
+NAMED_FILES = 10_000
 
 # per-gallery values of a listing without photos
 _NO_GALLERY = {
@@ -79,18 +79,13 @@ def photo_rows(photos: DataFrame, vision: Vision, s: Settings = DEFAULTS) -> Dat
     return technical.with_photo_scores(seen, s)
 
 
-def gallery_flags(members: DataFrame, stats: DataFrame, photos: DataFrame,
-                  inline: int, s: Settings) -> DataFrame:
-    """Flagged photos of each gallery as one ordered array.
+def gallery_flags(members: DataFrame, photos: DataFrame, s: Settings) -> DataFrame:
+    """All flagged photos of each gallery as one ordered array.
 
-    Galleries with more flags than `inline` are left out before anything is
-    collected; their rows are in the flag table.
+    The array is one cell of the feature table by contract, whatever its size; the
+    flag table has the same rows one by one.
     """
-    crowded = stats.filter(F.col("flag_count") > inline).select("gallery")
-    flags = scoring.flagged_photos(members, s).join(
-        broadcast_if_small(crowded), "gallery", "left_anti"
-    )
-    ordered = matching.with_entity_order(flags, photos)
+    ordered = matching.with_entity_order(scoring.flagged_photos(members, s), photos)
     return ordered.groupBy("gallery").agg(F.transform(
         F.array_sort(F.collect_list(F.struct(
             "entity_first", "seq", "row_key", "path", "reason",
@@ -105,19 +100,17 @@ def gallery_flags(members: DataFrame, stats: DataFrame, photos: DataFrame,
 
 
 def gallery_rows(
-    members: DataFrame, photos: DataFrame, vision: Vision, s: Settings = DEFAULTS,
-    inline: int = INLINE_FLAGS,
+    members: DataFrame, photos: DataFrame, s: Settings = DEFAULTS,
 ) -> DataFrame:
     """Everything the scores need from a gallery, one row each."""
-    # one row per gallery: kept, since two branches and a size check read it
-    counted = cut(members.groupBy("gallery").agg(
+    counted = members.groupBy("gallery").agg(
         *technical.technical_aggregates(), rooms.room_aggregate(s),
         amenities.amenity_aggregate(),
-    ))
+    )
     stats = technical.with_duplicate_groups(
         counted, duplicate_groups(members, s.hash_threshold)
     )
-    flags = gallery_flags(members, counted, photos, inline, s)
+    flags = gallery_flags(members, photos, s)
     return stats.join(flags, "gallery", "left")
 
 
@@ -169,15 +162,14 @@ def contract_rows(rows: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def scored_members(listings: DataFrame, photos: DataFrame, vision: Vision = Vision(),
-                   s: Settings = DEFAULTS, only_wanted: bool = False,
-                   records: DataFrame | None = None) -> DataFrame:
-    """Gallery members with per-photo scores.
+                   s: Settings = DEFAULTS, records: DataFrame | None = None) -> DataFrame:
+    """Members of the listings' galleries with per-photo scores.
 
     `photos` are the existing photos; `records` all photo records, which decide
     whether a gallery is named by an entity. They are the same by default.
     """
     known = photos if records is None else records
-    members = matching.gallery_members(listings, photos, only_wanted, known)
+    members = matching.gallery_members(listings, photos, known)
     return photo_rows(members, vision, s)
 
 
@@ -185,18 +177,20 @@ def build_features(
     listings: DataFrame, photos: DataFrame, vision: Vision = Vision(),
     calibrator: tuple[float, float] | None = None, limit: int | None = None,
     s: Settings = DEFAULTS, records: DataFrame | None = None,
-    inline: int = INLINE_FLAGS,
+    members: DataFrame | None = None,
 ) -> DataFrame:
     """Feature rows of all eligible listings.
 
     `photos` holds one row per existing photo with `path` and the raw metrics;
-    `records` the photo records before the existence check, when they differ.
+    `records` the photo records before the existence check, when they differ;
+    `members` the scored gallery members, when they are made already.
     """
     chosen = listings if limit is None else first_listings(listings, limit)
     chosen = eligible(chosen)
     known = photos if records is None else records
-    members = scored_members(chosen, photos, vision, s, limit is not None, known)
-    galleries = gallery_rows(members, known, vision, s, inline)
+    if members is None:
+        members = scored_members(chosen, photos, vision, s, known)
+    galleries = gallery_rows(members, known, s)
     return contract_rows(
         score_rows(listing_rows(chosen, s), galleries, vision, calibrator, s), s
     )
@@ -214,7 +208,11 @@ def score_folder(
     when photos also lie beside it (a photo is looked up below the data folder,
     then below its parent).
 
-    Writes the feature table to `output` and the whole flag table beside it.
+    Only images of photos in the galleries of the scored listings count; up to
+    NAMED_FILES of them are opened by name, more by reading the folders.
+
+    Writes the feature table to `output` and beside it the flag table: one row for
+    each flag in an explanation cell, with its listing and its place in the list.
     Returns False, writing nothing, when no listing is eligible. Embeddings come
     as a table (`path`, vector column named by `vision.embedding`).
     """
@@ -224,22 +222,47 @@ def score_folder(
     if chosen.isEmpty():
         return False
     calibrator = load_line(spark, calibrator_path)
-    # decode every image once; all later branches read the written metrics
     folders = [data_dir] if image_folders is None else image_folders
-    metrics = cut(photo_metrics(read_images(spark, folders)), "metrics")
     pruned = records.drop("width", "height", "bytes", "is_cover")
-    photos = matching.existing_photos(pruned, metrics, data_dir)
+    there = matching.existing_photos(pruned, existing_files(spark, folders), data_dir)
+    # the galleries are matched on paths first, so that only their images are decoded
+    placed = cut(matching.gallery_members(chosen, there, records), "placed")
+    paths = cut(placed.select("path").distinct(), "paths")
+    names = [row["path"] for row in paths.limit(NAMED_FILES + 1).collect()]
+    if len(names) <= NAMED_FILES:
+        images = read_images(spark, [file_uri(name) for name in names] or folders)
+    else:
+        images = read_images(spark, folders)
+    # each once; all later branches read the written metrics
+    metrics = cut(photo_metrics(images.join(paths, "path", "left_semi")), "metrics")
+    photos = placed.join(metrics, "path")
     if embeddings is not None:
         photos = photos.join(embeddings, "path", "left")
     photos = cut(photos, "photos")
+    members = photo_rows(photos, vision, s)
     features = build_features(
-        listings, photos, vision, calibrator, limit, s, records=records
+        listings, photos, vision, calibrator, limit, s, records=records, members=members
     )
     sinks.write_table(features, output)
-    members = scored_members(chosen, photos, vision, s, limit is not None, records)
-    sinks.write_table(scoring.flagged_photos(members, s), f"{output.rstrip('/')}_photo_flags")
+    sinks.write_table(
+        listing_flags(chosen, members, records, s), f"{output.rstrip('/')}_photo_flags")
     return True
 
 
+def listing_flags(listings: DataFrame, members: DataFrame, records: DataFrame,
+                  s: Settings = DEFAULTS) -> DataFrame:
+    """(listing_id, position, path, reason, width, height): the flags of every listing.
+
+    The position is the place in the listing's explanation, from 0.
+    """
+    ordered = matching.with_entity_order(scoring.flagged_photos(members, s), records)
+    placed = position_in_group(
+        ordered, "gallery", [F.col("entity_first"), F.col("seq"), F.col("row_key"), F.col("path")])
+    keyed = listings.select("listing_id", matching.id_digits(F.col("listing_id")).alias("gallery"))
+    return keyed.filter("gallery <> ''").join(placed, "gallery").select(
+        "listing_id", (F.col("position") - 1).alias("position"), "path", "reason",
+        F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
+
+
 def load_line(spark: SparkSession, path: str | None) -> tuple[float, float] | None:
     return None if path is None else sinks.load_calibrator(spark, path)

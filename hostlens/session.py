@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and benchmarks; on a cluster use the cluster's own."""
+def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
+                  memory: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks; on a cluster use the cluster's own.
+
+    `memory` is the heap of the one process, Spark's default unless given.
+    """
+    builder = SparkSession.builder if memory is None else SparkSession.builder.config(
+        "spark.driver.memory", memory)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("hostlens")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "20g")
         .getOrCreate()
     )
 

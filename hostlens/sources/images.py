@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ def plain_path(c):
                             r"^file:(?://(?=/))?", "")
 
 
+def file_uri(path: str) -> str:
+    """What a reader opens for a plain path; glob signs are taken literally."""
+    escaped = re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+    return f"file:{escaped}" if path.startswith("/") else escaped
+
+
 def existing_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Paths of all files below a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

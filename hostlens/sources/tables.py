@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.functions.clean import CONVERTERS, TYPES, missing_to_null, strip
+from hostlens.functions.clean import CONVERTERS, TYPES, missing_to_null, number, strip
 from hostlens.operators.validation import require_columns
 from hostlens.schemas import LISTING_FIELDS, PHOTO_FIELDS
 
@@ -23,8 +23,9 @@ def read_cells(spark: SparkSession, path: str, fmt: str = "csv",
                multiline: bool = True) -> DataFrame:
     """A raw table with its `row_key`; every CSV cell stays text, missing ones null.
 
-    `multiline` is needed when cells contain line breaks; a file is then read by
-    one task, so give large inputs as many files.
+    `multiline` is needed when cells contain line breaks, as descriptions do; a file is
+    then read by one task, so give large inputs as many files or as Parquet. Without it a
+    file is split among tasks.
     """
     if fmt == "csv":
         raw = spark.read.csv(path, header=True, multiLine=multiline, escape='"')
@@ -77,26 +78,29 @@ def read_listings(spark: SparkSession, path: str, fmt: str = "csv", strict: bool
     return clean_listings(read_cells(spark, path, fmt), strict)
 
 
-def read_photos(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True):
-    return clean_photos(read_cells(spark, path, fmt), strict)
+def read_photos(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True,
+                multiline: bool = False):
+    return clean_photos(read_cells(spark, path, fmt, multiline), strict)
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, fmt: str = "csv",
+                multiline: bool = False) -> DataFrame:
     """Labelled photos: `photo_file, label`."""
-    raw = read_cells(spark, path)
+    raw = read_cells(spark, path, fmt, multiline)
     require_columns(raw, ["photo_file", "label"])
     return raw.select("photo_file", "label")
 
 
-def read_ratings(spark: SparkSession, path: str) -> DataFrame:
+def read_ratings(spark: SparkSession, path: str, fmt: str = "csv",
+                 multiline: bool = False) -> DataFrame:
     """Rated photos: `photo_file` with `avg_rating`, or with `rater1, rater2`."""
-    raw = read_cells(spark, path)
+    raw = read_cells(spark, path, fmt, multiline)
     require_columns(raw, ["photo_file"])
     if "avg_rating" in raw.columns:
-        return raw.select("photo_file", F.col("avg_rating").cast("double"))
+        return raw.select("photo_file", number(F.col("avg_rating")).alias("avg_rating"))
     require_columns(raw, ["rater1", "rater2"])
     return raw.select(
-        "photo_file", F.col("rater1").cast("double"), F.col("rater2").cast("double")
+        "photo_file", number(F.col("rater1")).alias("rater1"), number(F.col("rater2")).alias("rater2")
     )
 
 

@@ -10,7 +10,7 @@ from hostlens.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8)
+    session = local_session(8, memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -11,7 +11,9 @@ from hostlens.functions import display
 from hostlens.functions.numeric import percent_text, round_half_even
 from hostlens.operators import amenities, matching, rooms, scoring
 from hostlens.operators.listing import with_completeness
-from hostlens.plans.features import Vision, build_features, score_folder
+from hostlens.plans.features import (
+    Vision, build_features, listing_flags, score_folder, scored_members)
+from hostlens.sources.tables import eligible
 from hostlens.settings import COMPONENTS, FEATURE_COLUMNS, WEIGHTS, Settings, check_weights
 
 PHOTO = ("entity_id string, file string, seq bigint, width int, height int, sharpness double, "
@@ -252,10 +254,15 @@ def test_whole_job_matching_and_order(spark):
         listings.orderBy(F.rand(3)), photos.orderBy(F.rand(4)).repartition(5)
     ).collect()
     assert {r.listing_id: r for r in mixed} == rows
-    # galleries with too many flags keep them in the flag table only
-    small = {r.listing_id: r for r in build_features(listings, photos, inline=3).collect()}
-    assert json.loads(small["lst_7"].explanation_json)["bad_photos"] == []
-    assert small["lst_7"].quality_score == rows["lst_7"].quality_score
+    # the flag table holds the lists of the scored listings, in their order
+    members = scored_members(eligible(listings), photos)
+    table = listing_flags(eligible(listings), members, photos).collect()
+    assert {r.listing_id for r in table} <= set(rows)
+    for name, row in rows.items():
+        own = sorted((r for r in table if r.listing_id == name), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(len(own)))
+        assert [r.path for r in own] == [
+            f["path"] for f in json.loads(row.explanation_json)["bad_photos"]]
 
 
 def test_hot_gallery_and_hot_listing_key(spark):
