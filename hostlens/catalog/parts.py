@@ -105,7 +105,8 @@ SELECT gallery FROM wanted
 WHERE gallery NOT IN (SELECT entity_digits FROM photo_scored WHERE entity_digits <> '')
 """)
 part("members", """
-SELECT entity_digits AS gallery, p.* FROM photo_scored p WHERE entity_digits <> ''
+SELECT entity_digits AS gallery, p.* FROM photo_scored p
+WHERE entity_digits IN (SELECT gallery FROM wanted)
 UNION ALL
 SELECT u.gallery, p.* FROM unmatched u JOIN photo_scored p ON contains(p.file, u.gallery)
 """)
