@@ -178,3 +178,12 @@ def test_typed_columns_pass_through(spark):
     [row] = clean_listings(rows).collect()
     assert (row.listing_id, row.capacity, row.instant_booking) == ("a1", 3, False)
     assert row.amenities == ["x"]
+
+
+def test_numbers_in_other_spellings_are_junk(spark):
+    from hostlens.functions.clean import number
+
+    cells = {"1d": None, "1.0f": None, "0x1p3": None, "12": 12.0, " -2.5 ": -2.5, ".5e1": 5.0,
+             "3.": 3.0, "": None, "1_0": None, "Infinity": float("inf"), "-inf": float("-inf")}
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert [r[0] for r in df.select(number(F.col("c"))).collect()] == list(cells.values())
