@@ -238,9 +238,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id",
 
     Rows of equal shingle sets form a class, which is compared once. Classes that share a
     signature are candidates. In each signature's bucket, leaders (one in the first round,
-    then up to 8, 64, ...) are compared with all members that are not yet in the leader's
+    then up to 64, 4096, ...) are compared with all members that are not yet in the leader's
     component, and leave; buckets go on until all their members are in one component or have
-    led. So every candidate pair is either compared or already connected: no link is lost,
+    led. Members with the most company lead first, as the text that near copies were made
+    from is similar to more of them than they are to each other. So every candidate pair is either compared or already connected: no link is lost,
     and a bucket of near copies takes one round instead of all its pairs.
 
     component_id is the smallest doc_id that links reach, the own one included. Rows with
@@ -262,26 +263,30 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id",
         wanted, hashed["doc_id"].eqNullSafe(wanted["w_id"]) & (F.col("text_hash") == F.col("w_hash"))
     ).select("set_id", "text").dropDuplicates(["set_id"]), "class-texts")
 
+    # how many others share a set's signatures: the original of near copies shares most
+    shared = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    weights = members.join(shared, "sig").groupBy("set_id").agg(F.sum("n").alias("weight"))
+    members = cut(members.join(weights, "set_id").select("sig", "set_id", "weight"), "weighted")
     edges = None
     roots = None
     turn = 1
     while True:
         placed = members.withColumn("comp", F.col("set_id")) if roots is None else (
             members.join(roots, members["set_id"] == roots["node"], "left")
-            .select("sig", "set_id", F.coalesce("root", "set_id").alias("comp")))
+            .select("sig", "set_id", "weight", F.coalesce("root", "set_id").alias("comp")))
         open_ = placed.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         open_ = open_.filter("c0 <> c1").select("sig")
         members = cut(placed.join(open_, "sig"), "open-buckets")
         if members.isEmpty():
             break
         leaders = members.groupBy("sig", F.pmod(F.xxhash64("set_id"), F.lit(turn)).alias("s")).agg(
-            F.min(F.struct("set_id", "comp")).alias("lead"))
+            F.max(F.struct("weight", "set_id", "comp")).alias("lead"))
         leaders = leaders.select("sig", F.col("lead.set_id").alias("lead"),
                                  F.col("lead.comp").alias("lead_comp"))
         pairs = members.join(leaders, "sig").filter("comp <> lead_comp").select(
             F.least("set_id", "lead").alias("a"), F.greatest("set_id", "lead").alias("b")).distinct()
         found = cut(_verified(pairs, texts), "links")
-        members = members.select("sig", "set_id").join(
+        members = members.select("sig", "set_id", "weight").join(
             leaders.select("sig", F.col("lead").alias("set_id")), ["sig", "set_id"], "left_anti")
         fresh = found.select(F.lit(0).alias("key"), F.col("a").alias("u"), F.col("b").alias("v"))
         if not fresh.isEmpty():
@@ -289,7 +294,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id",
             roots = cut(component_roots(edges, "key").select("node", "root"), "roots")
             edges = roots.filter("node <> root").select(
                 F.lit(0).alias("key"), F.col("root").alias("u"), F.col("node").alias("v"))
-        turn *= 8
+        turn *= 64
     if roots is None:
         named = classes.select("set_id", "set_check", F.col("least").alias("component_id"))
     else:
