@@ -108,7 +108,7 @@ SELECT {half_even('a', 4)} AS accuracy, n AS row_count FROM (
   SELECT sum(CASE WHEN truth = predicted THEN n ELSE 0 END)::DOUBLE / sum(n)::DOUBLE AS a,
     sum(n)::BIGINT AS n FROM room_cells)""")
 def room_accuracy(spark, sf):
-    return evaluation.room_report(room_pairs(spark, sf)).select("accuracy", "row_count")
+    return evaluation.room_accuracy(room_pairs(spark, sf))
 
 
 @query("D11_confusion_matrix", f"""

@@ -111,8 +111,18 @@ def _matrix(labels: Column) -> Column:
     )))
 
 
+def room_accuracy(pairs: DataFrame) -> DataFrame:
+    """One row: accuracy and row count, by sums only."""
+    return pairs.agg(
+        F.avg((F.col("truth") == F.col("predicted")).cast("double")).alias("accuracy"),
+        F.count(F.lit(1)).alias("row_count"),
+    )
+
+
 def room_report(pairs: DataFrame) -> DataFrame:
-    """One row: accuracy, row count, sorted labels and the confusion matrix.
+    """The dense report, for few labels; `confusion_counts` has the same as rows.
+
+    One row: accuracy, row count, sorted labels and the confusion matrix.
 
     Pairs are counted before they meet, so the row holds one entry per distinct
     pair of labels.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from hostlens.functions.explanation import is_valid_cell
 from hostlens.operators import calibration, evaluation, profiling, reporting
 from hostlens.operators.validation import validate_features
-from hostlens.plans.evaluate import calibration_job, gate_job, quality_gates
+from hostlens.plans.evaluate import (
+    calibration_job, gate_job, gates_from_files, quality_gates)
 from hostlens.settings import FEATURE_COLUMNS
 from hostlens.sources.sinks import load_calibrator, save_calibrator
 
@@ -103,6 +104,35 @@ def test_gates(spark, tmp_path):
     assert not gate_job(spark, bad)
 
 
+def test_gates_from_files(spark, tmp_path):
+    from hostlens.catalog.inputs import _png
+
+    photos = tmp_path / "shots"
+    photos.mkdir()
+    flat = bytes([90]) * (20 * 10 * 3)
+    noisy = bytes((k * 7919 % 251) for k in range(20 * 10 * 3))
+    (photos / "pool_1.png").write_bytes(_png(20, 10, flat))
+    (photos / "kitchen_2.png").write_bytes(_png(20, 10, noisy))
+    (tmp_path / "rooms.csv").write_text(
+        "photo_file,label\npool_1.png,pool\nkitchen_2.png,kitchen\nkitchen_3.png,pool\n")
+    (tmp_path / "blur.csv").write_text(
+        "photo_file,label\npool_1.png,blurry\nkitchen_2.png,sharp\n")
+    table(spark, {}).write.parquet(str(tmp_path / "features"))
+    out = str(tmp_path / "out")
+    passes = gates_from_files(
+        spark, out, str(tmp_path / "features"), str(tmp_path / "rooms.csv"),
+        str(tmp_path / "blur.csv"), str(photos))
+    rows = {(r.check, r.metric): r.value for r in spark.read.parquet(f"{out}/gates").collect()}
+    assert rows["blur_precision", "precision"] == 1.0 and rows["blur_precision", "row_count"] == 2
+    assert rows["room_accuracy", "accuracy"] == pytest.approx(2 / 3) and not passes
+    cells = {tuple(r) for r in spark.read.parquet(f"{out}/confusion").collect()}
+    assert cells == {("pool", "pool", 1), ("kitchen", "kitchen", 1), ("pool", "kitchen", 1)}
+    table(spark, {}).drop("version").write.parquet(str(tmp_path / "short"))
+    assert not gates_from_files(spark, str(tmp_path / "o2"), str(tmp_path / "short"))
+    assert gates_from_files(spark, str(tmp_path / "o3"), str(tmp_path / "features"))
+    assert gates_from_files(spark, str(tmp_path / "o4")) is None
+
+
 def test_linear_fit(spark, tmp_path):
     pairs = spark.createDataFrame(
         [(float(x), float(2 * x + 1)) for x in (3, 4, 9, 12)], "raw double, human double"
