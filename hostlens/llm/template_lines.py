@@ -10,8 +10,6 @@ from hostlens.session import cut
 LEAD = 3  # depth of the tree below the token count: leading tokens
 LEAST_TOKENS = 3
 LEAST_FAMILIES = 10
-# unrelated documents have as many families as texts; near copies, however many, have few
-FAMILIES_PER_TEXT = 0.25
 SIMILAR = 0.75  # share of a template's tokens that must be constant
 FIELD = "<*>"
 
@@ -62,21 +60,18 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _recurring(lines: DataFrame, key: str, least: int) -> DataFrame:
-    """Keys that enough families have, also in proportion to the distinct texts with them."""
-    seen = lines.groupBy(key).agg(F.countDistinct("family").alias("families"),
-                                  F.countDistinct("text_hash").alias("texts"))
-    return seen.filter((F.col("families") >= least) & (
-        F.col("families") >= FAMILIES_PER_TEXT * F.col("texts"))).select(key)
+    """Keys that enough families have; more copies of a document never take a key out."""
+    return lines.groupBy(key).agg(F.countDistinct("family").alias("families")).filter(
+        F.col("families") >= least).select(key)
 
 
 def recurring_lines(docs: DataFrame, least: int = LEAST_FAMILIES, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, at, template) of every line whose template recurs.
 
-    A leaf or template recurs if `least` families have it, and a quarter as many families
-    as distinct texts. Only such leaves are parsed further. There a token is
-    constant at its place if `least` families have it there; other tokens, and those with
-    digits, are fields. A line's template is its constants and fields; it counts if a share of
+    A leaf or template recurs if `least` families have it, however many copies come along.
+    Only such leaves are parsed further. There a token is constant at its place if `least`
+    families have it there; other tokens, and those with digits, are fields. A line's template is its constants and fields; it counts if a share of
     SIMILAR is constant.
     """
     lines = split_lines(docs, id_col, text_col)

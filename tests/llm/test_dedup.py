@@ -193,3 +193,23 @@ def test_recurring_templates_go_and_copies_stay(spark):
         else:
             assert r["text"] == texts[r["doc_id"]] and r["n_dropped"] == 0
     assert drop_recurring_lines(docs.limit(0)).count() == 0
+
+
+def _plain(rng, n):
+    """Words without digits, which would be fields."""
+    return " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+
+
+def test_copies_never_keep_a_recurring_line(spark):
+    """A footer of unrelated documents goes, however many near copies one of them has."""
+    rng, footer = random.Random(8), "Please read our terms of use before writing"
+    bodies = [[_plain(rng, 40), _plain(rng, 40)] for _ in range(40)]
+    for k in range(400):
+        parts = bodies[0][k % 2].split(" ")
+        parts[10 + k % 25] = f"edit{k}"
+        bodies.append([" ".join(parts), bodies[0][1 - k % 2]])
+    rows = [(i, "\n".join([*b, footer]), "a") for i, b in enumerate(bodies)]
+    for r in drop_recurring_lines(frame(spark, rows)).collect():
+        left = r["text"].split("\n")
+        assert footer not in left and set(left) <= set(bodies[r["doc_id"]])
+        assert not 0 < r["doc_id"] < 40 or left == bodies[r["doc_id"]]
