@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from hostlens.session import cut
 
 LEAD = 3  # depth of the tree below the token count: leading tokens
-LEAST_TOKENS = 3
 LEAST_FAMILIES = 10
-SIMILAR = 0.75  # share of a template's tokens that must be constant
+SIMILAR = 0.75  # share of a template's words, which are tokens without digits, that must be constant
 FIELD = "<*>"
 
 
@@ -19,6 +18,12 @@ def _masked(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), FIELD).otherwise(token)
 
 
+def _kind(token: Column) -> Column:
+    """A token with its numbers masked; null for a field, which has digits but no letters."""
+    return F.when(~token.rlike("[0-9]") | token.rlike(r"\p{L}"),
+                  F.regexp_replace(token, "[0-9]+", FIELD))
+
+
 def _lead(line: Column) -> Column:
     return F.array_join(F.transform(F.slice(F.split(line, " ", LEAD + 1), 1, LEAD), _masked), " ")
 
@@ -52,7 +57,7 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.arrays_zip("lines", "leads", "hashes")).alias("at", "l"))
     line = F.col("l.lines")
     tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    return each.filter(tokens >= LEAST_TOKENS).select(
+    return each.filter(line.rlike(r"\S")).select(
         "doc_id", "text_hash", "at", line.alias("line"),
         F.concat_ws(" ", tokens.cast("string"), F.col("l.leads")).alias("leaf"),
         F.when(F.col("l.hashes") == F.col("f")[0], F.col("f")[1]).otherwise(F.col("f")[0])
@@ -70,9 +75,11 @@ def recurring_lines(docs: DataFrame, least: int = LEAST_FAMILIES, id_col: str =
     """(doc_id, text_hash, at, template) of every line whose template recurs.
 
     A leaf or template recurs if `least` families have it, however many copies come along.
-    Only such leaves are parsed further. There a token is constant at its place if `least`
-    families have it there; other tokens, and those with digits, are fields. A line's template is its constants and fields; it counts if a share of
-    SIMILAR is constant.
+    Only such leaves are parsed further. There a token, its numbers masked, is constant at
+    its place if `least` families have it there; others, and tokens with digits but without
+    letters, are fields. A line's template is its constants and fields; it counts if there is
+    a constant, and of the tokens without digits a share of SIMILAR is constant. Fields with
+    digits don't count against a template. Short lines are parsed alike; blank ones stay.
     """
     lines = split_lines(docs, id_col, text_col)
     leaves = cut(_recurring(lines, "leaf", least), "template-leaves")
@@ -81,19 +88,23 @@ def recurring_lines(docs: DataFrame, least: int = LEAST_FAMILIES, id_col: str =
     kinds = found.select("leaf", "line", "family").distinct()
     tokens = kinds.select("leaf", "family", F.posexplode(F.split("line", " ")).alias("i", "token"))
     constants = (
-        tokens.filter(~F.col("token").rlike("[0-9]")).groupBy("leaf", "i", "token")
+        tokens.select("leaf", "i", "family", _kind(F.col("token")).alias("kind"))
+        .filter(F.col("kind").isNotNull()).groupBy("leaf", "i", "kind")
         .agg(F.countDistinct("family").alias("n")).filter(F.col("n") >= least)
-        .select("leaf", "i", "token", F.lit(True).alias("constant"))
+        .select("leaf", "i", "kind", F.lit(True).alias("constant"))
     )
+    word = ~F.col("token").rlike("[0-9]")
     parsed = (
         kinds.select("leaf", "line").distinct()
         .select("leaf", "line", F.posexplode(F.split("line", " ")).alias("i", "token"))
-        .join(constants, ["leaf", "i", "token"], "left")
+        .withColumn("kind", _kind(F.col("token")))
+        .join(constants, ["leaf", "i", "kind"], "left")
         .groupBy("leaf", "line").agg(
-            F.array_sort(F.collect_list(F.struct("i", F.when(F.col("constant"), F.col("token"))
+            F.array_sort(F.collect_list(F.struct("i", F.when(F.col("constant"), F.col("kind"))
                                                  .otherwise(FIELD).alias("t")))).alias("t"),
-            F.count("constant").alias("fixed"))
-        .filter(F.col("fixed") >= SIMILAR * F.size("t"))
+            F.count("constant").alias("fixed"), F.count_if(word).alias("words"),
+            F.count_if(word & F.col("constant")).alias("same"))
+        .filter((F.col("fixed") > 0) & (F.col("same") >= SIMILAR * F.col("words")))
         .select("leaf", "line", F.array_join("t.t", " ").alias("template"))
     )
     placed = cut(found.join(parsed, ["leaf", "line"]), "template-parsed")

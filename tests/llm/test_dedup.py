@@ -213,3 +213,16 @@ def test_copies_never_keep_a_recurring_line(spark):
         left = r["text"].split("\n")
         assert footer not in left and set(left) <= set(bodies[r["doc_id"]])
         assert not 0 < r["doc_id"] < 40 or left == bodies[r["doc_id"]]
+
+
+def test_short_blank_free_and_numbered_lines_go(spark):
+    """Lines of one or two tokens, of scripts without blanks, and templates mostly of fields."""
+    rng, rows = random.Random(9), []
+    for i in range(25):
+        rows.append((i, "\n".join([
+            _plain(rng, 40), "Read more", "Subscribe", "\u7248\u6743\u6240\u6709", f"\u7b2c{i}\u9875", "",
+            f"Page {i} of {i + 10}", f"Error code {i}", f"{i} {i * 7} {i + 5}",
+            f"2024-01-{i + 1} 10:00:{i} {i * 3} INFO started", _plain(rng, 30)]), "a"))
+    texts = {i: t.split("\n") for i, t, _ in rows}
+    for r in drop_recurring_lines(frame(spark, rows)).collect():
+        assert r["text"].split("\n") == [texts[r["doc_id"]][k] for k in (0, 5, 8, 10)]
