@@ -9,6 +9,7 @@ from hostlens.session import cut
 
 LEAD = 3  # depth of the tree below the token count: leading tokens
 LEAST_FAMILIES = 10
+SHINGLE = 4  # words in a row by which a family is told
 SIMILAR = 0.75  # share of a template's words, which are tokens without digits, that must be constant
 FIELD = "<*>"
 
@@ -28,8 +29,12 @@ def _lead(line: Column) -> Column:
     return F.array_join(F.transform(F.slice(F.split(line, " ", LEAD + 1), 1, LEAD), _masked), " ")
 
 
-def _hash(text: Column) -> Column:
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+def _least_shingle(line: Column) -> Column:
+    """The smallest hash of SHINGLE words in a row, or of all words of a shorter line; null if blank."""
+    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    return F.when(F.size(words) > 0, F.array_min(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))),
+        lambda k: F.xxhash64(F.slice(words, k, SHINGLE)))))
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,30 +42,29 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A leaf of the tree is a number of tokens (pieces between blanks) and the first LEAD of
     them, with fields masked. The family of a line stands for the rest of its document: the
-    leading tokens of one of its other lines, drawn by hash with a chance in proportion to
-    the length of the line. Copies and near copies of a document mostly draw the same, so
-    they don't make their lines recur; a block of short recurring lines is rarely drawn.
+    smallest hash of SHINGLE unmasked words in a row of its other lines. Copies and most near
+    copies of a document have the same, so they don't make their lines recur. A document without other
+    lines is a family by its own text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
         F.split(text, "\n").alias("lines"))
-    rows = rows.withColumn("leads", F.transform("lines", _lead)).withColumn(
-        "hashes", F.transform("leads", _hash))
-    drawn = F.array_sort(F.zip_with("lines", "hashes", lambda line, h: F.struct(
-        (-F.ln((h + 1) / F.lit(float(1 << 60))) / (F.length(line) + 1)).alias("turn"),
-        h.alias("h"))))
-    first = F.element_at("drawn", 1)["h"]
-    rows = rows.withColumn("drawn", drawn).withColumn("f", F.array(first, F.coalesce(F.get(
-        F.filter("drawn", lambda d: d["h"] != first), F.lit(0))["h"], first)))
-    each = rows.select("doc_id", "text_hash", "f", F.posexplode(
-        F.arrays_zip("lines", "leads", "hashes")).alias("at", "l"))
+    drawn = F.array_sort(F.filter(F.transform("lines", lambda line: F.struct(
+        _least_shingle(line).alias("h"), line.alias("line"))), lambda d: d["h"].isNotNull()))
+    first = F.get("drawn", F.lit(0))
+    rows = rows.withColumn("leads", F.transform("lines", _lead)).withColumn("drawn", drawn)
+    rows = rows.withColumn("top", first).withColumn("f", F.array(
+        F.col("top")["h"], F.coalesce(F.get(F.filter("drawn", lambda d: d["line"] != first["line"]),
+                                            F.lit(0))["h"], F.col("text_hash"))))
+    each = rows.select("doc_id", "text_hash", "f", "top", F.posexplode(
+        F.arrays_zip("lines", "leads")).alias("at", "l"))
     line = F.col("l.lines")
     tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     return each.filter(line.rlike(r"\S")).select(
         "doc_id", "text_hash", "at", line.alias("line"),
         F.concat_ws(" ", tokens.cast("string"), F.col("l.leads")).alias("leaf"),
-        F.when(F.col("l.hashes") == F.col("f")[0], F.col("f")[1]).otherwise(F.col("f")[0])
+        F.when(line == F.col("top.line"), F.col("f")[1]).otherwise(F.col("f")[0])
         .alias("family"))
 
 

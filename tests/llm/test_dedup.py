@@ -226,3 +226,16 @@ def test_short_blank_free_and_numbered_lines_go(spark):
     texts = {i: t.split("\n") for i, t, _ in rows}
     for r in drop_recurring_lines(frame(spark, rows)).collect():
         assert r["text"].split("\n") == [texts[r["doc_id"]][k] for k in (0, 5, 8, 10)]
+
+
+def test_templates_of_log_like_documents_recur(spark):
+    """One-line documents, documents of numbered lines, and short bodies under long boilerplate."""
+    rng = random.Random(10)
+    licence = [f"Clause {'abcdefghijklmnopqrst'[k]} {_plain(rng, 12)}" for k in range(20)]
+    texts = [f"Connection to host{i} closed after {i} seconds" for i in range(25)]
+    texts += ["\n".join(f"{i}:{k} {i * 31 + k} INFO worker started" for k in range(5)) for i in range(25)]
+    bodies = [_plain(rng, 17) for _ in range(1000)]
+    texts += ["\n".join([b, *licence]) for b in bodies]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    for r in drop_recurring_lines(frame(spark, rows)).collect():
+        assert r["text"] == ("" if r["doc_id"] < 50 else bodies[r["doc_id"] - 50]), r["doc_id"]
