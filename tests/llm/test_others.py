@@ -285,3 +285,17 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
         if r["doc_id"] > 2000:
             text = text.replace(boiler + "\n", "")
         assert list(r["ids"]) == library.encode(text) and r["n_tokens"] == len(r["ids"])
+
+
+def test_signs_at_the_edges_of_a_word_are_decoded():
+    import numpy as np
+    from hostlens.llm.deobfuscation import SYMBOLS, symbols
+
+    s = symbols("\n\n" + "what a stupid shit of an ass and idiot cunt fuck then\n\n" * 50)
+    counts = np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS ** 3)
+    reader = Reader(character_costs(counts))
+    for token, word in [("$hit", "shit"), ("a$$", "ass"), ("$tupid", "stupid"), ("idio+", "idiot"),
+                        ("(unt", "cunt"), ("4$$", "ass"), ("@$$", "ass"),
+                        ("\"$hit,", "shit"), ("idiot!", "idiot"), ("(then", "then")]:
+        assert word in reader.token(token), token
+    assert reader.token("then,") == ("then",)
