@@ -124,7 +124,7 @@ def test_gates_from_files(spark, tmp_path):
         str(tmp_path / "blur.csv"), str(photos))
     rows = {(r.check, r.metric): r.value for r in spark.read.parquet(f"{out}/gates").collect()}
     assert rows["blur_precision", "precision"] == 1.0 and rows["blur_precision", "row_count"] == 2
-    assert rows["room_accuracy", "accuracy"] == pytest.approx(2 / 3) and not passes
+    assert rows["room_accuracy", "accuracy"] == 0.6667 and not passes
     cells = {tuple(r) for r in spark.read.parquet(f"{out}/confusion").collect()}
     assert cells == {("pool", "pool", 1), ("kitchen", "kitchen", 1), ("pool", "kitchen", 1)}
     table(spark, {}).drop("version").write.parquet(str(tmp_path / "short"))
@@ -213,3 +213,16 @@ def test_report_tables(spark):
         "x": "a b",
     }
     assert reporting.report_totals(features.limit(0)).first().mean_score == 0.0
+
+
+def test_accuracy_has_four_decimals_and_its_gate_sees_them(spark):
+    def pairs(hits, n):
+        return spark.range(n).select(F.lit("view").alias("truth"), F.when(
+            F.col("id") < hits, "view").otherwise("other").alias("predicted"))
+
+    # 861 of 1013 is 0.84995..., just under the gate before rounding
+    for hits, n, accuracy, passes in [(861, 1013, 0.85, True), (860, 1013, 0.849, False),
+                                      (1, 3, 0.3333, False), (2, 3, 0.6667, False)]:
+        assert evaluation.room_accuracy(pairs(hits, n)).first() == (accuracy, n)
+        gate = quality_gates(room_pairs=pairs(hits, n)).filter("metric = 'accuracy'").first()
+        assert (gate["value"], gate["passes"]) == (accuracy, passes)
