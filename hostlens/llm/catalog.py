@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens.llm.centroid_search import cluster_vectors
 from hostlens.llm.common import LOWER, UPPER, WORD, table
 from hostlens.llm.cover_anchors import remove_repeats
 from hostlens.llm.deobfuscation import fit_toxicity, score_toxicity
+from hostlens.llm.kernel_langid import fit_languages, kept_back, predict_languages
 from hostlens.llm.link_trust import DAMPING, ITERATIONS, LINK, judge_urls
 from hostlens.llm.mixing import mix_plan
 from hostlens.llm.multiset_hash import edited_fingerprints
 from hostlens.llm.partenum import similar_components
 from hostlens.llm.piece_codec import Vocabulary, decode_documents, encode_documents
 from hostlens.llm.sharding import shard_documents
+from hostlens.llm.source_divergence import LEAST_DOCUMENTS, TOP_TERMS, UNIT, source_divergence
 from hostlens.llm.streaming_dedup import streaming_dedup
 from hostlens.llm.template_lines import drop_recurring_lines
 
@@ -337,3 +340,97 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+CLUSTERS = {"k": 16, "rounds": 3, "size": 64, "seed": 1}
+
+
+def _rounds_sql() -> str:
+    """Assignment and update of each round; the last assignment is `a` with the round's number."""
+    steps = []
+    for t in range(CLUSTERS["rounds"] + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS hit FROM (
+    SELECT rid, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda i:
+      (v[i] - cv[i]) * (v[i] - cv[i])))::BIGINT AS d FROM kept, c{t}) GROUP BY rid)""")
+        if t < CLUSTERS["rounds"]:
+            steps.append(f"""c{t + 1} AS MATERIALIZED (
+  SELECT c{t}.c, CASE WHEN any_value(m.n) IS NULL THEN any_value(cv)
+    ELSE list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) END AS cv
+  FROM c{t} LEFT JOIN (
+    SELECT hit.c AS c, i, count(*)::HUGEINT AS n, sum(v[i])::HUGEINT AS s
+    FROM a{t}, range(1, 65) r(i) GROUP BY ALL) m ON m.c = c{t}.c GROUP BY c{t}.c)""")
+    return ",\n".join(steps)
+
+
+@query("op11_centroid_search", f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+    list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {CLUSTERS["size"]}
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {CLUSTERS["size"]}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{CLUSTERS["seed"]}:' || vec_id), v) - 1 AS c, v AS cv
+  FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {CLUSTERS["k"]}
+), {_rounds_sql()}
+SELECT vec_id, hit.c::INT AS cluster, hit.d AS distance,
+  (sum(hit.d) OVER (PARTITION BY hit.c))::BIGINT AS cluster_inertia,
+  (sum(hit.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(cv, ',')) AS centroid_sha256
+FROM a{CLUSTERS["rounds"]} a JOIN c{CLUSTERS["rounds"]} c ON c.c = a.hit.c
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), **CLUSTERS)
+
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query("op12_source_divergence", f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(text, '') AS text, coalesce(lang, '') AS lang,
+    coalesce(source, '') AS source FROM documents
+), t AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(
+    translate(text, '{UPPER}', '{LOWER}'), '{_TERM}')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term
+  HAVING count(DISTINCT rid) >= {LEAST_DOCUMENTS}
+), langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang
+), groups AS (SELECT DISTINCT lang, source FROM d
+), counts AS (
+  SELECT t.lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+    1 + {UNIT}::HUGEINT * (coalesce(n, 0) + 1) // (coalesce(total, 0) + v)::HUGEINT AS p,
+    1 + {UNIT}::HUGEINT * (lang_n + 1) // (lang_total + v)::HUGEINT AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN totals s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    (SELECT coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) FROM p x JOIN p y
+     ON x.lang = y.lang AND x.term = y.term
+     WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+  FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM ranked WHERE part = 'pair' OR rank <= {TOP_TERMS}
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+@query("op13_kernel_langid")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.filter(~kept_back(F.col("doc_id"))))
+    found = predict_languages(docs.select("doc_id", "text"), model, score_out="score")
+    return found.select("doc_id", kept_back(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
