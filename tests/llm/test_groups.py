@@ -146,7 +146,7 @@ def test_divergence_equals_brute_force(spark, monkeypatch, entries, cells):
         str.maketrans("012456789", "abcdEfgHi"))), rng.choice(["en", "de", None]),
         rng.choice(names)) for _, t, _ in corpus(4, 250)]
     rows += [("hot term " * 30, "en", "a")] * 40  # copies in one group
-    rows += [(t, "fr", "x" * (i % 2)) for i, t, _ in edge_rows()]
+    rows += [(t, "fr", "x" * ((i or 0) % 2)) for i, t, _ in edge_rows()]
     rows += [(None, "empty", "a"), ("", "empty", "b"), ("one two", "lone", "a"),
              (None, None, None), ("rare once", "few", "a"), ("other", "few", "b")]
     got = sorted(map(tuple, divergence.source_divergence(sources(spark, rows)).collect()))
