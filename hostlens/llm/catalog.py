@@ -20,7 +20,7 @@ from hostlens.llm.piece_codec import Vocabulary, decode_documents, encode_docume
 from hostlens.llm.sharding import shard_documents
 from hostlens.llm.source_divergence import LEAST_DOCUMENTS, TOP_TERMS, UNIT, source_divergence
 from hostlens.llm.streaming_dedup import streaming_dedup
-from hostlens.llm.template_lines import drop_recurring_lines
+from hostlens.llm.template_lines import BLANK_FREE, drop_recurring_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -270,7 +270,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
-_LEAD = ("array_to_string(list_transform(string_split(line, ' ')[1:3], lambda t: "
+_SPACED = (f"regexp_replace(regexp_replace(line, '({BLANK_FREE})([0-9])', '\\1 \\2', 'g'), "
+           f"'([0-9])({BLANK_FREE})', '\\1 \\2', 'g')")
+_LEAD = ("array_to_string(list_transform(string_split(spaced, ' ')[1:3], lambda t: "
          "CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ')")
 
 
@@ -280,41 +282,47 @@ WITH l AS (
     generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents
 ), led AS (
-  SELECT *, {_LEAD} AS lead, len(string_split(line, ' ')) AS n FROM l
+  SELECT doc_id, text, pos, line, spaced, string_split(line, ' ') AS w,
+    len(string_split(spaced, ' ')) || ' ' || {_LEAD} AS leaf
+  FROM (SELECT *, {_SPACED} AS spaced FROM l) WHERE regexp_matches(line, '[^ \t\n\v\f\r]')
 ), h AS (
-  SELECT *, ('0x' || substr(md5(lead), 1, 15))::BIGINT AS h FROM led
+  SELECT *, list_min(list_transform(range(0, (len(w) - 1) // 4 + 1), lambda k:
+    left(md5(array_to_string(w[k * 4 + 1:k * 4 + 4], ' ')), 16))) AS h
+  FROM led
 ), f AS (
-  SELECT doc_id, arg_min(h, -ln((h + 1) / 1152921504606846976.0) / (length(line) + 1)) AS f1
-  FROM h GROUP BY doc_id
+  SELECT doc_id, min({{'h': h, 'line': line}}) AS top FROM h GROUP BY doc_id
 ), f2 AS (
-  SELECT doc_id, arg_min(h, -ln((h + 1) / 1152921504606846976.0) / (length(line) + 1)) AS f2
-  FROM h JOIN f USING (doc_id) WHERE h <> f1 GROUP BY doc_id
-), lines AS (
-  SELECT h.doc_id, h.text, pos, line, n || ' ' || lead AS leaf,
-    CASE WHEN h.h = f1 THEN coalesce(f2, f1) ELSE f1 END AS family
-  FROM h JOIN f ON h.doc_id = f.doc_id LEFT JOIN f2 ON h.doc_id = f2.doc_id WHERE n >= 3
-), found AS (
+  SELECT doc_id, min(h.h) AS second FROM h JOIN f USING (doc_id)
+  WHERE line <> f.top.line GROUP BY doc_id
+), lines AS MATERIALIZED (
+  SELECT h.doc_id, pos, line, spaced, leaf, CASE WHEN line = f.top.line
+    THEN coalesce(second, left(md5(text), 16)) ELSE f.top.h END AS family
+  FROM h JOIN f ON h.doc_id = f.doc_id LEFT JOIN f2 ON h.doc_id = f2.doc_id
+), found AS MATERIALIZED (
   SELECT * FROM lines WHERE leaf IN (
-    SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT family) >= 10
-      AND count(DISTINCT family) >= 0.25 * count(DISTINCT text))
+    SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT family) >= 10)
+), same AS MATERIALIZED (
+  SELECT line FROM found GROUP BY line HAVING count(DISTINCT family) >= 10
+), varied AS MATERIALIZED (SELECT * FROM found WHERE line NOT IN (SELECT line FROM same)
 ), tokens AS (
-  SELECT leaf, line, family, unnest(string_split(line, ' ')) AS token,
-    generate_subscripts(string_split(line, ' '), 1) AS i
-  FROM (SELECT DISTINCT leaf, line, family FROM found)
+  SELECT leaf, line, family, unnest(string_split(spaced, ' ')) AS token,
+    generate_subscripts(string_split(spaced, ' '), 1) AS i
+  FROM (SELECT DISTINCT leaf, line, spaced, family FROM varied)
 ), constants AS (
   SELECT leaf, i, token FROM tokens WHERE NOT regexp_matches(token, '[0-9]')
   GROUP BY leaf, i, token HAVING count(DISTINCT family) >= 10
 ), parsed AS (
-  SELECT t.leaf, t.line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY t.i) AS template
+  SELECT t.line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY t.i) AS template
   FROM (SELECT DISTINCT leaf, line, i, token FROM tokens) t
   LEFT JOIN constants c ON t.leaf = c.leaf AND t.i = c.i AND t.token = c.token
-  GROUP BY t.leaf, t.line HAVING count(c.token) >= 0.75 * count(*)
+  GROUP BY t.line HAVING 5 * count(c.token) >= 2 * count(*) AND 4 * count(c.token) >= 3 *
+    count(*) FILTER (NOT regexp_matches(t.token, '[0-9]') OR regexp_matches(t.token, '\\p{{L}}'))
 ), placed AS (
-  SELECT f.*, p.template FROM found f JOIN parsed p ON f.leaf = p.leaf AND f.line = p.line
+  SELECT v.*, p.template FROM varied v JOIN parsed p ON v.line = p.line
 ), gone AS (
   SELECT doc_id, pos FROM placed WHERE template IN (
-    SELECT template FROM placed GROUP BY template HAVING count(DISTINCT family) >= 10
-      AND count(DISTINCT family) >= 0.25 * count(DISTINCT text))
+    SELECT template FROM placed GROUP BY template HAVING count(DISTINCT family) >= 10)
+  UNION ALL SELECT doc_id, pos FROM found WHERE line IN (SELECT line FROM same)
 )
 SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, sha256(coalesce(
   string_agg(CASE WHEN g.pos IS NULL THEN l.line END, chr(10) ORDER BY l.pos), ''))
@@ -329,7 +337,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(doc_id) -> Column:
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 @query("op6_deobfuscation")

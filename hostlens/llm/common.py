@@ -23,6 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused_names(df: DataFrame, *stems: str) -> list[str]:
+    """A column name for each stem that the frame does not have, in any case of letters."""
+    taken = {name.lower() for name in df.columns}
+    found = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem = f"_{stem}"
+        found.append(stem)
+        taken.add(stem.lower())
+    return found
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

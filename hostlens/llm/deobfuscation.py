@@ -23,29 +23,35 @@ SURE_SUPPORT, SURE_PRECISION = 8, 0.9
 MOST_FEATURES = 2_000  # of one word or stem each; what they weigh is a few hundred kB
 STEMS = (4, 5, 6)
 SYMBOLS = 64  # 0: no letter, 1-26: a-z, the rest: other letters by code point
-BEAM, CANDIDATES = 24, 3
 CACHE = 500_000
+MOST_RUN = 3  # longer runs of one character are read as so many
+PART, STEP = 200, 100  # long spans are read in parts of PART characters that start STEP apart
 
 # what a sign may stand for
 LEET = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
-JOINERS = " .-_*~'`,"
+JOINERS = " \t\n.-_*~'`,"
 # costs in nats: a sign read as a letter, a masked letter, a dropped repetition in a run of
 # three or more or of two, a dropped joiner, a joiner or sign read as the end of a word
-SIGN, MASK, LONG_RUN, SHORT_RUN, DROP, STOP = 1.0, 3.5, 0.3, 4.0, 0.2, 2.0
+SIGN, MASK, LONG_RUN, SHORT_RUN, DROP, STOP = 1.0, 3.5, 0.3, 2.0, 0.2, 2.0
 
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_RUN = re.compile(r"(.)\1{%d,}" % MOST_RUN, re.DOTALL)
 _SIGNS = re.compile("[" + re.escape("".join(LEET)) + r"*]")
 _WORDS = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_@$]|[@$!|+(€£])(?:[ .\-_*~]{1,3}(?:[^\W_]|[@$!|+(€£])){2,}"
+# single letters or signs with joiners between them
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€£])(?:[\s.\-_*~'`,]{1,4}(?:[^\W_]|[@$!|+(€£])){2,}"
                      r"(?![^\W_])")
+_JOINED = re.compile(r"[^\W\d_][.\-_*~'`,]+[^\W\d_]")
 _EDGES = " \t\n\r\x0b\x0c.,;:!?%&$#*|()[]{}<>\"'`~-_=+/\\…«»“”‘’"
 
-# edges that stand for no letter; signs by which a token without letters may be a word
+# edges that stand for no letter; a last `!` ends a sentence
 _OUTER = "".join(c for c in _EDGES if c not in LEET and c != "*")
-_HARD_SIGNS = re.compile(r"[@$€£]")
+_ENDS = _OUTER + "!"
+# a token without letters may be a word if it has two of these
+_HARD_SIGNS = re.compile(r"[@$€£].*[@$€£]")
 
 
 def _symbol_table() -> np.ndarray:
@@ -93,51 +99,65 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
-def decode(span: str, costs: np.ndarray) -> list[str]:
-    """The best readings of a lower-case span: a beam Viterbi search over its lattice.
+def moves_of(span: str, ends: bool = True) -> list[list[tuple[str, int, float]]]:
+    """The lattice of a lower-case span: for each character its (output, symbol, price).
 
     A letter reads as itself, or as nothing where it repeats the one before; a sign as a
-    letter it stands for, as nothing (joiners) or as the end of a word; a star as any letter.
+    letter it stands for, as nothing (joiners) or, with `ends`, as the end of a word; a star
+    as any letter.
     """
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    own = symbols(span).tolist()
+    lattice = []
     for at, char in enumerate(span):
-        run = at > 0 and span[at - 1] == char and char.isalpha()
-        longer = run and (at > 1 and span[at - 2] == char
-                          or at + 1 < len(span) and span[at + 1] == char)
-        moves: list[tuple[str, float]] = []
+        moves: list[tuple[str, int, float]] = []
         if char.isalpha():
-            moves.append((char, 0.0))
-            if run:
-                moves.append(("", LONG_RUN if longer else SHORT_RUN))
+            moves.append((char, own[at], 0.0))
+            if at and span[at - 1] == char:
+                longer = at > 1 and span[at - 2] == char or span[at + 1: at + 2] == char
+                moves.append(("", -1, LONG_RUN if longer else SHORT_RUN))
         else:
-            moves += [(letter, SIGN) for letter in LEET.get(char, "")]
+            moves += [(letter, ord(letter) - 96, SIGN) for letter in LEET.get(char, "")]
             if char == "*":
-                moves += [(letter, MASK) for letter in "abcdefghijklmnopqrstuvwxyz"]
+                moves += [(chr(96 + k), k, MASK) for k in range(1, 27)]
             if char in JOINERS:
-                moves.append(("", DROP))
-            moves.append((" ", STOP))
-        fresh: dict[tuple[int, int, str], tuple[float, str]] = {}
-        for (a, b, _), (cost, text) in states.items():
-            for out, price in moves:
-                if not out or out == " " and text.endswith(" "):
-                    key, total, new = (a, b, text[-8:]), cost + price, text
+                moves.append(("", -1, DROP))
+            if ends or not moves:
+                moves.append((" ", 0, STOP))
+        lattice.append(moves)
+    return lattice
+
+
+def decode(span: str, costs: list[float], ends: bool = True) -> str:
+    """The best reading of a lower-case span by the character model, exactly.
+
+    Viterbi search over the lattice: a state is the last two symbols put out, and keeps its
+    cheapest reading, of equal ones the first by text. A word ends once: after an end, or
+    before the first letter, another end adds nothing. `costs` is the flat table of
+    `character_costs`.
+    """
+    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    for moves in moves_of(span, ends):
+        fresh: dict[tuple[int, int], tuple[float, str]] = {}
+        for (a, b), (cost, text) in states.items():
+            row = (a * SYMBOLS + b) * SYMBOLS
+            for out, s, price in moves:
+                if s < 0 or s == 0 and b == 0:
+                    key, new = (a, b), (cost + price, text)
                 else:
-                    s = 0 if out == " " else int(symbols(out)[0])
-                    new = text + out
-                    key, total = (b, s, new[-8:]), cost + price + float(costs[a, b, s])
-                if key not in fresh or total < fresh[key][0]:
-                    fresh[key] = (total, new)
-        best = sorted(fresh.items(), key=lambda x: (x[1][0], x[1][1]))[:BEAM]
-        states = dict(best)
-    ends = sorted((cost + float(costs[a, b, 0]), text) for (a, b, _), (cost, text) in states.items())
-    return [text for _, text in ends[:CANDIDATES]]
+                    key, new = (b, s), (cost + price + costs[row + s], text + out)
+                old = fresh.get(key)
+                if old is None or new < old:
+                    fresh[key] = new
+        states = fresh
+    return min((cost + costs[(a * SYMBOLS + b) * SYMBOLS], text)
+               for (a, b), (cost, text) in states.items())[1]
 
 
 class Reader:
     """Words of texts, with obfuscated spans restored; remembers tokens seen before."""
 
     def __init__(self, costs: np.ndarray) -> None:
-        self.costs = costs
+        self.costs = costs.ravel().tolist()
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def token(self, token: str) -> tuple[str, ...]:
@@ -148,19 +168,29 @@ class Reader:
             known = self.seen[token] = self._read(token)
         return known
 
+    def span(self, span: str) -> list[str]:
+        """The words that a span of any length is read as; without letters, signs are letters."""
+        ends = _WORDS.search(span) is not None
+        span = _RUN.sub(lambda run: run.group(1) * MOST_RUN, span)
+        if len(span) <= PART:
+            return decode(span, self.costs, ends).split()
+        # every stretch of up to PART - STEP characters lies in one of the parts
+        return [word for at in range(0, len(span) - PART + STEP, STEP)
+                for word in decode(span[at: at + PART], self.costs, ends).split()]
+
     def _read(self, token: str) -> tuple[str, ...]:
-        core = token.strip(_EDGES)
-        signs = _SIGNS.search(token)
-        if core.isalpha() and not signs and not _TRIPLE.search(core):
-            return (core,)
+        plain = token.strip(_OUTER).rstrip(_ENDS)
+        double = _DOUBLE.search(plain)
+        if plain.isalpha() and not double:
+            return (plain,)
         words = _WORDS.findall(token)
-        if len(token) <= 64 and (words or _HARD_SIGNS.search(token)) and (
-                _TRIPLE.search(core) or signs):
-            # signs at the edges may be letters or not: the character costs tell
-            plain = token.strip(_OUTER)
-            for reading in dict.fromkeys(r for span in dict.fromkeys((token, plain, core)) if span
-                                         for r in decode(span, self.costs)):
-                words += reading.split()
+        if (words or _HARD_SIGNS.search(token)) and (
+                double or _SIGNS.search(plain) or _JOINED.search(plain)):
+            # signs at the edges may be letters or not: both are read
+            core = plain.strip(_EDGES)
+            for span in dict.fromkeys((plain, core)):
+                if span:
+                    words += self.span(span)
         return tuple(dict.fromkeys(words))
 
     def words(self, text: str) -> set[str]:
@@ -170,13 +200,8 @@ class Reader:
             found.update(self.token(token))
         for match in _SPACED.finditer(text):
             span = match.group()
-            if len(span) <= 200:
-                for reading in decode(span, self.costs):
-                    found.update(reading.split())
-            else:  # a long run of single characters, read in overlapping parts
-                for start in range(0, len(span), 100):
-                    for reading in decode(span[start: start + 200], self.costs):
-                        found.update(reading.split())
+            if _WORDS.search(span) or _HARD_SIGNS.search(span):
+                found.update(self.span(span))
         return found
 
 
@@ -305,6 +330,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text",
     """The rows with the score of their whole texts, 0 to 1; null texts score as empty ones.
 
     Only the text is read; no row depends on another. A column of the new name is replaced.
+    Tokens with signs, joiners or doubled letters are read both as they stand and decoded;
+    tokens and spaced runs of any length are read to their end.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in docs.schema.fields if f.name != out_col]

@@ -6,21 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostlens.llm.common import mix, pieces, window_hashes, word_hashes
-from hostlens.operators.components import component_roots
+from hostlens.llm.common import mix, pieces, unused_names, window_hashes, word_hashes
+from hostlens.llm.linked import linked_roots
 from hostlens.session import cut
 
 SHINGLE = 5
 # links: 100 * |A n B| >= 80 * |A u B|, so |A| + |B| >= 9 times the number of differences
 PERCENT = 80
 BAND = 1.5  # largest to smallest set size of a band
-SPARE = 2.0  # partitions of a band, to those that similar sets may disagree in
+# from this size on, a band's groups are cut into PARTS parts, all but one of which are signed
+TWO_LEVELS, PARTS = 64, 3
+SPARE_GROUPS = 0.2  # groups of a two-level band, over those that similar sets may disagree in
+SPARE = 2.0  # partitions of a smaller band, to those that similar sets may disagree in
 # a shingle is taken for common if batches in which so many documents have it hold this
-# share of all documents' occurrences
-COMMON_SHARE, COMMON_LEAST = 0.0005, 2
+# share of all documents' occurrences; it is looked up in a table of fixed size, by its hash
+COMMON_SHARE, COMMON_LEAST, COMMON_SLOTS = 0.0005, 2, 1 << 21
 
 
 def band_starts(most: int) -> np.ndarray:
@@ -70,19 +73,33 @@ def _class_ids(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return ids[0].view(np.int64), ids[1].view(np.int64)
 
 
+def band_layout(last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(groups, parts of a group) of bands by their largest set size."""
+    differences = 2 * last // 9
+    half = differences // 2 + 1
+    two = last >= TWO_LEVELS
+    groups = np.where(two, half + np.ceil(SPARE_GROUPS * half),
+                      np.ceil(SPARE * (differences + 1))).astype(np.int64)
+    return groups, np.where(two, PARTS, 1)
+
+
 def signatures(
     hashes: np.ndarray, sizes: np.ndarray, common: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of the set) of all sets.
 
     A set of n shingles signs in its own size band and, where a similar set may be in the
-    next band, there too. In a band the shingle domain is split into P partitions by hash;
-    sets that are linked differ in at most k = (|A| + |B|) / 9 shingles, so they agree
-    on P - k partitions at least. A signature is the hash of all shingles in a partition.
-    It is enough for each set to sign its k + 1 strongest partitions, in an order that
-    only depends on their content: the strongest of those the two agree on has P - k - 1
-    weaker ones on both sides, and so is signed by both. Strength is the number of
-    shingles that aren't common; which ones are taken for common never changes the links.
+    next band, there too. Linked sets differ in at most k = (|A| + |B|) / 9 shingles. In a
+    band the shingle domain is split by hash into g groups, and each group into three parts.
+    At most k / 2 groups hold two differences or more; in each of the others, one part at
+    most holds a difference. So of the subsets of two parts, enumerated in every group, the
+    sets agree on one in g - k / 2 groups at least. A signature is the hash of all shingles in
+    such a subset. Small bands have whole groups as signatures; there the sets agree on g - k.
+
+    Sets that agree on t of their signatures may each leave out t - 1, those that come last
+    in an order that only depends on content: the first of the t is signed by both. The
+    weakest are left out, and strength is the number of shingles that aren't common; which
+    ones are taken for common never changes the links.
     """
     if not len(hashes):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -90,8 +107,7 @@ def signatures(
     band = np.searchsorted(starts, sizes, "right") - 1
     rare = np.ones(len(hashes))
     if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        rare[common[at] == hashes] = 0
+        rare[common[(hashes % np.uint64(COMMON_SLOTS)).astype(np.int64)]] = 0
     owner = np.repeat(np.arange(len(sizes)), sizes)
     out_sig, out_set = [], []
     for ahead in (0, 1):
@@ -100,29 +116,41 @@ def signatures(
         partner = np.minimum(last, sizes * 100 // PERCENT)
         wanted = (sizes > 0) & (partner >= np.where(ahead, starts[b], 1))
         k = (sizes + partner) // 9
-        parts = np.ceil(SPARE * (2 * last // 9 + 1)).astype(np.int64)
-        own = wanted[owner]
-        h, o = hashes[own], owner[own]
-        if not len(h):
-            continue
-        seed = mix(b.astype(np.uint64) + np.uint64(977))
-        offset = np.cumsum(np.where(wanted, parts, 0)) - np.where(wanted, parts, 0)
-        mixed = mix(h + seed[o])
-        slot = offset[o] + (mixed % parts[o].astype(np.uint64)).astype(np.int64)
-        total = int(np.where(wanted, parts, 0).sum())
-        content = np.zeros(total, dtype=np.uint64)
-        np.add.at(content, slot, mix(mixed))
-        count = np.bincount(slot, minlength=total)
-        strength = np.bincount(slot, weights=rare[own], minlength=total)
-        sets = np.repeat(np.arange(len(sizes))[wanted], parts[wanted])
-        part = np.arange(total) - np.repeat(offset[wanted], parts[wanted])
-        sig = mix(content + mix(seed[sets] + part.astype(np.uint64)))
-        order = np.lexsort((sig, -count, -strength, sets))
-        rank = np.empty(total, dtype=np.int64)
-        rank[order] = part  # partitions of a set are contiguous before and after
-        signed = rank <= k[sets]
-        out_sig.append(sig[signed])
-        out_set.append(sets[signed])
+        groups, parts = band_layout(last)
+        for each in (1, PARTS):
+            chosen = np.flatnonzero(wanted & (parts == each))
+            own = (wanted & (parts == each))[owner]
+            if not own.any():
+                continue
+            # sets are numbered anew, 0 to len(chosen) - 1, and so are their slots
+            number = np.full(len(sizes), -1)
+            number[chosen] = np.arange(len(chosen))
+            slots = groups[chosen] * each
+            offset = np.cumsum(slots) - slots
+            seed = mix(b[chosen].astype(np.uint64) + np.uint64(977))
+            o = number[owner[own]]
+            mixed = mix(hashes[own] + seed[o])
+            slot = offset[o] + (mixed % slots[o].astype(np.uint64)).astype(np.int64)
+            total = int(slots.sum())
+            content = np.zeros(total, dtype=np.uint64)
+            np.add.at(content, slot, mix(mixed))
+            count = np.bincount(slot, minlength=total)
+            strength = np.bincount(slot, weights=rare[own], minlength=total)
+            if each > 1:  # all but one of a group's parts, which lie side by side
+                left = [content, count, strength]
+                left = [(x.reshape(-1, each).sum(axis=1, keepdims=True) - x.reshape(-1, each)).ravel()
+                        for x in left]
+                content, count, strength = left
+            sets = np.repeat(np.arange(len(chosen)), slots)
+            place = np.arange(total) - offset[sets]
+            sig = mix(content + mix(seed[sets] + place.astype(np.uint64)))
+            order = np.lexsort((sig, -count, -strength, sets))
+            rank = np.empty(total, dtype=np.int64)
+            rank[order] = place  # a set's signatures are contiguous before and after
+            agreed = groups[chosen] - (k[chosen] // 2 if each > 1 else k[chosen])
+            signed = rank < (slots - agreed + 1)[sets]
+            out_sig.append(sig[signed])
+            out_set.append(chosen[sets[signed]])
     if not out_sig:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate(out_sig), np.concatenate(out_set)
@@ -144,28 +172,29 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _common(docs: DataFrame) -> np.ndarray:
-    """Shingles that many documents have, ascending.
+    """Whether shingles of a slot, the hash modulo COMMON_SLOTS, are common.
 
-    Each batch reports those that COMMON_LEAST of its documents have; of the reports, those
-    stay whose documents are a share of COMMON_SHARE of all. There can be no more than
-    1 / COMMON_SHARE times the mean set size, however large the table is.
+    Each batch reports the shingles that COMMON_LEAST of its documents have; a slot is common
+    if its reports hold a share of COMMON_SHARE of all documents. The table has a fixed size,
+    and no more slots than that reach the driver, however long or many the texts are.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes, _ = shingle_sets(batch.column(1))
             found, n = np.unique(hashes, return_counts=True)
             often = n >= COMMON_LEAST
+            slot = (found[often] % np.uint64(COMMON_SLOTS)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(found[often].view(np.int64), 0)),
-                 pa.array(np.append(n[often], batch.num_rows).astype(np.int64)),
-                 pa.array(np.append(np.ones(often.sum(), dtype=bool), False))],
-                names=["shingle", "n", "real"])
+                [pa.array(np.append(slot, -1)),
+                 pa.array(np.append(n[often], batch.num_rows).astype(np.int64))], names=["slot", "n"])
 
-    seen = docs.mapInArrow(run, "shingle bigint, n bigint, real boolean")
-    counts = cut(seen.groupBy("real", "shingle").agg(F.sum("n").alias("n")), "common-shingles")
-    rows = counts.filter("not real").agg(F.sum("n")).first()[0] or 0
-    found = counts.filter("real").filter(F.col("n") >= COMMON_SHARE * rows).select("shingle")
-    return np.sort(np.array([r[0] for r in found.collect()], dtype=np.int64).view(np.uint64))
+    seen = docs.mapInArrow(run, "slot bigint, n bigint")
+    counts = cut(seen.groupBy("slot").agg(F.sum("n").alias("n")), "common-shingles")
+    rows = counts.filter("slot < 0").agg(F.sum("n")).first()[0] or 0
+    found = counts.filter("slot >= 0").filter(F.col("n") >= COMMON_SHARE * rows).select("slot")
+    table = np.zeros(COMMON_SLOTS, dtype=bool)
+    table[found.toArrow().column(0).to_numpy()] = True
+    return table
 
 
 def _buckets(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -232,43 +261,44 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) of every row.
+def _compared(pairs: DataFrame, texts: DataFrame, edges: DataFrame | None,
+              ) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, roots) after the candidate pairs are verified; the links are one for each node."""
+    found = cut(_verified(pairs, texts), "links")
+    if found.isEmpty():
+        return edges, None
+    roots = cut(linked_roots(found if edges is None else edges.unionByName(found)), "roots")
+    return roots.filter("node <> root").select(
+        F.col("root").alias("a"), F.col("node").alias("b")), roots
 
-    Rows of equal shingle sets form a class, which is compared once. Classes that share a
-    signature are candidates. In each signature's bucket, leaders (one in the first round,
-    then up to 64, 4096, ...) are compared with all members that are not yet in the leader's
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of set ids from members with a leader."""
+    return members.select(F.least("set_id", "lead").alias("a"),
+                          F.greatest("set_id", "lead").alias("b")).distinct()
+
+
+def _class_roots(members: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(node, root) of the classes that links join, from the members of all buckets.
+
+    First every class is compared with one other: the one with the most company of all that
+    lead its buckets. The text that near copies were made from has the most, so a group of
+    copies is mostly joined by as many comparisons as it has members. Then, in each bucket
+    that still has members of several components, leaders (one in the first round, then up
+    to 64, 4096, ...) are compared with all members that are not yet in the leader's
     component, and leave; buckets go on until all their members are in one component or have
-    led. Members with the most company lead first, as the text that near copies were made
-    from is similar to more of them than they are to each other. So every candidate pair is either compared or already connected: no link is lost,
-    and a bucket of near copies takes one round instead of all its pairs.
-
-    component_id is the smallest doc_id that links reach, the own one included. Rows with
-    no words link with nothing. Null ids are no component's id unless it has no other.
-    Shingles are compared by 64-bit hashes. Texts are shuffled once to fetch one text of
-    each class with company, then only those texts move.
+    led. So every candidate pair is either compared or already connected: no link is lost.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(
-        F.col(text_col), F.lit("")).alias("text"))
-    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    sets = cut(_rows(hashed), "sets")
-    classes = cut(sets.filter("n_shingles > 0").groupBy("set_id", "set_check").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("rep"),
-        F.min("doc_id").alias("least")), "classes")
-    members = cut(_buckets(rows.filter("text <> ''"), _common(rows)), "buckets")
-    wanted = classes.join(members.select("set_id").distinct(), "set_id").select(
-        "set_id", F.col("rep.doc_id").alias("w_id"), F.col("rep.text_hash").alias("w_hash"))
-    texts = cut(hashed.join(
-        wanted, hashed["doc_id"].eqNullSafe(wanted["w_id"]) & (F.col("text_hash") == F.col("w_hash"))
-    ).select("set_id", "text").dropDuplicates(["set_id"]), "class-texts")
-
-    # how many others share a set's signatures: the original of near copies shares most
     shared = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     weights = members.join(shared, "sig").groupBy("set_id").agg(F.sum("n").alias("weight"))
     members = cut(members.join(weights, "set_id").select("sig", "set_id", "weight"), "weighted")
-    edges = None
-    roots = None
+    edges = roots = None
+    first = members.groupBy("sig").agg(F.max(F.struct("weight", "set_id")).alias("lead"))
+    best = members.join(first, "sig").filter("set_id <> lead.set_id").groupBy("set_id").agg(
+        F.max("lead").alias("lead"))
+    edges, fresh = _compared(_pairs(best.select("set_id", F.col("lead.set_id").alias("lead"))),
+                             texts, edges)
+    roots = fresh if fresh is not None else roots
     turn = 1
     while True:
         placed = members.withColumn("comp", F.col("set_id")) if roots is None else (
@@ -278,44 +308,89 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id",
         open_ = open_.filter("c0 <> c1").select("sig")
         members = cut(placed.join(open_, "sig"), "open-buckets")
         if members.isEmpty():
-            break
+            return roots
         leaders = members.groupBy("sig", F.pmod(F.xxhash64("set_id"), F.lit(turn)).alias("s")).agg(
             F.max(F.struct("weight", "set_id", "comp")).alias("lead"))
         leaders = leaders.select("sig", F.col("lead.set_id").alias("lead"),
                                  F.col("lead.comp").alias("lead_comp"))
-        pairs = members.join(leaders, "sig").filter("comp <> lead_comp").select(
-            F.least("set_id", "lead").alias("a"), F.greatest("set_id", "lead").alias("b")).distinct()
-        found = cut(_verified(pairs, texts), "links")
+        pairs = _pairs(members.join(leaders, "sig").filter("comp <> lead_comp"))
         members = members.select("sig", "set_id", "weight").join(
             leaders.select("sig", F.col("lead").alias("set_id")), ["sig", "set_id"], "left_anti")
-        fresh = found.select(F.lit(0).alias("key"), F.col("a").alias("u"), F.col("b").alias("v"))
-        if not fresh.isEmpty():
-            edges = fresh if edges is None else edges.unionByName(fresh)
-            roots = cut(component_roots(edges, "key").select("node", "root"), "roots")
-            edges = roots.filter("node <> root").select(
-                F.lit(0).alias("key"), F.col("root").alias("u"), F.col("node").alias("v"))
+        edges, fresh = _compared(pairs, texts, edges)
+        roots = fresh if fresh is not None else roots
         turn *= 64
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, set_id, set_check, root, component_id) of every row."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(
+        F.col(text_col), F.lit("")).alias("text"))
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    sets = cut(_rows(hashed), "sets")
+    classes = cut(sets.filter("n_shingles > 0").groupBy("set_id", "set_check").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("rep"),
+        F.min("doc_id").alias("least")), "classes")
+    members = cut(_buckets(rows.filter("text <> ''"), _common(rows)), "buckets")
+    wanted = classes.join(members.select("set_id").distinct(), "set_id").select(
+        "set_id", F.col("rep.doc_id").alias("w_id"), F.col("rep.text_hash").alias("w_hash"))
+    texts = cut(hashed.join(
+        wanted, hashed["doc_id"].eqNullSafe(wanted["w_id"]) & (F.col("text_hash") == F.col("w_hash"))
+    ).select("set_id", "text").dropDuplicates(["set_id"]), "class-texts")
+    roots = _class_roots(members, texts)
     if roots is None:
-        named = classes.select("set_id", "set_check", F.col("least").alias("component_id"))
+        named = classes.select("set_id", "set_check", F.col("set_id").alias("root"),
+                               F.col("least").alias("component_id"))
     else:
         named = classes.join(roots, classes["set_id"] == roots["node"], "left").withColumn(
             "root", F.coalesce("root", "set_id"))
         lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-        named = named.join(lowest, "root").select("set_id", "set_check", "component_id")
-    return sets.join(named, ["set_id", "set_check"], "left").select(
+        named = named.join(lowest, "root").select("set_id", "set_check", "root", "component_id")
+    return sets.join(named, ["set_id", "set_check"], "left")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id",
+                       text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id) of every row.
+
+    Rows of equal shingle sets form a class, which is compared once. Classes that share a
+    signature are candidates; `_class_roots` compares them. component_id is the smallest
+    doc_id that links reach, the own one included. Rows with no words link with nothing. Null
+    ids are no component's id unless it has no other. Shingles are compared by 64-bit hashes.
+    Texts are shuffled once to fetch one text of each class with company, then only those
+    texts move.
+    """
+    found = _components(docs, id_col, text_col)
+    return found.select(
         "doc_id", "text_hash", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         .alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, of each component the one with the smallest id.
+    """The documents, of each component one: the row with the smallest id.
 
-    Components without any id keep all their rows; rows equal in id and text count as
-    one document and stay together.
+    Rows without an id come last, then the text hash decides; of rows equal in id and text
+    one stays, whichever. Rows without words are no component's and all stay. Other columns
+    stay, whatever their names.
     """
-    found = similar_components(docs, id_col, text_col)
-    dropped = cut(found.filter("doc_id <> component_id").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "near-copies")
+    own_id, own_hash = unused_names(docs, "id", "hash")
+    found = cut(_components(docs, id_col, text_col).filter("n_shingles > 0").select(
+        "doc_id", "text_hash", "set_check", F.coalesce("root", "set_id").alias("root")), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    best = found.groupBy("root").agg(F.min(order).alias("best"))
+    keys = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    judged = cut(keys.join(best, "root").select(
+        F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash),
+        (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+         & (F.col("text_hash") == F.col("best.text_hash"))).alias("stays"), "n"), "judged")
     own = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(dropped, (docs[id_col] == F.col("_id")) & (own == F.col("_hash")), "left_anti")
+
+    def same(other: DataFrame) -> Column:
+        return docs[id_col].eqNullSafe(other[own_id]) & (own == other[own_hash])
+
+    gone = judged.filter("not stays or n > 1").select(own_id, own_hash)
+    left = docs.join(gone, same(gone), "left_anti")
+    again = judged.filter("stays and n > 1").select(own_id, own_hash)
+    # only rows that are there several times move once more
+    copies = docs.join(again, same(again)).dropDuplicates([own_id, own_hash]).select(*docs.columns)
+    return left.unionByName(copies)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import sys
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -111,7 +112,7 @@ def test_partenum_join_finds_every_link(spark, seed):
 def test_partenum_signatures_meet_at_every_size():
     """Sets at the bound of similarity share a signature, whatever is taken for common."""
     rng = np.random.default_rng(2)
-    for n in [*range(1, 40), 99, 500, 2311]:
+    for n in [*range(1, 40), *range(55, 75), 99, 128, 500, 2311]:
         for _ in range(6):
             a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
             drop = rng.integers(0, n // 5 + 1)
@@ -120,12 +121,90 @@ def test_partenum_signatures_meet_at_every_size():
             both = n - drop
             if 100 * both < 80 * (n + add):
                 continue
-            common = np.sort(rng.choice(a, n // 3, replace=False))
+            common = np.zeros(partenum.COMMON_SLOTS, dtype=bool)
+            common[rng.choice(a, n // 3, replace=False) % np.uint64(partenum.COMMON_SLOTS)] = True
             sig, at = partenum.signatures(
                 np.concatenate((np.sort(a), np.sort(b))), np.array([len(a), len(b)]), common)
             assert set(sig[at == 0].tolist()) & set(sig[at == 1].tolist()), (n, drop, add)
 
 
+def test_signatures_are_subsets_of_two_parts():
+    """A set of one shingle in a large band has it in just the subsets that hold its part."""
+    groups, parts = partenum.band_layout(np.array([63, 64, 900]))
+    assert parts.tolist() == [1, 3, 3] and groups.tolist() == [30, 10, 122]
+    a = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64))
+    sig, _ = partenum.signatures(a, np.array([500]), np.zeros(0, dtype=bool))
+    assert len(sig) == len(set(sig.tolist()))
+    # a shingle more changes two of the three subsets of one group of each band
+    more = np.sort(np.append(a, np.uint64(12345)))
+    both, at = partenum.signatures(np.append(a, more), np.array([500, 501]), np.zeros(0, dtype=bool))
+    shared = set(both[at == 0].tolist()) & set(both[at == 1].tolist())
+    assert len(shared) >= (at == 0).sum() - 12
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null and repeated ids, rows equal in all, and columns with any name."""
+    rng = random.Random(4)
+    text, other = prose(rng, 60), prose(rng, 50)
+    rows = [(None, text, "a"), (None, text, "b"), (7, text, "c"), (7, text, "d"),
+            (9, text + " end", "e"), (None, other, "f"), (None, other + " x", "g"),
+            (None, other, "f"), (3, "", "h"), (3, "", "h"), (None, None, "i"), (4, None, "j"),
+            (11, prose(rng, 40), "k")]
+    docs = frame(spark, rows).withColumns({n: F.lit(n) for n in (
+        "_id", "_hash", "id", "hash", "root", "set_id", "stays", "n")})
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = [(r["doc_id"], r["text"], r["source"]) for r in kept.collect()]
+    assert sorted(str(f) for f in found if f[2] in "hijk") == sorted(
+        str(r) for r in rows if r[2] in "hijk")
+    groups = [f for f in found if f[1] and f[1].startswith((text, other))]
+    assert len(groups) == 2 and {f[0] for f in groups} == {7, None}
+    assert all(r["_hash"] == "_hash" and r["n"] == "n" for r in kept.collect())
+
+
+def test_a_group_of_near_copies_takes_few_comparisons(spark, monkeypatch):
+    """Copies of one text that are similar to it but not to each other."""
+    rng = random.Random(6)
+    base = prose(rng, 300, 5000).split(" ")
+    rows = [(0, " ".join(base), "a")]
+    for k in range(1, 150):
+        copy = list(base)
+        for at in rng.sample(range(300), 7):
+            copy[at] = f"edit{k}at{at}"
+        rows.append((k, " ".join(copy), "a"))
+    compared = []
+    plain = partenum._verified
+    monkeypatch.setattr(partenum, "_verified", lambda pairs, texts: compared.append(
+        pairs.count()) or plain(pairs, texts))
+    got = similar_components(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == _components(rows)
+    assert compared[0] <= len(rows) and sum(compared) < 3 * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_linked_roots_are_the_smallest_reachable(spark, seed):
+    rng = random.Random(seed)
+    links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)]
+    links += [(rng.randint(200, 400), rng.randint(200, 400)) for _ in range(120)] + [(-5, 60), (7, 7)]
+    rng.shuffle(links)
+    names = {x for a, b in links if a != b for x in (a, b)}
+    names = sorted(names)
+    new = dict(zip(names, rng.sample(range(-10**6, 10**6), len(names)), strict=True))
+    links = [(new.get(a, 0), new.get(b, 0)) for a, b in links]
+    root = {x: x for x in new.values()}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in links:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = linked_roots(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()
+    assert len(got) == len(root) and all(r["root"] == find(r["node"]) for r in got)
+    assert linked_roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_partenum_of_an_empty_table(spark):
     assert similar_components(frame(spark, edge_rows()).limit(0)).count() == 0
     assert one_of_each(frame(spark, edge_rows()).limit(0)).count() == 0
@@ -239,3 +318,131 @@ def test_templates_of_log_like_documents_recur(spark):
     rows = [(i, t, "a") for i, t in enumerate(texts)]
     for r in drop_recurring_lines(frame(spark, rows)).collect():
         assert r["text"] == ("" if r["doc_id"] < 50 else bodies[r["doc_id"] - 50]), r["doc_id"]
+
+
+FREE = "[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]"
+
+
+def _brute_lines(rows, least=10):
+    """Texts without their recurring lines, by the rules of `recurring_lines`."""
+    def key(x):
+        return hashlib.md5(x.encode()).hexdigest()[:16]
+
+    def tokens(line):
+        return re.sub(f"([0-9])({FREE})", r"\1 \2", re.sub(f"({FREE})([0-9])", r"\1 \2", line)).split(" ")
+
+    def chunk(line):
+        w = line.split(" ")
+        return min(key(" ".join(w[k:k + 4])) for k in range(0, len(w), 4))
+
+    def leaf(line):
+        t = tokens(line)
+        return len(t), tuple("<*>" if re.search("[0-9]", x) else x for x in t[:3])
+
+    lines = []
+    for at, (_, text, _) in enumerate(rows):
+        own = [x for x in (text or "").split("\n") if re.search(r"[^ \t\n\x0b\f\r]", x)]
+        for k, line in enumerate((text or "").split("\n")):
+            if line in own:
+                others = [chunk(x) for x in own if (chunk(x), x) != (chunk(line), line)]
+                top = min((chunk(x), x) for x in own)
+                family = min(others, default=key(text)) if line == top[1] else top[0]
+                lines.append((at, k, line, leaf(line), family))
+
+    def many(pairs):
+        found = defaultdict(set)
+        for k, family in pairs:
+            found[k].add(family)
+        return {k for k, families in found.items() if len(families) >= least}
+
+    leaves = many((x, f) for *_, x, f in lines)
+    lines = [x for x in lines if x[3] in leaves]
+    same = many((x, f) for _, _, x, _, f in lines)
+    varied = [x for x in lines if x[2] not in same]
+    constant = many(((lf, i, t), f) for _, _, x, lf, f in varied for i, t in enumerate(tokens(x))
+                    if not re.search("[0-9]", t))
+
+    def template(line, lf):
+        t = tokens(line)
+        shape = tuple(x if (lf, i, x) in constant else None for i, x in enumerate(t))
+        fixed = sum(x is not None for x in shape)
+        words = sum(not re.search("[0-9]", x) or any(c.isalpha() for c in x) for x in t)
+        return shape if 4 * fixed >= 3 * words and 5 * fixed >= 2 * len(t) else None
+
+    shapes = [(at, k, template(x, lf), f) for at, k, x, lf, f in varied]
+    often = many((s, f) for _, _, s, f in shapes if s is not None)
+    gone = {(at, k) for at, k, s, _ in shapes if s in often}
+    gone |= {(at, k) for at, k, x, _, _ in lines if x in same}
+    return [None if text is None else "\n".join(
+        x for k, x in enumerate(text.split("\n")) if (at, k) not in gone)
+        for at, (_, text, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_recurring_lines_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    shapes = ["Page {n} of {n}", "the {w} of the {w} and the", "code {c} {c} {c}", "see {w}{n}",
+              "a {w} b {w} c d e f g", "第{n}页 {w}", "total {n} {n}", "x", "{n}", "{c}"]
+
+    def fill(shape):
+        return re.sub(r"\{(.)\}", lambda m: {
+            "n": str(rng.randint(0, 99)), "w": rng.choice("pqrstuv"),
+            "c": f"{rng.choice('kmn')}{rng.randint(1, 9)}"}[m.group(1)], shape)
+
+    rows = []
+    for i in range(120):
+        body = [_plain(rng, rng.randint(1, 8)) for _ in range(rng.randint(0, 2))]
+        text = body + [fill(rng.choice(shapes)) for _ in range(rng.randint(0, 5))]
+        rng.shuffle(text)
+        rows.append((i, "\n".join(text), "a"))
+    rows += [(1000 + i, rows[7][1], "b") for i in range(20)]
+    rows += [r for r in edge_rows() if r[0] not in (5, None)]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"])
+           for r in drop_recurring_lines(frame(spark, rows)).collect()}
+    want = _brute_lines(rows)
+    assert any(t != w for (_, t, _), w in zip(rows, want, strict=True))
+    for (i, text, _), left in zip(rows, want, strict=True):
+        assert got[i][0] == left, (i, text)
+        assert got[i][1] == (0 if text is None else text.count("\n") + 1)
+
+
+def test_documents_of_numbers_and_codes_stay(spark):
+    """Lines never go by the pattern of their numbers or codes."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randint(0, 399)}" for _ in range(40)) for _ in range(60)]
+    texts += [" ".join(f"the wo{rng.randint(0, 99)}" for _ in range(12)) for _ in range(60)]
+    texts += [" ".join(f"{rng.choice('abcdefgh')}{rng.randint(1, 8)}" for _ in range(30))
+              for _ in range(60)]
+    texts += [" ".join(f"{rng.randrange(256):02x}" for _ in range(16)) for _ in range(60)]
+    texts += [f"ABC-{rng.randint(1000, 9999)}-{i}" for i in range(60)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    for r in drop_recurring_lines(frame(spark, rows)).collect():
+        assert r["text"] == texts[r["doc_id"]] and r["n_dropped"] == 0
+
+
+def test_a_template_needs_its_shares_of_constants(spark):
+    """At SIMILAR and CONSTANT a template goes, just under them it stays."""
+    rng = random.Random(12)
+
+    def rows(shape, n=20):
+        return [(k, "\n".join([_plain(rng, 30), shape.format(
+            w=_plain(rng, 1), v=_plain(rng, 1), n=rng.randint(10, 99))]), "a") for k in range(n)]
+
+    for shape, goes in [("a b c {w}", True), ("a b c {w} {v}", False), ("a b {n} {n} {n}", True),
+                        ("a b {n} {n} {n} {n}", False), ("a b c x{n}", True), ("a b x{n}", False)]:
+        docs = rows(shape)
+        left = [r["n_dropped"] for r in drop_recurring_lines(frame(spark, docs)).collect()]
+        assert left == [int(goes)] * len(docs), shape
+
+
+def test_very_long_lines_and_clashing_names(spark):
+    rng = random.Random(13)
+    long = " ".join(rng.choices("abcdefgh", k=1_000_000))
+    many = "\n".join(["same footer line here", *(str(k) for k in range(20_000))] * 2)
+    rows = [(1, long, "a"), (2, many, "b")] + [(10 + k, f"{_plain(rng, 20)}\nsame footer line here", "c")
+                                               for k in range(12)]
+    docs = frame(spark, rows).withColumns({n: F.lit(n) for n in (
+        "_id", "_hash", "_gone", "id", "hash", "gone", "lines", "leaf", "at", "family", "template")})
+    got = {r["doc_id"]: r for r in drop_recurring_lines(docs).collect()}
+    assert got[1]["text"] == long and got[2]["n_dropped"] == 2 and got[10]["gone"] == "gone"
+    assert got[2]["text"] == many.replace("same footer line here\n", "") and got[10]["n_dropped"] == 1

@@ -15,7 +15,8 @@ from helpers import corpus, edge_rows, frame, prose, words  # noqa: E402
 
 from hostlens.llm import sharding  # noqa: E402
 from hostlens.llm.deobfuscation import (  # noqa: E402
-    Reader, character_costs, choose_features, fit_toxicity, score_toxicity, trigram_counts)
+    SYMBOLS, Reader, character_costs, choose_features, decode, fit_toxicity, moves_of,
+    score_toxicity, symbols, trigram_counts)
 from hostlens.llm.link_trust import judge_urls  # noqa: E402
 from hostlens.llm.mixing import mix_documents, mix_plan  # noqa: E402
 from hostlens.llm.multiset_hash import Fingerprints, edited_fingerprints, fingerprint_documents  # noqa: E402
@@ -287,15 +288,79 @@ def test_pipeline_stages_follow_each_other(spark, tmp_path):
         assert list(r["ids"]) == library.encode(text) and r["n_tokens"] == len(r["ids"])
 
 
-def test_signs_at_the_edges_of_a_word_are_decoded():
-    import numpy as np
-    from hostlens.llm.deobfuscation import SYMBOLS, symbols
+def _english():
+    text = ("\n\nwhat a stupid shit of an ass and idiot cunt fuck moron then better off see the "
+            "well known all too good little letter\n\n") * 50
+    s = symbols(text)
+    return character_costs(np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:],
+                                       minlength=SYMBOLS ** 3))
+
 
-    s = symbols("\n\n" + "what a stupid shit of an ass and idiot cunt fuck then\n\n" * 50)
-    counts = np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS ** 3)
-    reader = Reader(character_costs(counts))
+def test_signs_at_the_edges_of_a_word_are_decoded():
+    reader = Reader(_english())
     for token, word in [("$hit", "shit"), ("a$$", "ass"), ("$tupid", "stupid"), ("idio+", "idiot"),
                         ("(unt", "cunt"), ("4$$", "ass"), ("@$$", "ass"),
                         ("\"$hit,", "shit"), ("idiot!", "idiot"), ("(then", "then")]:
         assert word in reader.token(token), token
     assert reader.token("then,") == ("then",)
+
+
+def test_joined_doubled_and_spaced_words_are_read():
+    reader = Reader(_english())
+    for token, word in [("iddiot", "idiot"), ("id.iot", "idiot"), ("sh-it", "shit"),
+                        ("i,d,i,o,t", "idiot"), ("idi" + "o" * 71 + "t", "idiot"), ("f*ck", "fuck"),
+                        ("x9" * 90 + "1d10t" + "k7" * 90, None), ("m-o-r-o-n", "moron")]:
+        found = reader.token(token)
+        assert word in found if word else any("idiot" in w for w in found), (token, found)
+    for text in ["you i d i o t", "i\nd\ni\no\nt", "i    d    i    o    t", "i,d,i,o,t", "1 d 1 0 t",
+                 "so i.d.i.o.t", "i d i o t " + "a b " * 300]:
+        assert "idiot" in reader.words(text), text
+    # nothing to decode: plain words, numbers and one price, whatever ends the sentence
+    for token, found in [("then!!", ("then",)), ("1,000.50", ()), ("192.168.1.1", ()), ("$100", ()),
+                         ("|", ()), ("12:30", ()), ("(12)", ()), ("moron?!", ("moron",))]:
+        assert reader.token(token) == found, token
+
+
+def _exhaustive(span, costs):
+    """The cheapest of all paths of the lattice, each spelled out."""
+    paths = [(0.0, (0, 0), "")]
+    for moves in moves_of(span):
+        fresh = []
+        for cost, (a, b), text in paths:
+            for out, s, price in moves:
+                if s < 0 or s == 0 and b == 0:
+                    fresh.append((cost + price, (a, b), text))
+                else:
+                    fresh.append((cost + price + costs[(a * SYMBOLS + b) * SYMBOLS + s], (b, s),
+                                  text + out))
+        paths = fresh
+    return min(cost + costs[(a * SYMBOLS + b) * SYMBOLS] for cost, (a, b), _ in paths), {
+        text: cost + costs[(a * SYMBOLS + b) * SYMBOLS] for cost, (a, b), text in sorted(paths, reverse=True)}
+
+
+def test_decoding_is_exact():
+    """As cheap as the best of all paths: no hypothesis is thrown away."""
+    costs = _english().ravel().tolist()
+    rng = random.Random(3)
+    for _ in range(400):
+        span = "".join(rng.choice("aidotshh1013$!.- *ü") for _ in range(rng.randint(1, 7)))
+        if span.count("*") > 2:
+            continue
+        best, each = _exhaustive(span, costs)
+        assert each[decode(span, costs)] == pytest.approx(best, abs=1e-9), span
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Area under the ROC curve on rows that were never learned from."""
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no test data")
+    from hostlens.llm.catalog import QUERIES
+
+    rows = QUERIES["op6_deobfuscation"](spark, str(folder)).filter("held_out").join(
+        spark.read.parquet(f"{folder}/labels.parquet").filter("toxic is not null"), "doc_id").collect()
+    bad = np.array([r["score"] for r in rows if r["toxic"] == 1])
+    good = np.array([r["score"] for r in rows if r["toxic"] == 0])
+    area = ((bad[:, None] > good).mean() + (bad[:, None] == good).mean() / 2)
+    assert len(bad) > 20 and area > 0.8
+    assert (good >= 0.5).mean() < 0.02
