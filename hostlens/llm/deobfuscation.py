@@ -24,6 +24,7 @@ MOST_FEATURES = 2_000  # of one word or stem each; what they weigh is a few hund
 STEMS = (4, 5, 6)
 SYMBOLS = 64  # 0: no letter, 1-26: a-z, the rest: other letters by code point
 CACHE = 500_000
+MASK_RUN, MASK_LETTERS = 3, 4
 MOST_RUN = 3  # longer runs of one character are read as so many
 PART, STEP = 200, 100  # long spans are read in parts of PART characters that start STEP apart
 
@@ -40,6 +41,8 @@ SIGN, MASK, LONG_RUN, SHORT_RUN, DROP, STOP = 1.0, 3.5, 0.3, 2.0, 0.2, 2.0
 _DOUBLE = re.compile(r"([^\W\d_])\1")
 _RUN = re.compile(r"(.)\1{%d,}" % MOST_RUN, re.DOTALL)
 _SIGNS = re.compile("[" + re.escape("".join(LEET)) + r"*]")
+_STARS = re.compile(r"\*{%d,}" % MASK_RUN)
+_TRIPLE = re.compile(r"(.)\1\1")
 _WORDS = re.compile(r"[^\W\d_]+")
 # single letters or signs with joiners between them
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(€£])(?:[\s.\-_*~'`,]{1,4}(?:[^\W_]|[@$!|+(€£])){2,}"
@@ -99,15 +102,28 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
+class Costs:
+    """The table of `character_costs` in the two forms that the search reads."""
+
+    def __init__(self, costs: np.ndarray) -> None:
+        self.table = costs.astype(np.float64)
+        self.flat = self.table.ravel().tolist()
+
+
 def moves_of(span: str, ends: bool = True) -> list[list[tuple[str, int, float]]]:
     """The lattice of a lower-case span: for each character its (output, symbol, price).
 
     A letter reads as itself, or as nothing where it repeats the one before; a sign as a
     letter it stands for, as nothing (joiners) or, with `ends`, as the end of a word; a star
-    as any letter.
+    as any letter. MASK_RUN stars or more are no letters beside MASK_LETTERS letters or more:
+    they decorate a word.
     """
     own = symbols(span).tolist()
     lattice = []
+    masks = [True] * len(span)
+    if "*" in span and sum(map(str.isalpha, span)) >= MASK_LETTERS:
+        for run in _STARS.finditer(span):
+            masks[run.start(): run.end()] = [False] * len(run.group())
     for at, char in enumerate(span):
         moves: list[tuple[str, int, float]] = []
         if char.isalpha():
@@ -117,7 +133,7 @@ def moves_of(span: str, ends: bool = True) -> list[list[tuple[str, int, float]]]
                 moves.append(("", -1, LONG_RUN if longer else SHORT_RUN))
         else:
             moves += [(letter, ord(letter) - 96, SIGN) for letter in LEET.get(char, "")]
-            if char == "*":
+            if char == "*" and masks[at]:
                 moves += [(chr(96 + k), k, MASK) for k in range(1, 27)]
             if char in JOINERS:
                 moves.append(("", -1, DROP))
@@ -127,37 +143,77 @@ def moves_of(span: str, ends: bool = True) -> list[list[tuple[str, int, float]]]
     return lattice
 
 
-def decode(span: str, costs: list[float], ends: bool = True) -> str:
+State = tuple[int, int]
+
+
+def _masked_letters(states: dict[State, tuple[float, str]], table: np.ndarray,
+                    fresh: dict[State, tuple[float, str]]) -> None:
+    """Any letter after each state, all at once: what `decode` does for each single move."""
+    keys = sorted(states, key=lambda key: (key[1], states[key][1]))
+    a, b = np.array(keys).T
+    total = np.array([states[key][0] for key in keys])[:, None] + (MASK + table[a, b, 1:27])
+    edges = np.append(np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))), len(b))
+    for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        best = total[first:last].argmin(axis=0)  # of equal ones the first by text
+        least = total[first + best, np.arange(26)].tolist()
+        for k, at in enumerate(best.tolist()):
+            fresh[int(b[first]), k + 1] = (least[k], states[keys[first + at]][1] + chr(97 + k))
+
+
+def decode(span: str, costs: Costs, ends: bool = True) -> str:
     """The best reading of a lower-case span by the character model, exactly.
 
     Viterbi search over the lattice: a state is the last two symbols put out, and keeps its
     cheapest reading, of equal ones the first by text. A word ends once: after an end, or
-    before the first letter, another end adds nothing. `costs` is the flat table of
-    `character_costs`.
+    before the first letter, another end adds nothing.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    flat = costs.flat
+    states: dict[State, tuple[float, str]] = {(0, 0): (0.0, "")}
     for moves in moves_of(span, ends):
-        fresh: dict[tuple[int, int], tuple[float, str]] = {}
+        fresh: dict[State, tuple[float, str]] = {}
+        if len(moves) > 26:  # a star; its letters come first
+            _masked_letters(states, costs.table, fresh)
+            moves = moves[26:]
         for (a, b), (cost, text) in states.items():
             row = (a * SYMBOLS + b) * SYMBOLS
             for out, s, price in moves:
                 if s < 0 or s == 0 and b == 0:
                     key, new = (a, b), (cost + price, text)
                 else:
-                    key, new = (b, s), (cost + price + costs[row + s], text + out)
+                    key, new = (b, s), (cost + (price + flat[row + s]), text + out)
                 old = fresh.get(key)
                 if old is None or new < old:
                     fresh[key] = new
         states = fresh
-    return min((cost + costs[(a * SYMBOLS + b) * SYMBOLS], text)
+    return min((cost + flat[(a * SYMBOLS + b) * SYMBOLS], text)
                for (a, b), (cost, text) in states.items())[1]
 
 
+def decode_doubles(word: str, costs: Costs) -> str:
+    """`decode` of letters in which none stands more than twice in a row.
+
+    After the letter behind a pair, the last two symbols are the same whether one of the
+    pair was dropped or not. So each pair is decided by itself, by the costs of its second
+    letter and of the one behind it.
+    """
+    flat, s, out, kept = costs.flat, symbols(word).tolist(), [], 0
+    for pair in _DOUBLE.finditer(word):
+        at = pair.start()
+        before = s[at - 1] if at else 0
+        p, after = s[at], s[at + 2] if at + 2 < len(s) else 0
+        both = flat[(before * SYMBOLS + p) * SYMBOLS + p] + flat[(p * SYMBOLS + p) * SYMBOLS + after]
+        one = SHORT_RUN + flat[(before * SYMBOLS + p) * SYMBOLS + after]
+        if one < both:
+            out.append(word[kept: at + 1])
+            kept = at + 2
+    return "".join([*out, word[kept:]])
+
+
 class Reader:
     """Words of texts, with obfuscated spans restored; remembers tokens seen before."""
 
     def __init__(self, costs: np.ndarray) -> None:
-        self.costs = costs.ravel().tolist()
+        self.costs = Costs(costs)
         self.seen: dict[str, tuple[str, ...]] = {}
 
     def token(self, token: str) -> tuple[str, ...]:
@@ -181,8 +237,11 @@ class Reader:
     def _read(self, token: str) -> tuple[str, ...]:
         plain = token.strip(_OUTER).rstrip(_ENDS)
         double = _DOUBLE.search(plain)
-        if plain.isalpha() and not double:
-            return (plain,)
+        if plain.isalpha() and not _TRIPLE.search(plain):
+            if not double:
+                return (plain,)
+            once = decode_doubles(plain, self.costs)
+            return (plain,) if once == plain else (plain, once)
         words = _WORDS.findall(token)
         if (words or _HARD_SIGNS.search(token)) and (
                 double or _SIGNS.search(plain) or _JOINED.search(plain)):

@@ -18,6 +18,7 @@ from helpers import corpus, edge_rows, frame, lower, prose, words  # noqa: E402
 from hostlens.llm import partenum  # noqa: E402
 from hostlens.llm.common import CHUNK, lower_az, window_hashes, word_hashes  # noqa: E402
 from hostlens.llm.cover_anchors import COVERS, remove_repeats  # noqa: E402
+from hostlens.llm.linked import linked_roots  # noqa: E402
 from hostlens.llm.partenum import one_of_each, similar_components  # noqa: E402
 from hostlens.llm.streaming_dedup import StreamingDedup, streaming_dedup  # noqa: E402
 from hostlens.llm.template_lines import drop_recurring_lines  # noqa: E402
@@ -169,7 +170,7 @@ def test_a_group_of_near_copies_takes_few_comparisons(spark, monkeypatch):
     rows = [(0, " ".join(base), "a")]
     for k in range(1, 150):
         copy = list(base)
-        for at in rng.sample(range(300), 7):
+        for at in rng.sample(range(300), 6):
             copy[at] = f"edit{k}at{at}"
         rows.append((k, " ".join(copy), "a"))
     compared = []
@@ -289,7 +290,7 @@ def test_copies_never_keep_a_recurring_line(spark):
         bodies.append([" ".join(parts), bodies[0][1 - k % 2]])
     rows = [(i, "\n".join([*b, footer]), "a") for i, b in enumerate(bodies)]
     for r in drop_recurring_lines(frame(spark, rows)).collect():
-        left = r["text"].split("\n")
+        left = r["text"].split("\n") if r["text"] else []  # a text may lose all its lines
         assert footer not in left and set(left) <= set(bodies[r["doc_id"]])
         assert not 0 < r["doc_id"] < 40 or left == bodies[r["doc_id"]]
 
@@ -390,12 +391,12 @@ def test_recurring_lines_equal_brute_force(spark, seed):
             "c": f"{rng.choice('kmn')}{rng.randint(1, 9)}"}[m.group(1)], shape)
 
     rows = []
-    for i in range(120):
+    for i in range(2000, 2120):
         body = [_plain(rng, rng.randint(1, 8)) for _ in range(rng.randint(0, 2))]
         text = body + [fill(rng.choice(shapes)) for _ in range(rng.randint(0, 5))]
         rng.shuffle(text)
         rows.append((i, "\n".join(text), "a"))
-    rows += [(1000 + i, rows[7][1], "b") for i in range(20)]
+    rows += [(3000 + i, rows[7][1], "b") for i in range(20)]
     rows += [r for r in edge_rows() if r[0] not in (5, None)]
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"])
            for r in drop_recurring_lines(frame(spark, rows)).collect()}

@@ -15,7 +15,7 @@ from helpers import corpus, edge_rows, frame, prose, words  # noqa: E402
 
 from hostlens.llm import sharding  # noqa: E402
 from hostlens.llm.deobfuscation import (  # noqa: E402
-    SYMBOLS, Reader, character_costs, choose_features, decode, fit_toxicity, moves_of,
+    SYMBOLS, Costs, Reader, character_costs, choose_features, decode, decode_doubles, fit_toxicity, moves_of,
     score_toxicity, symbols, trigram_counts)
 from hostlens.llm.link_trust import judge_urls  # noqa: E402
 from hostlens.llm.mixing import mix_documents, mix_plan  # noqa: E402
@@ -340,16 +340,30 @@ def _exhaustive(span, costs):
 
 def test_decoding_is_exact():
     """As cheap as the best of all paths: no hypothesis is thrown away."""
-    costs = _english().ravel().tolist()
+    costs = Costs(_english())
     rng = random.Random(3)
     for _ in range(400):
         span = "".join(rng.choice("aidotshh1013$!.- *ü") for _ in range(rng.randint(1, 7)))
         if span.count("*") > 2:
             continue
-        best, each = _exhaustive(span, costs)
+        best, each = _exhaustive(span, costs.flat)
         assert each[decode(span, costs)] == pytest.approx(best, abs=1e-9), span
 
 
+def test_pairs_of_letters_are_decided_as_by_the_whole_search():
+    costs = Costs(_english())
+    rng = random.Random(5)
+    for _ in range(3000):
+        word = "".join(rng.choice("aidotshlefü") for _ in range(rng.randint(1, 9)))
+        word = "".join(c * rng.choice([1, 1, 2]) for c in word)
+        if not any(a == b == c for a, b, c in zip(word, word[1:], word[2:], strict=False)):
+            assert decode_doubles(word, costs) == decode(word, costs), word
+    # three stars beside a word decorate it, beside a few letters they mask
+    assert {len(m) for m in moves_of("word***")[-3:]} == {2}
+    assert {len(m) for m in moves_of("f***")[-3:]} == {28}
+    assert {len(m) for m in moves_of("wo**d")[2:4]} == {28}
+
+
 def test_toxicity_of_held_out_rows(spark):
     """Area under the ROC curve on rows that were never learned from."""
     folder = Path("/root/testdata/sf0.1")
