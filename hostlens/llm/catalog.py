@@ -12,7 +12,7 @@ from hostlens.llm.common import LOWER, UPPER, WORD, table
 from hostlens.llm.cover_anchors import remove_repeats
 from hostlens.llm.deobfuscation import fit_toxicity, score_toxicity
 from hostlens.llm.kernel_langid import fit_languages, kept_back, predict_languages
-from hostlens.llm.link_trust import DAMPING, ITERATIONS, LINK, judge_urls
+from hostlens.llm.link_trust import CUT_EVERY, DAMPING, LINK, TOLERANCE, judge_urls
 from hostlens.llm.mixing import mix_plan
 from hostlens.llm.multiset_hash import edited_fingerprints
 from hostlens.llm.partenum import similar_components
@@ -54,7 +54,8 @@ _STEPS = "SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL"
 
 @query("op2_temperature_mixing", f"""
 WITH RECURSIVE rows AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) + 1 AS tokens
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) + 1 AS tokens,
+    md5(coalesce(text, '')) AS h
   FROM documents
 ), sizes AS (
   SELECT source, count(*) AS n, sum(tokens)::BIGINT AS t FROM rows GROUP BY source
@@ -86,16 +87,16 @@ WITH RECURSIVE rows AS (
     t * pow((SELECT max(t) FROM sizes)::DOUBLE / t, 1 - exponent))::BIGINT) AS budget_tokens
   FROM sizes, x
 ), slots AS (
-  SELECT r.doc_id, r.source, r.tokens, p.t, p.exponent, p.budget_tokens,
+  SELECT r.doc_id, r.source, r.tokens, r.h, p.t, p.exponent, p.budget_tokens,
     unnest(range(ceil(p.budget_tokens / p.t)::BIGINT)) AS epoch,
     ('0x' || substr(md5(concat_ws(':', '{MIX["seed"]}', 'block', coalesce(
-      r.doc_id::VARCHAR, 'null'))), 1, 8))::BIGINT % p.blocks AS block
+      r.doc_id::VARCHAR, 'null'), r.h)), 1, 8))::BIGINT % p.blocks AS block
   FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source
 ), keyed AS (
   SELECT *,
     md5(concat_ws(':', '{MIX["seed"]}', epoch::VARCHAR, coalesce(source, 'null'), block::VARCHAR))
       AS block_key,
-    md5(concat_ws(':', '{MIX["seed"]}', epoch::VARCHAR, coalesce(doc_id::VARCHAR, 'null')))
+    md5(concat_ws(':', '{MIX["seed"]}', epoch::VARCHAR, coalesce(doc_id::VARCHAR, 'null'), h))
       AS row_key
   FROM slots
 ), placed AS (
@@ -152,14 +153,22 @@ URL_RULES = [
 
 
 def _rank_sql(name: str, edges: str, seeds: str) -> str:
-    """The same number of steps, one named SELECT for each."""
-    steps = [f"{name}_0 AS (SELECT host, seed AS rank FROM {seeds})"]
-    for k in range(ITERATIONS):
-        steps.append(f"""{name}_{k + 1} AS (SELECT host, sum(rank) AS rank FROM (
-          SELECT f.dst AS host, r.rank * f.share * {DAMPING} AS rank
-          FROM {edges} f JOIN {name}_{k} r ON f.src = r.host
-          UNION ALL SELECT host, seed * {1 - DAMPING} FROM {seeds}) GROUP BY host)""")
-    return ",\n".join(steps)
+    """The same steps by recursion, looked at every CUT_EVERY of them; then the last one."""
+    return f"""{name}_steps AS (
+  SELECT 0 AS step, host, seed AS rank, 0.0::DOUBLE AS old FROM {seeds}
+  UNION ALL
+  SELECT step + 1, host, sum(rank), sum(old) FROM (
+    SELECT r.step, f.dst AS host, r.rank * f.share * {DAMPING} AS rank, 0.0::DOUBLE AS old
+    FROM {edges} f JOIN {name}_steps r ON f.src = r.host
+    UNION ALL SELECT (SELECT any_value(step) FROM {name}_steps), host, seed * {1 - DAMPING}, 0.0
+    FROM {seeds}
+    UNION ALL SELECT step, host, 0.0, rank FROM {name}_steps)
+  WHERE NOT (SELECT coalesce(any_value(step) > 0 AND any_value(step) % {CUT_EVERY} = 0
+    AND sum(abs(rank - old)) < {TOLERANCE}, true) FROM {name}_steps)
+  GROUP BY step, host
+), {name}_last AS (
+  SELECT host, rank FROM {name}_steps WHERE step = (SELECT max(step) FROM {name}_steps)
+)"""
 
 
 _HOST = "regexp_extract({0}, '://([^/?#]*)', 1)"
@@ -167,7 +176,7 @@ _LINK_SQL = LINK.removeprefix("(?i)").replace("'", "''")
 
 
 @query("op5_link_trust", f"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, html, translate({_HOST.format("url")}, '{UPPER}', '{LOWER}') AS host,
     regexp_extract(url, '://[^/?#]*(/[^?#]*)?', 1) AS path
   FROM pages
@@ -212,8 +221,8 @@ SELECT page_id, j.host, path, rule, coalesce(rule_verdict,
     CASE WHEN round(coalesce(t.rank, 0) - coalesce(d.rank, 0), 12) < 0 THEN 'block'
     ELSE 'allow' END) AS verdict,
   round(coalesce(t.rank, 0), 9) AS trust, round(coalesce(d.rank, 0), 9) AS distrust
-FROM judged j LEFT JOIN trust_{ITERATIONS} t ON j.host = t.host
-LEFT JOIN distrust_{ITERATIONS} d ON j.host = d.host
+FROM judged j LEFT JOIN trust_last t ON j.host = t.host
+LEFT JOIN distrust_last d ON j.host = d.host
 """)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, verdict string")
@@ -282,12 +291,11 @@ WITH l AS (
     generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents
 ), led AS (
-  SELECT doc_id, text, pos, line, spaced, string_split(line, ' ') AS w,
-    len(string_split(spaced, ' ')) || ' ' || {_LEAD} AS leaf
+  SELECT doc_id, text, pos, line, spaced, len(string_split(spaced, ' ')) || ' ' || {_LEAD} AS leaf
   FROM (SELECT *, {_SPACED} AS spaced FROM l) WHERE regexp_matches(line, '[^ \t\n\v\f\r]')
 ), h AS (
-  SELECT *, list_min(list_transform(range(0, (len(w) - 1) // 4 + 1), lambda k:
-    left(md5(array_to_string(w[k * 4 + 1:k * 4 + 4], ' ')), 16))) AS h
+  SELECT *, list_min(list_transform(regexp_extract_all(line, '[^ ]+(?: +[^ ]+){{0,3}}'),
+    lambda c: left(md5(c), 16))) AS h
   FROM led
 ), f AS (
   SELECT doc_id, min({{'h': h, 'line': line}}) AS top FROM h GROUP BY doc_id

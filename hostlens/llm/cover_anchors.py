@@ -15,7 +15,7 @@ from hostlens.llm.common import mix, pieces, window_hashes, word_hashes
 # perfect difference sets: modulo the period, each difference is one of two members
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 WINDOW, PERIOD = 13, 7
-LAST_ID = (1 << 63) - 1  # null ids come after all others
+LAST_ID = (1 << 63) - 1  # stands for null ids, which come after all others
 
 
 def _met(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,6 +145,23 @@ def _kept(rows: DataFrame, window: int) -> DataFrame:
         run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
+def _free_id(docs: DataFrame, id_col: str) -> int | None:
+    """Where ids are moved up against each other to leave LAST_ID free; None if it is.
+
+    The largest number below LAST_ID that is no id.
+    """
+    if docs.agg(F.max(id_col)).first()[0] != LAST_ID:
+        return None
+    reach = 1000
+    while True:
+        near = {r[0] for r in docs.select(id_col).filter(
+            F.col(id_col) >= LAST_ID - reach).distinct().collect()}
+        free = next((k for k in range(LAST_ID - 1, LAST_ID - reach, -1) if k not in near), None)
+        if free is not None:
+            return free
+        reach *= 10
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row.
@@ -166,7 +183,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     A null text has no words. Null ids come after all others and are returned as null. Rows
     of equal id do not remove each other's words.
     """
-    texts = docs.select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("bigint").alias("doc_id"),
+    free, own_id = _free_id(docs, id_col), F.col(id_col).cast("bigint")
+    if free is not None:  # ids keep their order
+        own_id = F.when(own_id > free, own_id - 1).otherwise(own_id)
+    texts = docs.select(F.coalesce(own_id, F.lit(LAST_ID)).alias("doc_id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     by_key = Window.partitionBy("key")
     matched = (
@@ -194,5 +214,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
         .join(copies, "doc_id", "full")
     )
     rows = texts.join(repeats, "doc_id", "left").select("doc_id", "text", "repeats", "copies")
-    return _kept(rows, window).withColumn(
-        "doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
+    given = F.col("doc_id")
+    if free is not None:
+        given = F.when(given >= free, F.when(given < LAST_ID, given + 1)).otherwise(given)
+    return _kept(rows, window).withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, given))

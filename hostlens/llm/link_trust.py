@@ -9,7 +9,7 @@ from hostlens.llm.common import LOWER, UPPER
 from hostlens.session import cut
 
 DAMPING = 0.85
-ITERATIONS = 12
+TOLERANCE = 1e-9  # change of all ranks together in a step under which the propagation ends
 CUT_EVERY = 4
 MOST_RULES = 100_000  # rules up to this number are sent to all tasks
 # links of a page: the value of href or src, quoted or not
@@ -98,31 +98,43 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def personalised_rank(
-    edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING,
+    edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING,
 ) -> DataFrame:
     """(host, rank): damping * incoming rank + (1 - damping) * seed, from the seeds.
 
     `seeds` has `host` and `seed`, which sum to 1. Rank at hosts without outgoing edges
-    is not passed on. Edges are normalised once and written; each step is one join on the
-    source and one aggregation with partial sums, so a host with very many edges is no
-    single task's work; steps are cut every CUT_EVERY.
+    is not passed on. Steps go on until one changes all ranks by less than the tolerance
+    together, which is looked at every CUT_EVERY steps; each step changes them by damping
+    times the one before at most, so that comes. Edges are normalised once and written; each
+    step is one join on the source and one aggregation with partial sums, so a host with
+    very many edges is no single task's work; steps are cut every CUT_EVERY.
     """
     out = edges.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("all"))
     flow = cut(edges.join(out, edges["src"] == out["s"]).select(
         "src", "dst", (F.col("weight") / F.col("all")).alias("share")), "trust-flow")
     base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
     rank = seeds.select("host", F.col("seed").alias("rank"))
-    for step in range(1, iterations + 1):
-        passed = flow.join(rank, flow["src"] == rank["host"]).select(
-            F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = passed.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if step % CUT_EVERY == 0:
-            rank = cut(rank, "trust-rank")
-    return rank
+    none = F.lit(0.0).alias("old")
+    while True:
+        for step in range(1, CUT_EVERY + 1):
+            passed = flow.join(rank, flow["src"] == rank["host"]).select(
+                F.col("dst").alias("host"),
+                (F.col("rank") * F.col("share") * damping).alias("rank"))
+            whole = passed.unionByName(base)
+            if step < CUT_EVERY:
+                rank = whole.groupBy("host").agg(F.sum("rank").alias("rank"))
+        both = whole.select("*", none).unionByName(rank.select(
+            "host", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
+        found = cut(both.groupBy("host").agg(
+            F.sum("rank").alias("rank"), F.sum("old").alias("old")), "trust-rank")
+        rank = found.select("host", "rank")
+        change = found.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        if change is None or change < tolerance:
+            return rank
 
 
 def judge_urls(
-    pages: DataFrame, rules: DataFrame, threshold: float = 0.0, iterations: int = ITERATIONS,
+    pages: DataFrame, rules: DataFrame, threshold: float = 0.0, tolerance: float = TOLERANCE,
     id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every page.
@@ -153,9 +165,9 @@ def judge_urls(
         return counts.filter(F.col(column) > 0).select(
             "host", (F.col(column) / F.lit(whole or 1.0)).alias("seed"))
 
-    trust = personalised_rank(edges, seeds("allowed", sums[0]), iterations)
+    trust = personalised_rank(edges, seeds("allowed", sums[0]), tolerance)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_rank(back, seeds("blocked", sums[1]), iterations)
+    distrust = personalised_rank(back, seeds("blocked", sums[1]), tolerance)
     scores = trust.withColumnRenamed("rank", "trust").join(
         distrust.withColumnRenamed("rank", "distrust"), "host", "full")
     apart = F.round(F.coalesce("trust", F.lit(0.0)) - F.coalesce("distrust", F.lit(0.0)), 12)

@@ -102,11 +102,16 @@ def _text_key(*parts) -> Column:
         (p if isinstance(p, Column) else F.lit(p)).cast("string"), F.lit("null")) for p in parts]))
 
 
+def _digest(text: Column) -> Column:
+    """Tells rows of one id, or of none, apart."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def _slots(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """Each row once for every epoch its source reaches, with its place in the permutation."""
     joined = rows.join(plan, rows["_source"].eqNullSafe(plan["source"])).drop(plan["source"])
     block = F.pmod(
-        F.conv(F.substring(_text_key(seed, "block", F.col("_id")), 1, 8), 16, 10).cast("bigint"),
+        F.conv(F.substring(_text_key(seed, "block", F.col("_id"), F.col("_text")), 1, 8), 16, 10).cast("bigint"),
         F.col("blocks"))
     last = F.greatest(F.col("epochs"), F.lit(1)) - 1
     return (
@@ -114,7 +119,8 @@ def _slots(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
         .withColumn("_epoch", F.explode(F.sequence(F.lit(0), last)))
         .withColumn("_block_key", _text_key(seed, F.col("_epoch"), F.col("_source"),
                                             F.col("_block")))
-        .withColumn("_row_key", _text_key(seed, F.col("_epoch"), F.col("_id")))
+        .withColumn("_row_key", _text_key(
+            seed, F.col("_epoch"), F.col("_id"), F.col("_text")))
     )
 
 
@@ -126,18 +132,18 @@ def mix_plan(
     """(plan, placements): the weights, and one row for each time a document is used.
 
     A source is permuted in every epoch: its blocks (about the square root of its rows,
-    dealt by a hash of the id) come in a new random order, and so do the rows of each
+    dealt by a hash of id and text) come in a new random order, and so do the rows of each
     block. `token_offset` counts the tokens of the source placed before; rows are placed
     while it is below the budget. No window holds more than about the square root of
     the rows of a source.
 
-    A null source is a source of its own. Rows of equal id and source share a place in
-    the order and stay together. Null and empty texts count one token. An empty table
+    A null source is a source of its own. Rows without an id, and rows of equal id, are
+    dealt by their texts; rows equal in both share a place in the order and stay together. Null and empty texts count one token. An empty table
     gives empty results.
     """
     rows = cut(docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
-        token_count(F.col(text_col)).alias("_tokens")), "mix-sizes")
+        _digest(F.col(text_col)).alias("_text"), token_count(F.col(text_col)).alias("_tokens")), "mix-sizes")
     sizes = cut(rows.groupBy(F.col("_source").alias("source")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("_tokens").alias("tokens")), "mix-sources")
     plan = cut(plan_weights(sizes, budget, target_entropy, repetition_limit), "mix-plan")
@@ -171,14 +177,15 @@ def mix_plan(
 
 
 def mix_documents(docs: DataFrame, seed: int = 0, id_col: str = "doc_id",
-                  source_col: str = "source", **options) -> DataFrame:
+                  source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The documents of a mix: each row as often as it is placed, with its own columns.
 
     Texts are not shuffled: the last place that the budget reaches in each source and
     epoch is worked out on ids, and each row then tells from its own place whether it
     is before that.
     """
-    plan, placed = mix_plan(docs, seed=seed, id_col=id_col, source_col=source_col, **options)
+    plan, placed = mix_plan(docs, seed=seed, id_col=id_col, source_col=source_col,
+                            text_col=text_col, **options)
     last = placed.groupBy("source", "epoch").agg(
         F.max(F.struct("_block_key", "_block", "_row_key")).alias("cut"))
     # of each source its epochs, at most ceil(budget / tokens)
@@ -188,7 +195,8 @@ def mix_documents(docs: DataFrame, seed: int = 0, id_col: str = "doc_id",
     names = docs.columns
     rows = docs.select(
         F.struct(*[docs[name] for name in names]).alias("_doc"),
-        docs[id_col].alias("_id"), docs[source_col].alias("_source"))
+        docs[id_col].alias("_id"), docs[source_col].alias("_source"),
+        _digest(docs[text_col]).alias("_text"))
     slots = _slots(rows, plan, seed)
     here = F.struct("_block_key", "_block", "_row_key")
     return slots.filter(here <= F.col("_cuts")[F.col("_epoch")]).select(

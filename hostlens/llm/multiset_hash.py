@@ -7,17 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.llm.common import mix, pieces, window_hashes, word_hashes
+from hostlens.session import cut
 
 WIDE = 32  # lanes modulo 2**32 that tell whether two multisets are equal
-LIKE = 128  # lanes modulo 2**16 that tell how alike they are
+LIKE = 128  # lanes modulo 2**32 that tell how alike they are
 SHINGLE = 3
 _FIELDS = np.uint64(0x0001000100010001)
 _MOST = 32768  # shingles added at once, so that no 16-bit field runs into the next
-CELLS, ROWS_PER_BUCKET = 65536, 2000
+ROWS_PER_BUCKET, MOST_BUCKETS = 2000, 100_000
 
 
 class Fingerprints:
@@ -26,7 +27,7 @@ class Fingerprints:
     A paragraph (a line that isn't empty) is hashed to a vector: WIDE lanes from the
     SHAKE-128 of its bytes, and LIKE lanes with the sum of a random sign vector for each of
     its three-word shingles (a shorter paragraph counts as one shingle). A text is the sum
-    of its paragraphs' vectors, lane by lane, modulo 2**32 and 2**16. So the order of
+    of its paragraphs' vectors, lane by lane, modulo 2**32. So the order of
     paragraphs has no influence, and paragraphs can be added and taken away.
     """
 
@@ -79,15 +80,16 @@ class Fingerprints:
     @classmethod
     def parse(cls, texts: list[str]) -> Fingerprints:
         rows = np.frombuffer(bytes.fromhex("".join(texts)), dtype=np.uint8)
-        rows = rows.reshape(-1, 4 * WIDE + 2 * LIKE)
+        rows = rows.reshape(-1, 4 * WIDE + 4 * LIKE)
         return cls(np.ascontiguousarray(rows[:, : 4 * WIDE]).view("<u4"),
-                   np.ascontiguousarray(rows[:, 4 * WIDE:]).view("<u2"))
+                   np.ascontiguousarray(rows[:, 4 * WIDE:]).view("<u4"))
 
     def likeness(self, other: Fingerprints) -> np.ndarray:
         """0 to 1 for each row: an estimate of one minus the squared distance of the shingle
-        counts over the sum of their squared lengths; 1 for equal multisets."""
+        counts over the sum of their squared lengths; 1 for equal multisets. Lanes are read
+        as signed numbers, which they are up to 2**31 shingles."""
         def squares(x):
-            return (x.view(np.int16).astype(np.float64) ** 2).sum(axis=1)
+            return (x.view(np.int32).astype(np.float64) ** 2).sum(axis=1)
 
         apart = squares(self.like - other.like)
         whole = squares(self.like) + squares(other.like)
@@ -106,20 +108,20 @@ def _sums(values: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
 
 
 def _signs(units: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
-    """Sums of sign vectors by owner (ascending), modulo 2**16: twice the set bits less all."""
-    out = np.zeros((n, LIKE), dtype=np.uint16)
+    """Sums of sign vectors by owner (ascending), modulo 2**32: twice the set bits less all."""
+    out = np.zeros((n, LIKE), dtype=np.uint32)
     for first in range(0, len(units), _MOST):
         part, own = units[first: first + _MOST], owners[first: first + _MOST]
         starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        counts = np.diff(np.append(starts, len(own))).astype(np.uint16)
-        fields = np.empty((len(starts), LIKE), dtype=np.uint16)
+        counts = np.diff(np.append(starts, len(own))).astype(np.uint32)
+        fields = np.empty((len(starts), LIKE), dtype=np.uint32)
         for half in range(LIKE // 64):
             bits = mix(part + np.uint64(half + 1))
             for shift in range(16):
                 added = np.add.reduceat((bits >> np.uint64(shift)) & _FIELDS, starts)
                 at = half * 64 + shift * 4
                 fields[:, at: at + 4] = added.view("<u2").reshape(-1, 4)
-        out[own[starts]] += fields * np.uint16(2) - counts[:, None]
+        out[own[starts]] += fields * np.uint32(2) - counts[:, None]
     return out
 
 
@@ -138,35 +140,75 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id",
                                 "fingerprint string")
 
 
+def _order() -> list[Column]:
+    """Descending ids, null ones last; rows of one id by a hash of their text."""
+    return [F.desc_nulls_last("doc_id"), F.asc("text_hash")]
+
+
+def _borders(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(null, id, text hash) of the first row of each bucket, in order.
+
+    The keys of all rows are range sorted by sampled borders and written. Each part of the
+    sort is cut every so many rows, so that a bucket holds about ROWS_PER_BUCKET rows and
+    there are at most about MOST_BUCKETS; their borders are all that reaches the driver.
+    """
+    keys = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash")), "print-keys")
+    placed = cut(keys.orderBy(*_order()).select(
+        "doc_id", "text_hash", F.monotonically_increasing_id().alias("at")), "print-order")
+    step = max(ROWS_PER_BUCKET, -(-keys.count() // MOST_BUCKETS))
+    firsts = placed.filter(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) % step == 0)
+    found = firsts.orderBy("at").select("doc_id", "text_hash").toArrow()
+    ids = found.column(0)
+    return (ids.is_null().to_numpy(), ids.fill_null(0).to_numpy(),
+            found.column(1).to_numpy())
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
-    """Rows dealt to buckets of neighbouring ids; each bucket ends with the row after it.
+    """Rows dealt to buckets that follow each other; each bucket ends with the row after it.
 
-    Columns: bucket, tail, doc_id, text. Ids are counted in CELLS equal ranges, and
-    neighbouring ranges are joined to buckets of about ROWS_PER_BUCKET rows, so the table of
-    ranges has a fixed size. The row that follows a bucket in descending order is also sent
-    to it, as its tail; the first row of all follows the last.
+    Columns: bucket, tail, doc_id, text_hash, text. The row that follows a bucket, the first
+    of the next, is also sent to it as its tail; the first row of all follows the last.
     """
-    ends = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (ends[0] or 0, ends[1] or 0)
-    width = max(1, -(-(high - low + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(0))
-    cells = docs.groupBy(cell.alias("cell")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.coalesce("doc_id", F.lit(low - 1))).alias("top"))
-    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # CELLS rows
-    cells = cells.select("cell", "top", F.floor(
-        F.coalesce(F.sum("n").over(before), F.lit(0)) / ROWS_PER_BUCKET).alias("fill"))
-    cells = cells.withColumn("bucket", F.dense_rank().over(Window.orderBy("fill")))
-    head = F.max("top").over(Window.partitionBy("bucket"))
-    cells = cells.select("cell", "bucket", head.alias("head"),
-                         F.max("bucket").over(Window.partitionBy()).alias("buckets"))
-    rows = docs.withColumn("cell", cell).join(F.broadcast(cells), "cell")
-    leads = F.coalesce("doc_id", F.lit(low - 1)) == F.col("head")
-    places = F.array_compact(F.array(
-        F.struct("bucket", F.lit(False).alias("tail")),
-        F.when(leads, F.struct(
-            (F.col("bucket") % F.col("buckets") + 1).alias("bucket"),
-            F.lit(True).alias("tail")))))
-    return rows.select("doc_id", "text", F.inline(places))
+    none, ids, hashes = _borders(docs)
+
+    def key(null, doc, text_hash) -> np.ndarray:
+        """Ascending where the order of rows is: as unsigned numbers, null ids last."""
+        out = np.empty(len(doc), dtype=[("null", "?"), ("id", "<u8"), ("hash", "<i8")])
+        down = ~(doc.view(np.uint64) ^ np.uint64(1 << 63))
+        out["null"], out["id"], out["hash"] = null, np.where(null, 0, down), text_hash
+        return out
+
+    def place(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Bucket of each row: how many borders are not behind it, less one."""
+        both = np.concatenate((starts, rows))
+        order = np.lexsort((np.arange(len(both)), both["hash"], both["id"], both["null"]))
+        is_start = order < len(starts)
+        found = np.empty(len(rows), dtype=np.int64)
+        found[order[~is_start] - len(starts)] = np.cumsum(is_start)[~is_start] - 1
+        return np.maximum(found, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = key(none, ids, hashes)
+        # rows that are equal in id and text all lie in one bucket
+        starts = starts[np.concatenate(([True], starts[1:] != starts[:-1]))[: len(starts)]]
+        for batch in batches:
+            column = batch.column(0)
+            rows = key(column.is_null().to_numpy(zero_copy_only=False),
+                       column.fill_null(0).to_numpy(zero_copy_only=False),
+                       batch.column(1).to_numpy(zero_copy_only=False))
+            bucket = place(rows, starts)
+            leads = np.flatnonzero(rows == starts[bucket])
+            at = np.concatenate((np.arange(len(rows)), leads))
+            tail = np.arange(len(at)) >= len(rows)
+            to = np.concatenate((bucket, (bucket[leads] - 1) % len(starts)))
+            part = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to), pa.array(tail), *part.columns],
+                names=["bucket", "tail", "doc_id", "text_hash", "text"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "bucket bigint, tail boolean, doc_id bigint, text_hash bigint, "
+                                "text string")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id",
@@ -187,7 +229,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id",
         kept = None  # bucket, tail, id, text and fingerprint of the row before
         for batch in pieces(batches):
             bucket, tail, ids = (batch.column(k).to_pylist() for k in range(3))
-            texts = [t or "" for t in batch.column(3).to_pylist()]
+            texts = batch.column(3).to_pylist()
             prints = Fingerprints.of(texts)
             if kept is not None:
                 bucket, tail, ids, texts = (
@@ -221,11 +263,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id",
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
              "near_edited", "near_next"]
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = (
-        _with_next(rows).select("bucket", "tail", "doc_id", "text").repartition("bucket")
-        .sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    )
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    dealt = _with_next(rows).repartition("bucket").sortWithinPartitions(
+        "bucket", "tail", *_order()).select("bucket", "tail", "doc_id", "text")
     return dealt.mapInArrow(run, (
         "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -159,10 +160,56 @@ class Encoder:
         return tokens + self._known(text[start:]) if start < len(text) else tokens
 
     def run(self, length: int) -> list[int]:
-        """Tokens of so many space signs: doubling from the left, as merging does."""
-        if not length:
-            return []
-        return [self.ids[p] for p in self.merge(SPACE * length, self.spaces)]
+        """Tokens of so many space signs, as merging gives them."""
+        if len(set(self.spaces.values())) > 1:
+            sizes = self._merged_run(length)
+        else:
+            sizes = self._leftmost_run(length)
+        return [self.ids[SPACE * size] for size in sizes]
+
+    def _leftmost_run(self, length: int) -> list[int]:
+        """Piece sizes of a run if all its pairs score alike: what lies left merges first.
+
+        What is done so far can't merge; of what follows, all single, the leftmost pair is
+        the last piece with one more, else the next two.
+        """
+        done: list[int] = []
+        for _ in range(length):
+            if done and SPACE * (done[-1] + 1) in self.spaces:
+                done[-1] += 1
+            else:
+                done.append(1)
+            while len(done) > 1 and SPACE * (done[-2] + done[-1]) in self.spaces:
+                done[-2:] = [done[-2] + done[-1]]
+        return done
+
+    def _merged_run(self, length: int) -> list[int]:
+        """Piece sizes of a run: the best pair first, of equal ones the leftmost, by a heap."""
+        size, after = [1] * length, list(range(1, length + 1))
+        before = list(range(-1, length))
+        pairs: list[tuple[float, int, int]] = []
+
+        def offer(at: int) -> None:
+            if at >= 0 and after[at] < length:
+                both = size[at] + size[after[at]]
+                score = self.spaces.get(SPACE * both)
+                if score is not None:
+                    heapq.heappush(pairs, (-score, at, both))
+
+        for at in range(length - 1):
+            offer(at)
+        while pairs:
+            _, at, both = heapq.heappop(pairs)
+            if not size[at] or after[at] >= length or size[at] + size[after[at]] != both:
+                continue
+            gone = after[at]
+            size[at], size[gone] = both, 0
+            after[at] = after[gone]
+            if after[gone] < length:
+                before[after[gone]] = at
+            offer(at)
+            offer(before[at])
+        return [n for n in size if n]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as 32-bit numbers in native order."""

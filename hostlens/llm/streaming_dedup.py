@@ -104,9 +104,11 @@ class StreamingDedup:
         # the texts of groups are written once, so all texts are shuffled once only
         groups = state.filter("group_size > 1").withColumn(
             "salts", F.ceil(F.col("group_size") / ROWS_PER_SALT))
-        hits = cut(seen.join(groups, "digest").select(
-            "doc_id", "digest", "locator", lower_az(F.col("text")).alias("bytes"), "salts",
-            (F.col("locator") == F.col("keep_locator")).alias("keeps")), "dedup-hits")
+        # by locator, so that the texts of a large group never meet under one key
+        slim = seen.select("digest", "locator").join(groups, "digest").select(
+            "digest", "locator", "salts", (F.col("locator") == F.col("keep_locator")).alias("keeps"))
+        hits = cut(seen.select("doc_id", "locator", lower_az(F.col("text")).alias("bytes"))
+                   .join(slim, "locator"), "dedup-hits")
         keepers = hits.filter("keeps").select(
             "digest", F.col("bytes").alias("keep_bytes"), F.explode(F.sequence(
                 F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))

@@ -53,10 +53,9 @@ def _leaf(line: Column) -> Column:
 
 
 def _least_chunk(line: Column) -> Column:
-    """The smallest key of CHUNK_WORDS tokens in a row, the line being cut into such rows."""
-    return _bind(F.split(line, " "), lambda words: F.array_min(F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(words) - 1) / CHUNK_WORDS).cast("int")),
-        lambda k: _key(F.array_join(F.slice(words, k * CHUNK_WORDS + 1, CHUNK_WORDS), " ")))))
+    """The smallest key of CHUNK_WORDS words in a row, the line being cut into such rows."""
+    chunk = rf"[^ ]++(?: ++[^ ]++){{0,{CHUNK_WORDS - 1}}}"
+    return F.array_min(F.transform(F.regexp_extract_all(line, F.lit(chunk), F.lit(0)), _key))
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,7 +63,7 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A leaf of the tree is a number of tokens (pieces between blanks; in scripts without
     blanks also numbers) and the first LEAD of them, with fields masked. The family of a line stands for the rest of its document: the
-    smallest key of CHUNK_WORDS tokens in a row of the lines that differ from it. Copies and
+    smallest key of CHUNK_WORDS words in a row of the lines that differ from it. Copies and
     most near copies of a document have the same, so they don't make their lines recur. A
     document without other lines is a family by its own text.
     """
@@ -80,8 +79,9 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each = rows.select("doc_id", "text_hash", "top", "second",
                        F.posexplode("lines").alias("at", "line"))
     line = F.col("line")
-    return each.filter(line.rlike(r"\S")).select(
-        "doc_id", "text_hash", "at", _leaf(_spaced(line)).alias("leaf"),
+    each = each.filter(line.rlike(r"\S")).withColumn("spaced", _spaced(line))
+    return each.select(
+        "doc_id", "text_hash", "at", _leaf(F.col("spaced")).alias("leaf"),
         F.xxhash64(line).alias("line_hash"),
         F.when(line == F.col("top.line"), F.col("second")).otherwise(F.col("top.h"))
         .alias("family"))

@@ -236,6 +236,20 @@ def test_cover_anchors_remove_what_brute_force_removes(spark, seed):
     assert remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("top", [[0], [0, 1, 5]])
+def test_the_largest_id_is_no_missing_one(spark, top):
+    """Rows with the last ids of the range, and rows without any, keep theirs and their order."""
+    last = (1 << 63) - 1
+    rng = random.Random(2)
+    shared = prose(rng, 40, 3000)
+    rows = [(last - k, f"{prose(rng, 3, 3000)} {shared}", "a") for k in top]
+    rows += [(None, f"{prose(rng, 2, 3000)} {shared}", "a"), (None, "a b", "c"),
+             (-last - 1, prose(rng, 20, 3000), "b"), (last - 3, f"x {shared} y", "a")]
+    got = remove_repeats(frame(spark, rows)).collect()
+    assert Counter(tuple(r) for r in got) == _without_repeats(rows)
+    assert sum(r["n_removed"] > 0 for r in got) == len(top) + 1
+
+
 def test_covers_are_difference_covers():
     for period, cover in COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
@@ -333,8 +347,7 @@ def _brute_lines(rows, least=10):
         return re.sub(f"([0-9])({FREE})", r"\1 \2", re.sub(f"({FREE})([0-9])", r"\1 \2", line)).split(" ")
 
     def chunk(line):
-        w = line.split(" ")
-        return min(key(" ".join(w[k:k + 4])) for k in range(0, len(w), 4))
+        return min(map(key, re.findall("[^ ]+(?: +[^ ]+){0,3}", line)))
 
     def leaf(line):
         t = tokens(line)

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import corpus, edge_rows, frame, prose, words  # noqa: E402
@@ -378,3 +379,84 @@ def test_toxicity_of_held_out_rows(spark):
     area = ((bad[:, None] > good).mean() + (bad[:, None] == good).mean() / 2)
     assert len(bad) > 20 and area > 0.8
     assert (good >= 0.5).mean() < 0.02
+
+
+def test_long_runs_of_blanks_take_no_time(model):
+    import time
+
+    vocabulary, library = model
+    encoder = Encoder(vocabulary)
+    for n in [*range(0, 70), 999, 4096, 1_000_000]:
+        for text in (" " * n, "a" + " " * n + "b"):
+            start = time.perf_counter()
+            ids = np.frombuffer(encoder.encode(text), dtype=np.int32)
+            assert time.perf_counter() - start < 5
+            assert ids.tolist() == library.encode(text), n
+    for n in range(60):  # the two ways to merge a run
+        assert encoder._leftmost_run(n) == encoder._merged_run(n)
+        naive = [len(p) for p in encoder.merge("▁" * n, encoder.spaces)]
+        assert encoder._merged_run(n) == naive
+    encoder.spaces = {"▁" * k: -float(k % 5) for k in (2, 3, 4, 6, 8, 11)}
+    for n in range(80):
+        assert encoder._merged_run(n) == [len(p) for p in encoder.merge("▁" * n, encoder.spaces)]
+
+
+def test_fingerprints_take_any_ids(spark, monkeypatch):
+    """The ends of the range, an outlier, one id in very many rows, and no ids at all."""
+    from hostlens.llm import multiset_hash
+
+    monkeypatch.setattr(multiset_hash, "ROWS_PER_BUCKET", 50)
+    low, high = -(1 << 63), (1 << 63) - 1
+    few = [(low, "a b c", "x"), (5, "d e f", "x"), (high, "g h i", "x"), (None, "j k l", "x")]
+    got = {r["doc_id"]: r for r in edited_fingerprints(frame(spark, few)).collect()}
+    assert set(got) == {low, 5, high, None}
+    for i, after in [(high, "d"), (5, "a"), (low, "j"), (None, "g")]:
+        text = {r[0]: r[1] for r in few}[i]
+        assert got[i]["edited_sha256"] == hashlib.sha256((text[:4] + after).encode()).hexdigest()
+    rng = random.Random(8)
+    for ids in ([*range(3000), 10**18], [None] * 3000, [7] * 2000 + list(range(1000))):
+        rows = [(i, f"{prose(rng, 3)} {k}", "x") for k, i in enumerate(ids)]
+        docs = frame(spark, rows).selectExpr("doc_id", "text")
+        dealt = multiset_hash._with_next(docs).filter("not tail").groupBy("bucket").count().collect()
+        assert sum(r["count"] for r in dealt) == len(rows)
+        assert max(r["count"] for r in dealt) <= 100 and len(dealt) >= len(rows) / 100
+        assert edited_fingerprints(docs).count() == len(rows)
+
+
+def test_likeness_of_repetitive_texts_follows_their_counts():
+    """Counts beyond 16 bits do not wrap."""
+    one, other = Fingerprints.of(["word " * 70_540, "word " * 5_000])[[0]], Fingerprints.of(["word " * 5_000])
+    a, b = 70_538.0, 4_998.0
+    assert one.likeness(other)[0] == pytest.approx(1 - (a - b) ** 2 / (a * a + b * b), abs=1e-9)
+    assert Fingerprints.parse(one.texts()).texts() == one.texts()
+
+
+def test_rows_without_ids_are_permuted_in_blocks(spark):
+    """Null and repeated ids are dealt by their texts."""
+    rng = random.Random(3)
+    rows = [(None if k % 2 else 4, f"{k} {prose(rng, 3)}", "a") for k in range(5000)]
+    _, placed = mix_plan(frame(spark, rows), target_entropy=0.9)
+    blocks = Counter(r["block_rank"] for r in placed.collect())
+    assert len(blocks) >= 65 and max(blocks.values()) < 2 * 5000 / len(blocks)
+    assert placed.select("token_offset").distinct().count() == 5000
+    mixed = mix_documents(frame(spark, rows), target_entropy=0.9)
+    assert Counter(r["text"] for r in mixed.collect()) == Counter(t for _, t, _ in rows)
+
+
+def test_distrust_goes_all_the_way(spark):
+    """Twenty hosts that only lead to a blocked one are blocked; a hot host is one of them."""
+    pages = [(k, f"http://h{k}.org/", f'<a href="http://h{k + 1}.org/">') for k in range(19)]
+    pages += [(19, "http://h19.org/", '<a href="http://bad.net/es/1">'), (20, "http://bad.net/es/1", "")]
+    pages += [(100 + k, "http://h7.org/", "") for k in range(300)]
+    pages += [(900, "http://far.org/", '<a href="http://else.org/">'), (901, "http://good.com/", "")]
+    rules = spark.createDataFrame([("com", "/", "allow"), ("net", "/es/", "block")],
+                                  "rule_host string, rule_path string, verdict string")
+    frame_ = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns(
+        {n: F.lit(n) for n in ("host", "path", "rule", "rank", "src")})
+    got = {r["page_id"]: r for r in judge_urls(frame_, rules).collect()}
+    assert all(got[k]["verdict"] == "block" for k in range(21)) and got[250]["verdict"] == "block"
+    assert got[900]["verdict"] == got[901]["verdict"] == "allow"
+    # the rank has settled: distrust of a host one link further on is 0.85 times as large
+    ranks = [got[k]["distrust"] for k in range(20)]
+    assert ranks[18] == pytest.approx(0.85 * ranks[19], abs=1e-8)
+    assert ranks[0] == pytest.approx(0.85 ** 19 * ranks[19], abs=1e-8)
