@@ -152,22 +152,23 @@ URL_RULES = [
 ]
 
 
-def _rank_sql(name: str, edges: str, seeds: str) -> str:
-    """The same steps by recursion, looked at every CUT_EVERY of them; then the last one."""
-    return f"""{name}_steps AS (
-  SELECT 0 AS step, host, seed AS rank, 0.0::DOUBLE AS old FROM {seeds}
+# the same steps by recursion, looked at every CUT_EVERY of them; then the last one
+_RANK_SQL = f"""spread AS (
+  SELECT 0 AS step, kind, host, seed AS rank, 0.0::DOUBLE AS old FROM seeds
   UNION ALL
-  SELECT step + 1, host, sum(rank), sum(old) FROM (
-    SELECT r.step, f.dst AS host, r.rank * f.share * {DAMPING} AS rank, 0.0::DOUBLE AS old
-    FROM {edges} f JOIN {name}_steps r ON f.src = r.host
-    UNION ALL SELECT (SELECT any_value(step) FROM {name}_steps), host, seed * {1 - DAMPING}, 0.0
-    FROM {seeds}
-    UNION ALL SELECT step, host, 0.0, rank FROM {name}_steps)
+  SELECT step + 1, kind, host, sum(rank), sum(old) FROM (
+    SELECT r.step, f.kind, f.dst AS host, r.rank * f.share * {DAMPING} AS rank, 0.0::DOUBLE AS old
+    FROM flow f JOIN spread r ON f.src = r.host AND f.kind = r.kind
+    UNION ALL SELECT (SELECT any_value(step) FROM spread), kind, host, seed * {1 - DAMPING}, 0.0
+    FROM seeds
+    UNION ALL SELECT step, kind, host, 0.0, rank FROM spread)
   WHERE NOT (SELECT coalesce(any_value(step) > 0 AND any_value(step) % {CUT_EVERY} = 0
-    AND sum(abs(rank - old)) < {TOLERANCE}, true) FROM {name}_steps)
-  GROUP BY step, host
-), {name}_last AS (
-  SELECT host, rank FROM {name}_steps WHERE step = (SELECT max(step) FROM {name}_steps)
+    AND sum(abs(rank - old)) < {TOLERANCE}, true) FROM spread)
+  GROUP BY step, kind, host
+), ranks AS (
+  SELECT host, sum(rank) FILTER (kind = 'trust') AS trust,
+    sum(rank) FILTER (kind = 'distrust') AS distrust
+  FROM spread WHERE step = (SELECT max(step) FROM spread) GROUP BY host
 )"""
 
 
@@ -205,24 +206,20 @@ WITH RECURSIVE u AS (
     SELECT src, dst, 1 AS w FROM linked WHERE src <> '' AND dst <> '' AND src <> dst
     UNION ALL SELECT child, parent, 1 FROM steps UNION ALL SELECT parent, child, 1 FROM steps)
   GROUP BY src, dst
-), onward AS (
-  SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
-), backward AS (
-  SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS share FROM edges
-), good AS (
-  SELECT host, count(*) / (SELECT count(*) FROM judged WHERE rule_verdict = 'allow') AS seed
-  FROM judged WHERE rule_verdict = 'allow' GROUP BY host
-), bad AS (
-  SELECT host, count(*) / (SELECT count(*) FROM judged WHERE rule_verdict = 'block') AS seed
-  FROM judged WHERE rule_verdict = 'block' GROUP BY host
-), {_rank_sql("trust", "onward", "good")},
-{_rank_sql("distrust", "backward", "bad")}
+), flow AS (
+  SELECT 'trust' AS kind, src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL
+  SELECT 'distrust', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM edges
+), seeds AS (
+  SELECT CASE rule_verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host,
+    count(*) / (SELECT count(*) FROM judged k WHERE k.rule_verdict = j.rule_verdict) AS seed
+  FROM judged j WHERE rule_verdict IS NOT NULL GROUP BY rule_verdict, host
+), {_RANK_SQL}
 SELECT page_id, j.host, path, rule, coalesce(rule_verdict,
-    CASE WHEN round(coalesce(t.rank, 0) - coalesce(d.rank, 0), 12) < 0 THEN 'block'
+    CASE WHEN round(coalesce(trust, 0) - coalesce(distrust, 0), 12) < 0 THEN 'block'
     ELSE 'allow' END) AS verdict,
-  round(coalesce(t.rank, 0), 9) AS trust, round(coalesce(d.rank, 0), 9) AS distrust
-FROM judged j LEFT JOIN trust_last t ON j.host = t.host
-LEFT JOIN distrust_last d ON j.host = d.host
+  round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust
+FROM judged j LEFT JOIN ranks r ON j.host = r.host
 """)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule_host string, rule_path string, verdict string")

@@ -9,8 +9,8 @@ from hostlens.llm.common import LOWER, UPPER
 from hostlens.session import cut
 
 DAMPING = 0.85
-TOLERANCE = 1e-9  # change of all ranks together in a step under which the propagation ends
-CUT_EVERY = 4
+TOLERANCE = 1e-6  # change of all ranks together in a step under which the propagation ends
+CUT_EVERY = 8
 MOST_RULES = 100_000  # rules up to this number are sent to all tasks
 # links of a page: the value of href or src, quoted or not
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
@@ -100,34 +100,37 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def personalised_rank(
     edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING,
 ) -> DataFrame:
-    """(host, rank): damping * incoming rank + (1 - damping) * seed, from the seeds.
-
-    `seeds` has `host` and `seed`, which sum to 1. Rank at hosts without outgoing edges
-    is not passed on. Steps go on until one changes all ranks by less than the tolerance
-    together, which is looked at every CUT_EVERY steps; each step changes them by damping
-    times the one before at most, so that comes. Edges are normalised once and written; each
-    step is one join on the source and one aggregation with partial sums, so a host with
-    very many edges is no single task's work; steps are cut every CUT_EVERY.
+    """(kind, host, rank): damping * incoming rank + (1 - damping) * seed, from the seeds.
+
+    `edges` (kind, src, dst, weight) and `seeds` (kind, host, seed) may hold several graphs,
+    told apart by `kind`, which are ranked together; the seeds of each sum to 1. Rank at
+    hosts without outgoing edges is not passed on. Steps go on until one changes all ranks by
+    less than the tolerance together, which is looked at every CUT_EVERY steps; each step
+    changes them by damping times the one before at most, so that comes. Edges are normalised
+    once and written; each step is one join on the source and one aggregation with partial
+    sums, so a host with very many edges is no single task's work; steps are cut every
+    CUT_EVERY.
     """
-    out = edges.groupBy(F.col("src").alias("s")).agg(F.sum("weight").alias("all"))
-    flow = cut(edges.join(out, edges["src"] == out["s"]).select(
-        "src", "dst", (F.col("weight") / F.col("all")).alias("share")), "trust-flow")
-    base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    none = F.lit(0.0).alias("old")
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
+    flow = cut(edges.join(out, ["kind", "src"]).select(
+        "kind", F.col("src").alias("host"), "dst",
+        (F.col("weight") / F.col("all")).alias("share")), "trust-flow")
+    base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
+    rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
+    nothing = F.lit(0.0)
     while True:
         for step in range(1, CUT_EVERY + 1):
-            passed = flow.join(rank, flow["src"] == rank["host"]).select(
-                F.col("dst").alias("host"),
+            passed = flow.join(rank, ["kind", "host"]).select(
+                "kind", F.col("dst").alias("host"),
                 (F.col("rank") * F.col("share") * damping).alias("rank"))
             whole = passed.unionByName(base)
             if step < CUT_EVERY:
-                rank = whole.groupBy("host").agg(F.sum("rank").alias("rank"))
-        both = whole.select("*", none).unionByName(rank.select(
-            "host", F.lit(0.0).alias("rank"), F.col("rank").alias("old")))
-        found = cut(both.groupBy("host").agg(
+                rank = whole.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        both = whole.withColumn("old", nothing).unionByName(rank.select(
+            "kind", "host", nothing.alias("rank"), F.col("rank").alias("old")))
+        found = cut(both.groupBy("kind", "host").agg(
             F.sum("rank").alias("rank"), F.sum("old").alias("old")), "trust-rank")
-        rank = found.select("host", "rank")
+        rank = found.select("kind", "host", "rank")
         change = found.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         if change is None or change < tolerance:
             return rank
@@ -161,15 +164,19 @@ def judge_urls(
         F.sum((F.col("rule_verdict") == "block").cast("double")).alias("blocked")), "url-seeds")
     sums = counts.agg(F.sum("allowed"), F.sum("blocked")).first()
 
-    def seeds(column: str, whole: float | None) -> DataFrame:
+    def seeds(kind: str, column: str, whole: float | None) -> DataFrame:
         return counts.filter(F.col(column) > 0).select(
-            "host", (F.col(column) / F.lit(whole or 1.0)).alias("seed"))
-
-    trust = personalised_rank(edges, seeds("allowed", sums[0]), tolerance)
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_rank(back, seeds("blocked", sums[1]), tolerance)
-    scores = trust.withColumnRenamed("rank", "trust").join(
-        distrust.withColumnRenamed("rank", "distrust"), "host", "full")
+            F.lit(kind).alias("kind"), "host", (F.col(column) / F.lit(whole or 1.0)).alias("seed"))
+
+    both = edges.select(F.inline(F.array(
+        F.struct(F.lit("trust").alias("kind"), "src", "dst", "weight"),
+        F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("src"),
+                 F.col("src").alias("dst"), "weight"))))
+    ranks = personalised_rank(both, seeds("trust", "allowed", sums[0]).unionByName(
+        seeds("distrust", "blocked", sums[1])), tolerance)
+    scores = ranks.groupBy("host").agg(*[
+        F.sum(F.when(F.col("kind") == kind, F.col("rank"))).alias(kind)
+        for kind in ("trust", "distrust")])
     apart = F.round(F.coalesce("trust", F.lit(0.0)) - F.coalesce("distrust", F.lit(0.0)), 12)
     return judged.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule",
