@@ -14,9 +14,11 @@ from hostlens.catalog.registry import part, query
 from hostlens.catalog.scores import rounded
 from hostlens.catalog.sqltext import MISSING, half_even, joined, room_case
 from hostlens.functions.explanation import is_valid_cell
+from hostlens.functions.models import blur_detector, room_predictor
 from hostlens.operators import calibration, evaluation, profiling
 from hostlens.operators.validation import to_number, validate_features
 from hostlens.plans.evaluate import calibration_job, quality_gates, room_evaluation
+from hostlens.plans.profile import merged_profile, update_profile
 from hostlens.session import scratch_path
 from hostlens.sources import sinks
 from hostlens.sources.tables import read_ratings
@@ -236,7 +238,7 @@ def room_evaluation_report(spark, sf):
 @query("U1_room_predictor", """
 SELECT trim(label) AS truth, CASE WHEN contains(photo_file, 'pool') THEN 'pool' ELSE 'other' END
   AS predicted, count(*) AS n FROM v_labels GROUP BY ALL""")
-def room_predictor(spark, sf):
+def given_predictor(spark, sf):
     @F.pandas_udf("string")
     def pool_or_other(paths: pd.Series) -> pd.Series:
         return paths.str.contains("pool", regex=False).map({True: "pool", False: "other"})
@@ -250,7 +252,7 @@ def room_predictor(spark, sf):
 @query("U2_blur_detector", """
 SELECT coalesce(lower(trim(blur_label)) IN ('blurry', 'true', '1', 'yes'), false) AS truth,
   contains(photo_file, 'bath') AS predicted, count(*) AS n FROM v_labels GROUP BY ALL""")
-def blur_detector(spark, sf):
+def given_detector(spark, sf):
     @F.pandas_udf("boolean")
     def in_bathroom(paths: pd.Series) -> pd.Series:
         return paths.str.contains("bath", regex=False)
@@ -448,3 +450,87 @@ def top_cities(spark, sf):
 @query("J9_data_profile", "SELECT * FROM profile_rows")
 def data_profile(spark, sf):
     return profile_of(spark, sf)
+
+
+# --- forms for many labels, many files and real predictors --------------------
+
+BLOCK = 64
+part("part_pairs", """
+SELECT l_partkey::VARCHAR AS truth, (l_partkey + l_suppkey % 5 * 7)::VARCHAR AS predicted
+FROM lineitem
+""")
+part("part_cells", "SELECT truth, predicted, count(*) AS n FROM part_pairs GROUP BY ALL")
+part("part_labels", """
+SELECT label, row_number() OVER (ORDER BY label) - 1 AS i FROM (
+  SELECT truth AS label FROM part_cells UNION SELECT predicted FROM part_cells)
+""")
+
+
+@query("D11_confusion_blocks", f"""
+SELECT truth, any_value(r) AS row, block, array_to_string(
+  list(coalesce(n, 0)::VARCHAR ORDER BY x), ' ') AS counts
+FROM (
+  SELECT b.truth, b.r, b.block, x, sum(c.n) AS n FROM (
+    SELECT DISTINCT c.truth, t.i AS r, p.i // {BLOCK} AS block FROM part_cells c
+    JOIN part_labels t ON t.label = c.truth JOIN part_labels p ON p.label = c.predicted) b
+  JOIN range({BLOCK}) w(x) ON b.block * {BLOCK} + x < (SELECT count(*) FROM part_labels)
+  LEFT JOIN part_labels q ON q.i = b.block * {BLOCK} + x
+  LEFT JOIN part_cells c ON c.truth = b.truth AND c.predicted = q.label
+  GROUP BY ALL)
+GROUP BY truth, block""")
+def confusion_in_blocks(spark, sf):
+    """As many labels as parts, and every line item a pair."""
+    part_key = F.col("l_partkey")
+    pairs = views.table(spark, sf, "lineitem").select(
+        part_key.cast("string").alias("truth"),
+        (part_key + F.col("l_suppkey") % 5 * 7).cast("string").alias("predicted"))
+    return evaluation.confusion_blocks(pairs, BLOCK).withColumn(
+        "counts", F.array_join(F.col("counts").cast("array<string>"), " "))
+
+
+@query("U1_loaded_predictor", """
+SELECT trim(label) AS truth, CASE WHEN contains(photo_file, 'pool') THEN 'pool'
+    WHEN contains(photo_file, 'view') THEN 'view' ELSE 'other' END AS predicted, count(*) AS n
+FROM v_labels GROUP BY ALL""")
+def loaded_predictor(spark, sf):
+    """A model that is loaded once in each worker and gives objects with a label."""
+    def load():
+        from types import SimpleNamespace
+
+        return [(word, SimpleNamespace(label=word)) for word in ("pool", "view")]
+
+    def predict(model, paths):
+        return [next((found for word, found in model if word in path), "other") for path in paths]
+
+    labels = views.labels(spark, sf).select("photo_file", "label")
+    return evaluation.confusion_counts(
+        evaluation.room_pairs(labels, predictor=room_predictor(load, predict)))
+
+
+@query("U2_loaded_detector", """
+SELECT coalesce(lower(trim(blur_label)) IN ('blurry', 'true', '1', 'yes'), false) AS truth,
+  contains(photo_file, 'bath') AS predicted, count(*) AS n FROM v_labels GROUP BY ALL""")
+def loaded_detector(spark, sf):
+    def load():
+        from types import SimpleNamespace
+
+        return SimpleNamespace(is_blurry=True)
+
+    def predict(model, paths):
+        return [model if "bath" in path else None for path in paths]
+
+    labels = views.labels(spark, sf).select("photo_file", F.col("blur_label").alias("label"))
+    return evaluation.confusion_counts(
+        evaluation.blur_pairs(labels, detector=blur_detector(load, predict)))
+
+
+@query("D20_sketched_profile", "SELECT * FROM listing_counts")
+def sketched_profile(spark, sf):
+    """The listing section from per-file states, kept up while a second half of files arrives."""
+    listings, _, _ = profile_inputs(spark, sf)
+    folder, state = scratch_path(spark, "files"), scratch_path(spark, "state")
+    half = F.pmod(F.xxhash64("description"), F.lit(2))
+    for at in (0, 1):
+        listings.filter(half == at).write.mode("append").parquet(folder)
+        update_profile(spark, folder, state)
+    return merged_profile(sinks.read_table(spark, state))

@@ -16,6 +16,7 @@ from hostlens.functions import display
 from hostlens.functions.numeric import names_in, normalise
 from hostlens.functions.similarity import hamming, prompt_softmax
 from hostlens.operators import amenities, duplicates, matching, ordering, rooms, technical
+from hostlens.operators.aliases import with_alias_key
 from hostlens.operators.pixels import photo_metrics
 from hostlens.plans.features import Vision, photo_rows
 from hostlens.settings import AMENITY_LABELS, DEFAULTS, EXPECTED_ROOMS, ROOM_LABELS
@@ -194,6 +195,32 @@ def amenity_alias_match(spark, sf):
     return keyed.select("item", amenities.amenity_key(F.col("word")).alias("key"), "n")
 
 
+part("part_aliases", """
+SELECT p_partkey AS place, p_name AS key, lower(trim(split_part(p_name, ' ', 1))) AS alias FROM part
+UNION ALL SELECT 1000000000 + p_partkey, p_brand, lower(p_brand) FROM part
+""")
+
+
+@query("C7_alias_table", """
+SELECT item, count(*) AS n, (SELECT min_by(key, {'p': place, 'k': key, 'a': alias})
+  FROM part_aliases a WHERE contains(w.word, alias) OR contains(alias, w.word)) AS key
+FROM amenity_words w GROUP BY item, word""")
+def alias_table_match(spark, sf):
+    """Amenity texts against an alias table that grows with the parts."""
+    parts = views.table(spark, sf, "part")
+    table = parts.select(
+        F.col("p_partkey").cast("bigint").alias("place"), F.col("p_name").alias("key"),
+        F.trim(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("alias"),
+    ).unionByName(parts.select(
+        (F.col("p_partkey") + 1_000_000_000).cast("bigint").alias("place"),
+        F.col("p_brand").alias("key"), F.lower("p_brand").alias("alias")))
+    listed = views.listings(spark, sf).select(F.explode("amenities").alias("item"))
+    words = views.table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("item"))
+    items = listed.unionByName(words).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    keyed = with_alias_key(items.withColumn("word", F.trim(F.lower("item"))), table)
+    return keyed.select("item", "n", "key")
+
+
 @query("C10_near_copies", """
 SELECT h.gallery, sum(h.copies) FILTER (h.copies > 1 OR n.u IS NOT NULL) AS near_photos,
   sum(h.copies) AS photos

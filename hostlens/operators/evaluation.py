@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from hostlens.functions.clean import strip
 from hostlens.functions.numeric import round_half_even
+from hostlens.operators.ordering import rank_all
 from hostlens.operators.rooms import named_room, with_name_rule
 from hostlens.operators.validation import require_columns
+from hostlens.session import cut
 
 # --- fixed values: label spellings that mean "blurry" ---
 BLURRY_WORDS = ("blurry", "true", "1", "yes")
@@ -111,6 +113,51 @@ def _matrix(labels: Column) -> Column:
     )))
 
 
+def label_index(cells: DataFrame) -> DataFrame:
+    """(label, index): every label of either side by its place in sorted order, from 0."""
+    ranked = rank_all(label_union(cells), [F.col("label")], "index")
+    return ranked.select("label", (F.col("index") - 1).alias("index"))
+
+
+def confusion_blocks(pairs: DataFrame, width: int = 1024, zeros: bool = False) -> DataFrame:
+    """The dense confusion matrix for any number of labels, in blocks of one row.
+
+    (truth, row, block, counts): `counts` are the cells of a truth label, the `row`-th, for
+    the predicted labels from block * width on, `width` of them or what is left of the
+    labels. Blocks without any count are left out unless `zeros`. No value of the result
+    grows with the number of labels; `label_index` names the places. Null labels have none.
+    """
+    cells = cut(confusion_counts(pairs.dropna()), "confusion-cells")
+    labels = cut(label_index(cells), "confusion-labels")
+    many = labels.count()
+    placed = (
+        cells.join(labels.select(F.col("label").alias("truth"), F.col("index").alias("row")), "truth")
+        .join(labels.select(F.col("label").alias("predicted"), F.col("index").alias("at")), "predicted")
+        .groupBy("truth", "row", F.floor(F.col("at") / width).cast("bigint").alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct(
+            (F.col("at") % width).cast("int").alias("at"), "n"))).alias("cells"))
+    )
+    if zeros:
+        blocks = -(-many // width)
+        every = labels.select(F.col("label").alias("truth"), F.col("index").alias("row"), F.explode(
+            F.sequence(F.lit(0).cast("bigint"), F.lit(max(blocks, 1) - 1).cast("bigint"))).alias("block"))
+        none = F.array().cast(placed.schema["cells"].dataType)
+        placed = every.join(placed, ["truth", "row", "block"], "left").withColumn(
+            "cells", F.coalesce("cells", none))
+    here = F.least(F.lit(width), F.lit(many) - F.col("block") * width).cast("int")
+
+    def gap(after: Column, before: Column) -> Column:
+        return F.array_repeat(F.lit(0).cast("bigint"), after - before - 1)
+
+    # zeros between the cells: nothing is looked up
+    steps = F.transform("cells", lambda c, i: F.concat(
+        gap(c["at"], F.when(i > 0, F.get(F.col("cells"), i - 1)["at"]).otherwise(-1)),
+        F.array(c["n"])))
+    last = F.coalesce(F.get(F.col("cells"), F.size("cells") - 1)["at"], F.lit(-1))
+    return placed.select("truth", "row", "block", F.concat(
+        F.flatten(steps), gap(here, last)).alias("counts"))
+
+
 def room_accuracy(pairs: DataFrame) -> DataFrame:
     """One row: accuracy, to 4 decimals as in the whole report, and row count, by sums only."""
     hits = F.avg((F.col("truth") == F.col("predicted")).cast("double"))
@@ -119,7 +166,7 @@ def room_accuracy(pairs: DataFrame) -> DataFrame:
 
 
 def room_report(pairs: DataFrame) -> DataFrame:
-    """The dense report, for few labels; `confusion_counts` has the same as rows.
+    """The dense report, for few labels; `confusion_blocks` has the matrix for many.
 
     One row: accuracy, row count, sorted labels and the confusion matrix.
 

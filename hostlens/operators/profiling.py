@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hostlens.session import cut
+
 _ROW = ("section", "metric", "key", "value")
 
 
@@ -27,15 +29,28 @@ def is_stay(listings: DataFrame) -> Column:
     return F.coalesce(F.col("vertical") == "stay", F.lit(False))
 
 
-def listing_counts(listings: DataFrame) -> DataFrame:
-    """Rows, stay rows, cities, amenity cells and nulls per column, in one pass."""
+def city_counts(listings: DataFrame) -> DataFrame:
+    """Every count of the profile by city, which are far fewer than listings: one scan.
+
+    (city, rows, stay, amenities, null_0, ...); the nulls by the order of the columns.
+    """
     names = [c for c in listings.columns if c != "row_key"]
-    measures = {
-        "rows": F.count(F.lit(1)), "stay": F.count_if(is_stay(listings)),
-        "cities": F.countDistinct("city"), "amenities": F.count("amenities"),
-    }
-    nulls = {f"null_{i}": F.count_if(F.col(c).isNull()) for i, c in enumerate(names)}
-    counts = listings.agg(*[m.alias(n) for n, m in {**measures, **nulls}.items()])
+    nulls = [F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{i}") for i, c in enumerate(names)]
+    return listings.groupBy("city").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(is_stay(listings)).alias("stay"),
+        F.count("amenities").alias("amenities"), *nulls)
+
+
+def listing_counts(listings: DataFrame, by_city: DataFrame | None = None) -> DataFrame:
+    """Rows, stay rows, cities, amenity cells and nulls per column, in one pass.
+
+    `by_city` are the `city_counts` of the listings, when they are made already.
+    """
+    names = [c for c in listings.columns if c != "row_key"]
+    found = city_counts(listings) if by_city is None else by_city
+    sums = ["rows", "stay", "amenities", *(f"null_{i}" for i, _ in enumerate(names))]
+    counts = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
+                       F.count("city").alias("cities"))
     entries = [
         ("total rows", "", "rows"), ("stay listings", "", "stay"),
         ("unique cities", "", "cities"), ("with amenities", "", "amenities"),
@@ -57,15 +72,14 @@ def column_list(listings: DataFrame) -> DataFrame:
     return listings.sparkSession.range(1).select(F.inline(rows))
 
 
-def top_cities(listings: DataFrame, n: int = 5) -> DataFrame:
-    counted = (
-        listings.filter(F.col("city").isNotNull()).groupBy("city")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "city").limit(n)
-    )
+def top_cities(listings: DataFrame, n: int = 5, by_city: DataFrame | None = None) -> DataFrame:
+    """The cities with most listings; `by_city` as in `listing_counts`."""
+    found = listings.groupBy("city").agg(
+        F.count(F.lit(1)).alias("rows")) if by_city is None else by_city
+    counted = found.filter(F.col("city").isNotNull()).orderBy(F.desc("rows"), "city").limit(n)
     return counted.select(
         F.lit("listings").alias("section"), F.lit("top city").alias("metric"),
-        F.col("city").alias("key"), F.col("n").cast("double").alias("value"),
+        F.col("city").alias("key"), F.col("rows").cast("double").alias("value"),
     )
 
 
@@ -89,8 +103,11 @@ def city_reference(cities: DataFrame) -> DataFrame:
 
 
 def data_profile(listings: DataFrame, photos: DataFrame, cities: DataFrame) -> DataFrame:
+    """The whole profile; each input is scanned once."""
+    by_city = cut(city_counts(listings), "city-counts")
     parts = [
-        listing_counts(listings), column_list(listings), top_cities(listings),
+        listing_counts(listings, by_city), column_list(listings),
+        top_cities(listings, by_city=by_city),
         photo_counts(photos), city_reference(cities),
     ]
     whole = parts[0]

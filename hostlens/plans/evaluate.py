@@ -61,23 +61,28 @@ def gates_from_files(
     spark: SparkSession, output: str, feature_table: str | None = None,
     room_labels: str | None = None, blur_labels: str | None = None,
     photos_root: str | None = None, fmt: str = "csv", s: Settings = DEFAULTS,
+    predictor: evaluation.Predictor | None = None, detector: evaluation.Predictor | None = None,
 ) -> bool | None:
     """Run the gates that have an input file and write their reports below `output`.
 
     `output`/gates has a row for each metric of a check. `output`/confusion has the
     confusion matrix of the rooms as rows (truth, predicted, n), without empty cells; its
     labels are those of both columns. A feature table that lacks columns is not checked
-    further: its gates are one row for each missing column, and fail. Rooms come from
-    file names, blur from the images below `photos_root`. Returns whether all gates pass,
-    or None without any input.
+    further: its gates are one row for each missing column, and fail. Rooms come from the
+    `predictor`, else from file names; blur from the `detector`, else from the images below
+    `photos_root` (`functions.models` makes both from a model). Returns whether all gates
+    pass, or None without any input.
     """
     features = None if feature_table is None else sinks.read_table(spark, feature_table)
     missing = [] if features is None else [
         name for name in FEATURE_COLUMNS if name not in features.columns]
     rooms = None if room_labels is None else evaluation.room_pairs(
-        read_labels(spark, room_labels, fmt), root=photos_root)
+        read_labels(spark, room_labels, fmt), predictor=predictor, root=photos_root)
     blur = None
-    if blur_labels is not None:
+    if blur_labels is not None and detector is not None:
+        blur = evaluation.blur_pairs(read_labels(spark, blur_labels, fmt), detector=detector,
+                                     root=photos_root)
+    elif blur_labels is not None:
         if photos_root is None:
             raise ValueError("blur labels need the root of the photos")
         metrics = with_photo_scores(photo_metrics(read_images(spark, photos_root)), s)

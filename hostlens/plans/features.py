@@ -11,18 +11,15 @@ from hostlens.functions.explanation import to_json_cell
 from hostlens.operators import amenities, listing, matching, rooms, scoring, technical
 from hostlens.operators.duplicates import duplicate_groups
 from hostlens.operators.ordering import position_in_group
-from hostlens.operators.pixels import photo_metrics
 from hostlens.session import cut
 from hostlens.settings import DEFAULTS, FEATURE_COLUMNS, Settings
 from hostlens.sources import sinks
-from hostlens.sources.images import existing_files, file_uri, read_images
+from hostlens.sources.images import existing_files, measured_files
+from hostlens.sources.replace import replace_tables
 from hostlens.sources.tables import (
     eligible, first_listings, read_listings, read_photos,
 )
 
-# this many image files may be opened by name instead of reading whole folders
-NAMED_FILES = 10_000
-
 # per-gallery values of a listing without photos
 _NO_GALLERY = {
     "photo_count": "bigint", "valid_count": "bigint", "blurry_count": "bigint",
@@ -208,8 +205,7 @@ def score_folder(
     when photos also lie beside it (a photo is looked up below the data folder,
     then below its parent).
 
-    Only images of photos in the galleries of the scored listings count; up to
-    NAMED_FILES of them are opened by name, more by reading the folders.
+    Only images of photos in the galleries of the scored listings are opened, by name.
 
     Writes the feature table to `output` and beside it the flag table: one row for
     each flag in an explanation cell, with its listing and its place in the list.
@@ -227,14 +223,8 @@ def score_folder(
     there = matching.existing_photos(pruned, existing_files(spark, folders), data_dir)
     # the galleries are matched on paths first, so that only their images are decoded
     placed = cut(matching.gallery_members(chosen, there, records), "placed")
-    paths = cut(placed.select("path").distinct(), "paths")
-    names = [row["path"] for row in paths.limit(NAMED_FILES + 1).collect()]
-    if len(names) <= NAMED_FILES:
-        images = read_images(spark, [file_uri(name) for name in names] or folders)
-    else:
-        images = read_images(spark, folders)
     # each once; all later branches read the written metrics
-    metrics = cut(photo_metrics(images.join(paths, "path", "left_semi")), "metrics")
+    metrics = measured_files(placed.select("path"))
     photos = placed.join(metrics, "path")
     if embeddings is not None:
         photos = photos.join(embeddings, "path", "left")
@@ -243,9 +233,11 @@ def score_folder(
     features = build_features(
         listings, photos, vision, calibrator, limit, s, records=records, members=members
     )
-    sinks.write_table(features, output)
-    sinks.write_table(
-        listing_flags(chosen, members, records, s), f"{output.rstrip('/')}_photo_flags")
+    # both are written whole before either takes the place of an earlier one
+    replace_tables({
+        output: features,
+        f"{output.rstrip('/')}_photo_flags": listing_flags(chosen, members, records, s),
+    })
     return True
 
 

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlens.operators.pixels import flat_images
+from hostlens.operators.pixels import flat_images, photo_metrics
+from hostlens.schemas import PHOTO_METRICS
+from hostlens.session import cut, scratch_path
+from hostlens.sources.replace import is_there
+
+# image files whose names the driver holds at a time, as the plan of one scan
+FILES_PER_SCAN = 200_000
+# what an image that can't be read measures; it has no hash
+_INVALID = {"valid": False, "width": 0, "height": 0, "sharpness": 0.0, "colorfulness": 0.0,
+            "contrast": 0.0, "brightness": 0.0}
 
 
 def plain_path(c):
@@ -30,5 +40,48 @@ def existing_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
 
 def read_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Decoded images below a folder; an unreadable file has a negative height."""
-    images = spark.read.format("image").option("recursiveFileLookup", "true").load(folder)
+    images = spark.read.format("image").option("recursiveFileLookup", "true").option(
+        "ignoreMissingFiles", "true").load(folder)
     return flat_images(images).withColumn("path", plain_path(F.col("path")))
+
+
+def _images_named(spark: SparkSession, part: DataFrame) -> DataFrame | None:
+    """Decoded images of the paths of one slice; None if none of the files is there."""
+    names = [row["path"] for row in part.collect()]
+    try:
+        return read_images(spark, [file_uri(name) for name in names]) if names else None
+    except AnalysisException:  # some are not there
+        folders = {name.rpartition("/")[0] or "/" for name in names}
+        folders = [file_uri(f) for f in sorted(folders) if is_there(spark, f)]
+        if not folders:
+            return None
+        found = existing_files(spark, folders).join(part, "path", "left_semi").collect()
+        return read_images(spark, [file_uri(r["path"]) for r in found]) if found else None
+
+
+def measured_files(paths: DataFrame, per_scan: int = FILES_PER_SCAN) -> DataFrame:
+    """Metrics of the images with the given `path`s, one row for each distinct path.
+
+    Only those files are opened. They are read in slices by a hash of the path; the driver
+    names the files of one slice at a time, and Spark packs them into tasks by their bytes.
+    A path without a file, or whose file goes meanwhile, is an invalid image, as one that
+    cannot be decoded. Null paths are left out. Each slice is written before the next.
+    """
+    spark = paths.sparkSession
+    known = cut(paths.select("path").filter("path is not null").distinct(), "paths")
+    slices = -(-known.count() // per_scan) or 1
+    target = scratch_path(spark, "metrics")
+    invalid = {f.name: F.lit(_INVALID.get(f.name)).cast(f.dataType)
+               for f in PHOTO_METRICS.fields if f.name != "path"}
+    for at in range(slices):
+        part = known.filter(F.pmod(F.xxhash64("path"), F.lit(slices)) == at)
+        images = _images_named(spark, part)
+        if images is None:
+            rows = part.select("path", *[value.alias(name) for name, value in invalid.items()])
+        else:
+            found = part.join(photo_metrics(images), "path", "left")
+            rows = found.select("path", *[
+                F.when(F.col("valid").isNull(), value).otherwise(F.col(name)).alias(name)
+                for name, value in invalid.items()])
+        rows.write.mode("append").parquet(target)
+    return spark.read.schema(PHOTO_METRICS).parquet(target)

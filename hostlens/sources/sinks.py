@@ -6,23 +6,26 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostlens.sources.replace import recovered, replace_tables
+
 
 def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+    """Replace the table at the path once the new one is whole."""
+    replace_tables({path: df})
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(recovered(spark, path))
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """Report rows as JSON lines; nulls are kept."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    replace_tables({path: df}, "json", {"ignoreNullFields": "false"})
 
 
 def save_calibrator(line: DataFrame, path: str) -> None:
     """The one-row result of a fit."""
-    line.select("slope", "intercept").coalesce(1).write.mode("overwrite").json(path)
+    replace_tables({path: line.select("slope", "intercept").coalesce(1)}, "json")
 
 
 def load_calibrator(spark: SparkSession, path: str) -> tuple[float, float] | None:
@@ -31,7 +34,7 @@ def load_calibrator(spark: SparkSession, path: str) -> tuple[float, float] | Non
     try:
         row = (
             spark.read.schema(schema)
-            .option("columnNameOfCorruptRecord", "bad").json(path)
+            .option("columnNameOfCorruptRecord", "bad").json(recovered(spark, path))
             .select(
                 "bad", F.col("slope").try_cast("double").alias("slope"),
                 F.col("intercept").try_cast("double").alias("intercept"),

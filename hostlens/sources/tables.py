@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from hostlens.functions.clean import CONVERTERS, TYPES, missing_to_null, number, strip
 from hostlens.operators.validation import require_columns
 from hostlens.schemas import LISTING_FIELDS, PHOTO_FIELDS
+from hostlens.session import cut
+from hostlens.sources.records import read_split_csv
 
 
 def row_key() -> Column:
@@ -19,20 +21,29 @@ def row_key() -> Column:
     )
 
 
+def _named(name: str) -> Column:
+    """A column by its whole name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def read_cells(spark: SparkSession, path: str, fmt: str = "csv",
-               multiline: bool = True) -> DataFrame:
+               multiline: bool = True, split: bool = True) -> DataFrame:
     """A raw table with its `row_key`; every CSV cell stays text, missing ones null.
 
-    `multiline` is needed when cells contain line breaks, as descriptions do; a file is
-    then read by one task, so give large inputs as many files or as Parquet. Without it a
-    file is split among tasks.
+    `multiline` is needed when cells contain line breaks, as descriptions do. A file is
+    split among tasks all the same (`sources.records`), written once as Parquet and read from
+    there, unless `split` is off: then one task reads a file. That also takes quotes that
+    neither enclose a cell nor are doubled in one, which the split reader refuses.
     """
     if fmt == "csv":
         raw = spark.read.csv(path, header=True, multiLine=multiline, escape='"')
-        cells = [missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns]
+        cells = [missing_to_null(_named(c)).alias(c) for c in raw.columns]
+        if multiline and split:
+            raw = read_split_csv(spark, path, raw.columns)
+            return cut(raw.select(*cells, "row_key"), "cells")
     elif fmt == "parquet":
         raw = spark.read.parquet(path)
-        cells = [F.col(f"`{c}`") for c in raw.columns]
+        cells = [_named(c) for c in raw.columns]
     else:
         raise ValueError(f"unknown table format: {fmt}")
     return raw.select(*cells, row_key().alias("row_key"))
@@ -74,8 +85,9 @@ def clean_photos(raw: DataFrame, strict: bool = True) -> DataFrame:
     return rows.filter((F.col("entity_id") != "") & (F.col("file") != ""))
 
 
-def read_listings(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True):
-    return clean_listings(read_cells(spark, path, fmt), strict)
+def read_listings(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True,
+                  split: bool = True):
+    return clean_listings(read_cells(spark, path, fmt, split=split), strict)
 
 
 def read_photos(spark: SparkSession, path: str, fmt: str = "csv", strict: bool = True,
