@@ -23,8 +23,8 @@ SURE_SUPPORT, SURE_PRECISION = 8, 0.9
 MOST_FEATURES = 2_000  # of one word or stem each; what they weigh is a few hundred kB
 STEMS = (4, 5, 6)
 SYMBOLS = 64  # 0: no letter, 1-26: a-z, the rest: other letters by code point
-CACHE = 500_000
-MASK_RUN, MASK_LETTERS = 3, 4
+CACHE = 250_000
+MASK_RUN, MASK_LETTERS = 3, 3
 MOST_RUN = 3  # longer runs of one character are read as so many
 PART, STEP = 200, 100  # long spans are read in parts of PART characters that start STEP apart
 
@@ -102,6 +102,20 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
+_SYMBOL: dict[str, int] = {}
+
+
+def word_symbols(word: str) -> list[int]:
+    """`symbols` of a short text, character by character."""
+    found = list(map(_SYMBOL.get, word))
+    if None in found:
+        if len(_SYMBOL) > CACHE:
+            _SYMBOL.clear()
+        _SYMBOL.update(zip(word, symbols(word).tolist(), strict=True))
+        found = list(map(_SYMBOL.get, word))
+    return found
+
+
 class Costs:
     """The table of `character_costs` in the two forms that the search reads."""
 
@@ -118,7 +132,7 @@ def moves_of(span: str, ends: bool = True) -> list[list[tuple[str, int, float]]]
     as any letter. MASK_RUN stars or more are no letters beside MASK_LETTERS letters or more:
     they decorate a word.
     """
-    own = symbols(span).tolist()
+    own = word_symbols(span)
     lattice = []
     masks = [True] * len(span)
     if "*" in span and sum(map(str.isalpha, span)) >= MASK_LETTERS:
@@ -196,7 +210,7 @@ def decode_doubles(word: str, costs: Costs) -> str:
     pair was dropped or not. So each pair is decided by itself, by the costs of its second
     letter and of the one behind it.
     """
-    flat, s, out, kept = costs.flat, symbols(word).tolist(), [], 0
+    flat, s, out, kept = costs.flat, word_symbols(word), [], 0
     for pair in _DOUBLE.finditer(word):
         at = pair.start()
         before = s[at - 1] if at else 0
@@ -235,13 +249,14 @@ class Reader:
                 for word in decode(span[at: at + PART], self.costs, ends).split()]
 
     def _read(self, token: str) -> tuple[str, ...]:
-        plain = token.strip(_OUTER).rstrip(_ENDS)
+        plain = token if token.isalpha() else token.strip(_OUTER).rstrip(_ENDS)
         double = _DOUBLE.search(plain)
-        if plain.isalpha() and not _TRIPLE.search(plain):
+        if plain.isalpha():
             if not double:
                 return (plain,)
-            once = decode_doubles(plain, self.costs)
-            return (plain,) if once == plain else (plain, once)
+            if not _TRIPLE.search(plain):
+                once = decode_doubles(plain, self.costs)
+                return (plain,) if once == plain else (plain, once)
         words = _WORDS.findall(token)
         if (words or _HARD_SIGNS.search(token)) and (
                 double or _SIGNS.search(plain) or _JOINED.search(plain)):
@@ -277,19 +292,18 @@ class ToxicModel:
     weights: dict[str, float]
     base: float
 
-    def score(self, words: set[str], known: dict[str, tuple[str, ...]]) -> float:
+    def __post_init__(self) -> None:
+        self.stems = [(n, {f for f in self.weights if f.endswith("-") and len(f) == n + 1})
+                      for n in STEMS]
+
+    def score(self, words: set[str]) -> float:
         """One minus the chance that none of the found features marks the text."""
-        weights, clean = self.weights, 1 - self.base
-        hits = set()
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                found = known[word] = tuple(f for f in features(word) if f in weights)
-            hits.update(found)
+        hits, clean = words & self.weights.keys(), 1 - self.base
+        for n, stems in self.stems:
+            if stems:
+                hits.update({f"{w[:n]}-" for w in words if len(w) > n} & stems)
         for hit in sorted(hits):
-            clean *= 1 - weights[hit]
+            clean *= 1 - self.weights[hit]
         return 1 - clean
 
 
@@ -398,10 +412,10 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
-        reader, known = Reader(scorer.costs), {}
+        reader = Reader(scorer.costs)
         for batch in pieces(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            scores = [scorer.score(reader.words(t or ""), known) for t in texts]
+            scores = [scorer.score(reader.words(t or "")) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
                 + [pa.array(scores, pa.float64())], names=[f.name for f in kept] + [out_col])
