@@ -23,7 +23,10 @@ SPARE_GROUPS = 0.2  # groups of a two-level band, over those that similar sets m
 SPARE = 2.0  # partitions of a smaller band, to those that similar sets may disagree in
 # a shingle is taken for common if batches in which so many documents have it hold this
 # share of all documents' occurrences; it is looked up in a table of fixed size, by its hash
-COMMON_SHARE, COMMON_LEAST, COMMON_SLOTS = 0.0005, 2, 1 << 21
+COMMON_SHARE, COMMON_LEAST, COMMON_SLOTS = 0.00005, 2, 1 << 21
+
+
+SKETCH = 8  # 64-bit words of a set's parities
 
 
 def band_starts(most: int) -> np.ndarray:
@@ -156,19 +159,33 @@ def signatures(
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
+def parities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set whether the number of its shingles in each of 64 * SKETCH slots is odd.
+
+    As SKETCH words. Sets that differ in d shingles differ in at most d of the bits.
+    """
+    slots = 64 * SKETCH
+    slot = (mix(hashes ^ np.uint64(0xA5A5)) % np.uint64(slots)).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    odd = np.bincount(owner * slots + slot, minlength=len(sizes) * slots) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sizes), SKETCH)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, set_id, set_check) of every row."""
+    """(doc_id, text_hash, n_shingles, set_id, set_check, bits) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             hashes, sizes = shingle_sets(batch.column(1))
             ids, checks = _class_ids(hashes, sizes)
+            bits = pa.FixedSizeListArray.from_arrays(
+                pa.array(parities(hashes, sizes).ravel()), SKETCH).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sizes.astype(np.int64)),
-                 pa.array(ids), pa.array(checks)],
-                names=["doc_id", "text_hash", "n_shingles", "set_id", "set_check"])
+                 pa.array(ids), pa.array(checks), bits],
+                names=["doc_id", "text_hash", "n_shingles", "set_id", "set_check", "bits"])
 
-    return docs.mapInArrow(
-        run, "doc_id bigint, text_hash bigint, n_shingles bigint, set_id bigint, set_check bigint")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, "
+                                "set_id bigint, set_check bigint, bits array<bigint>")
 
 
 def _common(docs: DataFrame) -> np.ndarray:
@@ -235,15 +252,29 @@ def _buckets(docs: DataFrame, common: np.ndarray) -> DataFrame:
         F.coalesce("sig", "key").alias("sig"), "set_id").distinct()
 
 
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that set sizes and parities do not rule out; no linked pair is."""
+    sides = [texts.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"),
+                          *[F.col("bits")[k].alias(f"{side}{k}") for k in range(SKETCH)])
+             for side in ("a", "b")]
+    apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH)),
+                F.lit(0))
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(
+        (least * 100 >= most * PERCENT) & (apart * 9 <= F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of set ids whose texts are linked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(pieces(batches, "text_a"), "text_b"):
             sides = []
-            for column in (2, 3):
-                hashes, sizes = shingle_sets(batch.column(column))
+            for column in (2, 3):  # a text of several pairs is hashed once
+                texts = batch.column(column).dictionary_encode()
+                hashes, sizes = shingle_sets(texts.dictionary)
                 ends = np.cumsum(sizes)
-                sides.append([hashes[e - n: e] for e, n in zip(ends, sizes, strict=True)])
+                each = [hashes[e - n: e] for e, n in zip(ends, sizes, strict=True)]
+                sides.append([each[k] for k in texts.indices.to_numpy()])
             linked = []
             for a, b in zip(*sides, strict=True):
                 both = len(a) + len(b)
@@ -264,7 +295,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, texts: DataFrame, edges: DataFrame | None,
               ) -> tuple[DataFrame | None, DataFrame | None]:
     """(links, roots) after the candidate pairs are verified; the links are one for each node."""
-    found = cut(_verified(pairs, texts), "links")
+    near = cut(_possible(pairs, texts), "possible")
+    found = cut(_verified(near, texts), "links")
     if found.isEmpty():
         return edges, None
     roots = cut(linked_roots(found if edges is None else edges.unionByName(found)), "roots")
@@ -283,14 +315,20 @@ def _class_roots(members: DataFrame, texts: DataFrame) -> DataFrame | None:
 
     First every class is compared with one other: the one with the most company of all that
     lead its buckets. The text that near copies were made from has the most, so a group of
-    copies is mostly joined by as many comparisons as it has members. Then, in each bucket
+    copies is mostly joined by as many comparisons as it has members. Buckets with the same
+    members as another, told by two hashes, are left out. Then, in each bucket
     that still has members of several components, leaders (one in the first round, then up
     to 64, 4096, ...) are compared with all members that are not yet in the leader's
     component, and leave; buckets go on until all their members are in one component or have
     led. So every candidate pair is either compared or already connected: no link is lost.
     """
-    shared = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    weights = members.join(shared, "sig").groupBy("set_id").agg(F.sum("n").alias("weight"))
+    shared = cut(members.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"),
+        F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y")), "bucket-sizes")
+    # of buckets with the same members, as those of a shared passage, one does for all
+    one = shared.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n")
+    members = members.join(one.select("sig"), "sig", "left_semi")
+    weights = members.join(one, "sig").groupBy("set_id").agg(F.sum("n").alias("weight"))
     members = cut(members.join(weights, "set_id").select("sig", "set_id", "weight"), "weighted")
     edges = roots = None
     first = members.groupBy("sig").agg(F.max(F.struct("weight", "set_id")).alias("lead"))
@@ -326,16 +364,17 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(
         F.col(text_col), F.lit("")).alias("text"))
     hashed = rows.withColumn("text_hash", F.xxhash64("text"))
-    sets = cut(_rows(hashed), "sets")
+    sets = cut(_rows(hashed), "sets")  # later readers skip the bits
     classes = cut(sets.filter("n_shingles > 0").groupBy("set_id", "set_check").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("rep"),
-        F.min("doc_id").alias("least")), "classes")
+        F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least"),
+        F.min("n_shingles").alias("n"), F.min("bits").alias("bits")), "classes")
     members = cut(_buckets(rows.filter("text <> ''"), _common(rows)), "buckets")
     wanted = classes.join(members.select("set_id").distinct(), "set_id").select(
-        "set_id", F.col("rep.doc_id").alias("w_id"), F.col("rep.text_hash").alias("w_hash"))
+        "set_id", "n", "bits", F.col("rep.doc_id").alias("w_id"),
+        F.col("rep.text_hash").alias("w_hash"))
     texts = cut(hashed.join(
         wanted, hashed["doc_id"].eqNullSafe(wanted["w_id"]) & (F.col("text_hash") == F.col("w_hash"))
-    ).select("set_id", "text").dropDuplicates(["set_id"]), "class-texts")
+    ).select("set_id", "n", "bits", "text").dropDuplicates(["set_id"]), "class-texts")
     roots = _class_roots(members, texts)
     if roots is None:
         named = classes.select("set_id", "set_check", F.col("set_id").alias("root"),
@@ -345,7 +384,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             "root", F.coalesce("root", "set_id"))
         lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
         named = named.join(lowest, "root").select("set_id", "set_check", "root", "component_id")
-    return sets.join(named, ["set_id", "set_check"], "left")
+    return sets.drop("bits").join(named, ["set_id", "set_check"], "left")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id",

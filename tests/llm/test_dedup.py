@@ -143,6 +143,19 @@ def test_signatures_are_subsets_of_two_parts():
     assert len(shared) >= (at == 0).sum() - 12
 
 
+def test_parities_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 80, 700):
+        for _ in range(20):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.append(a[rng.integers(0, n):], rng.integers(0, 1 << 63, 7, dtype=np.uint64))
+            sets = [np.unique(a), np.unique(b)]
+            bits = partenum.parities(np.concatenate(sets), np.array([len(x) for x in sets]))
+            apart = int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(*sets))
+            assert (partenum.parities(sets[0], np.array([len(sets[0])]))[0] == bits[0]).all()
+
+
 def test_one_row_of_each_component_stays(spark):
     """Null and repeated ids, rows equal in all, and columns with any name."""
     rng = random.Random(4)
