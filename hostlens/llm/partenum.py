@@ -252,16 +252,18 @@ def _buckets(docs: DataFrame, common: np.ndarray) -> DataFrame:
         F.coalesce("sig", "key").alias("sig"), "set_id").distinct()
 
 
-def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that set sizes and parities do not rule out; no linked pair is."""
-    sides = [texts.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"),
-                          *[F.col("bits")[k].alias(f"{side}{k}") for k in range(SKETCH)])
-             for side in ("a", "b")]
+def _sketches(texts: DataFrame, side: str) -> DataFrame:
+    """(side, n_side, side0, ...): set size and parity words of each class."""
+    return texts.select(F.col("set_id").alias(side), F.col("n").alias(f"n_{side}"), *[
+        F.col("bits")[k].alias(f"{side}{k}") for k in range(SKETCH)])
+
+
+def _may_link() -> Column:
+    """Whether sizes and parities of sets a and b leave a link open; they do for every link."""
     apart = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH)),
                 F.lit(0))
     least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    return pairs.join(sides[0], "a").join(sides[1], "b").filter(
-        (least * 100 >= most * PERCENT) & (apart * 9 <= F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return (least * 100 >= most * PERCENT) & (apart * 9 <= F.col("n_a") + F.col("n_b"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -295,8 +297,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, texts: DataFrame, edges: DataFrame | None,
               ) -> tuple[DataFrame | None, DataFrame | None]:
     """(links, roots) after the candidate pairs are verified; the links are one for each node."""
-    near = cut(_possible(pairs, texts), "possible")
-    found = cut(_verified(near, texts), "links")
+    found = cut(_verified(pairs, texts), "links")
     if found.isEmpty():
         return edges, None
     roots = cut(linked_roots(found if edges is None else edges.unionByName(found)), "roots")
@@ -304,18 +305,18 @@ def _compared(pairs: DataFrame, texts: DataFrame, edges: DataFrame | None,
         F.col("root").alias("a"), F.col("node").alias("b")), roots
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of set ids from members with a leader."""
-    return members.select(F.least("set_id", "lead").alias("a"),
-                          F.greatest("set_id", "lead").alias("b")).distinct()
+def _pairs(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a before b, of those that may be linked."""
+    return pairs.filter(_may_link()).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _class_roots(members: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(node, root) of the classes that links join, from the members of all buckets.
 
-    First every class is compared with one other: the one with the most company of all that
-    lead its buckets. The text that near copies were made from has the most, so a group of
-    copies is mostly joined by as many comparisons as it has members. Buckets with the same
+    First every class is compared with one other: the one with company in the most signatures
+    of all that lead its buckets. The text that near copies were made from has it in all, so a
+    group of copies is mostly joined by as many comparisons as it has members. Buckets with the same
     members as another, told by two hashes, are left out. Then, in each bucket
     that still has members of several components, leaders (one in the first round, then up
     to 64, 4096, ...) are compared with all members that are not yet in the leader's
@@ -326,16 +327,18 @@ def _class_roots(members: DataFrame, texts: DataFrame) -> DataFrame | None:
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("x"),
         F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y")), "bucket-sizes")
     # of buckets with the same members, as those of a shared passage, one does for all
-    one = shared.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n")
-    members = members.join(one.select("sig"), "sig", "left_semi")
-    weights = members.join(one, "sig").groupBy("set_id").agg(F.sum("n").alias("weight"))
+    one = shared.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    # the text that near copies were made from has company in most of its signatures
+    weights = members.groupBy("set_id").agg(F.count(F.lit(1)).alias("weight"))
+    members = members.join(one, "sig", "left_semi")
     members = cut(members.join(weights, "set_id").select("sig", "set_id", "weight"), "weighted")
     edges = roots = None
     first = members.groupBy("sig").agg(F.max(F.struct("weight", "set_id")).alias("lead"))
     best = members.join(first, "sig").filter("set_id <> lead.set_id").groupBy("set_id").agg(
         F.max("lead").alias("lead"))
-    edges, fresh = _compared(_pairs(best.select("set_id", F.col("lead.set_id").alias("lead"))),
-                             texts, edges)
+    best = best.select(F.col("set_id").alias("a"), F.col("lead.set_id").alias("b"))
+    edges, fresh = _compared(_pairs(best.join(_sketches(texts, "a"), "a").join(
+        _sketches(texts, "b"), "b")), texts, edges)
     roots = fresh if fresh is not None else roots
     turn = 1
     while True:
@@ -347,13 +350,16 @@ def _class_roots(members: DataFrame, texts: DataFrame) -> DataFrame | None:
         members = cut(placed.join(open_, "sig"), "open-buckets")
         if members.isEmpty():
             return roots
-        leaders = members.groupBy("sig", F.pmod(F.xxhash64("set_id"), F.lit(turn)).alias("s")).agg(
-            F.max(F.struct("weight", "set_id", "comp")).alias("lead"))
-        leaders = leaders.select("sig", F.col("lead.set_id").alias("lead"),
-                                 F.col("lead.comp").alias("lead_comp"))
-        pairs = _pairs(members.join(leaders, "sig").filter("comp <> lead_comp"))
+        # sizes and parities decide inside the join: what they rule out is no row anywhere
+        wide = members.withColumnRenamed("set_id", "a").join(_sketches(texts, "a"), "a")
+        known = [c for c in wide.columns if c not in ("sig", "weight")]
+        leaders = wide.groupBy("sig", F.pmod(F.xxhash64("a"), F.lit(turn)).alias("s")).agg(
+            F.max(F.struct("weight", *known)).alias("lead"))
+        leaders = leaders.select("sig", *[F.col(f"lead.{c}").alias(
+            {"a": "b", "n_a": "n_b", "comp": "lead_comp"}.get(c, f"b{c[1:]}")) for c in known])
+        pairs = _pairs(wide.join(leaders, "sig").filter("comp <> lead_comp"))
         members = members.select("sig", "set_id", "weight").join(
-            leaders.select("sig", F.col("lead").alias("set_id")), ["sig", "set_id"], "left_anti")
+            leaders.select("sig", F.col("b").alias("set_id")), ["sig", "set_id"], "left_anti")
         edges, fresh = _compared(pairs, texts, edges)
         roots = fresh if fresh is not None else roots
         turn *= 64
