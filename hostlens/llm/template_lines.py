@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.llm.common import unused_names
+from hostlens.operators.sizing import broadcast_if_small
 from hostlens.session import cut
 
 LEAD = 3  # depth of the tree below the token count: leading tokens
@@ -108,15 +109,15 @@ def recurring_lines(docs: DataFrame, least: int = LEAST_FAMILIES, id_col: str =
     """
     lines = cut(split_lines(docs, id_col, text_col), "template-lines")
     leaves = cut(_recurring(lines, ["leaf"], least), "template-leaves")
-    # always by shuffle: both sides grow with the input
-    found = cut(lines.hint("merge").join(leaves, "leaf"), "template-found")
+    leaves = broadcast_if_small(leaves)  # counted; more of them are joined by shuffle
+    found = cut(lines.join(leaves, "leaf"), "template-found")
     same = cut(_recurring(found, ["leaf", "line_hash"], least), "template-same")
     varied = cut(found.join(same, ["leaf", "line_hash"], "left_anti"), "template-varied")
 
     texts = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line"))
     texts = texts.select("line", _spaced(F.col("line")).alias("spaced")).select(
         _leaf(F.col("spaced")).alias("leaf"), "line", "spaced")
-    texts = texts.hint("merge").join(leaves, "leaf").distinct().select(
+    texts = texts.join(leaves, "leaf").distinct().select(
         "leaf", F.xxhash64("line").alias("line_hash"), F.split("spaced", " ").alias("tokens"))
     words = cut(texts.join(same, ["leaf", "line_hash"], "left_anti").select(
         "leaf", "line_hash", F.posexplode("tokens").alias("i", "token")), "template-tokens")
