@@ -22,17 +22,20 @@ _NAMED = (*((room, 0.5) for _, room in ROOM_KEYWORDS), ("exterior", 0.4), ("othe
 def with_name_rule(photos: DataFrame, path: str = "path") -> DataFrame:
     """Add `_rule`, the number of the first keyword found in the file name.
 
-    The cleaned name is its own projection: Spark then computes it once per row
-    instead of once per keyword.
+    The rule names the path once: a filter on rooms that Spark moves below this
+    projection would otherwise repeat the whole path for every keyword, in code
+    too long to compile.
     """
     name = F.translate(F.lower(F.substring_index(path, "/", -1)), "_-", "  ")
-    words = F.col("_words")
-    rule = F.when(F.lit(False), F.lit(0))
-    for i, (keyword, _) in enumerate(ROOM_KEYWORDS):
-        rule = rule.when(words.contains(keyword), i)
     n = len(ROOM_KEYWORDS)
-    rule = rule.when(words.contains("cover"), n).otherwise(n + 1)
-    return photos.withColumn("_words", name).withColumn("_rule", rule).drop("_words")
+
+    def first(words: Column) -> Column:
+        rule = F.when(F.lit(False), F.lit(0))
+        for i, (keyword, _) in enumerate(ROOM_KEYWORDS):
+            rule = rule.when(words.contains(keyword), i)
+        return rule.when(words.contains("cover"), n).otherwise(n + 1)
+
+    return photos.withColumn("_rule", F.get(F.transform(F.array(name), first), F.lit(0)))
 
 
 def named_room(rule: Column) -> Column:
@@ -81,10 +84,11 @@ def join_predictions(photos: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def room_bit(s: Settings = DEFAULTS) -> Column:
     """Bit of the room a photo covers; 0 below the confidence or outside the list."""
-    bit = F.when(F.lit(False), F.lit(0))
-    for i, room in enumerate(EXPECTED_ROOMS):
-        bit = bit.when(F.col("room") == room, F.lit(1 << i))
-    return F.when(F.col("room_confidence") >= s.room_confidence, bit.otherwise(0)).otherwise(0)
+    bits = F.create_map(*[
+        F.lit(value) for i, room in enumerate(EXPECTED_ROOMS) for value in (room, 1 << i)
+    ])
+    bit = F.coalesce(F.try_element_at(bits, F.col("room")), F.lit(0))
+    return F.when(F.col("room_confidence") >= s.room_confidence, bit).otherwise(0)
 
 
 def room_aggregate(s: Settings = DEFAULTS) -> Column:
