@@ -57,9 +57,15 @@ def explanation_lists(features: DataFrame) -> DataFrame:
 
 
 def photo_flags(features: DataFrame) -> DataFrame:
-    """One row per flagged photo of the stored explanations."""
+    """One row per flagged photo of the stored explanations.
+
+    Cells without flags are dropped after the list is laid out: Spark would otherwise
+    test the list beforehand, and write and parse the whole cell again for each test.
+    """
     parsed = features.select("listing_id", from_json_cell(F.col("explanation_json")).alias("e"))
-    flags = parsed.select("listing_id", F.inline("e.bad_photos"))
+    marked = F.transform("e.bad_photos", lambda flag: F.struct(F.lit(True).alias("_there"), flag.alias("_flag")))
+    flags = parsed.select("listing_id", F.inline_outer(marked)).filter("_there").select(
+        "listing_id", "_flag.*")
     reason = F.replace("reason", F.lit("_"), F.lit(" "))
     sized = F.col("width").isNotNull() & F.col("height").isNotNull()
     return flags.select(

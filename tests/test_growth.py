@@ -23,3 +23,48 @@ def test_a_filter_on_rooms_names_the_path_few_times(spark):
         "living": 2, "pool": 1, "exterior": 1, "bedroom": 1}
     # once for the room, twice in the filter: confidence and room
     assert optimised(kept).count("translate(") <= 3
+
+
+def test_flags_are_ordered_without_structs_in_structs(spark):
+    from hostlens.plans.features import gallery_flags
+    from hostlens.settings import DEFAULTS
+
+    rows = [("g", e, s, (k, s), f"p{e}{s}{k}", True, True, "pool", 0.5, 10, 20)
+            for e, s, k in (("b", 2, 5), ("a", 1, 9), ("b", 1, 7), ("a", 1, 3), ("b", None, 1))]
+    frame = spark.createDataFrame(rows, (
+        "gallery string, entity_id string, seq long, row_key struct<a:long,b:long>, path string, "
+        "is_blurry boolean, is_low_resolution boolean, room string, room_confidence double, "
+        "width long, height long"))
+    flags = gallery_flags(frame, frame, DEFAULTS)
+    (got,) = flags.collect()
+    assert [f["path"] for f in got["bad_photos"]] == ["pbNone1", "pb17", "pb25", "pa13", "pa19"]
+    line = next(x for x in optimised(flags).splitlines() if "collect_list" in x)
+    assert "entity_first" in line and "struct(entity_first," not in line
+
+
+def test_flags_of_a_cell_parse_it_once(spark):
+    from hostlens.operators.reporting import photo_flags
+
+    cell = ('{"positive":[],"issues":[],"suggestions":[],"bad_photos":'
+            '[{"path":"a","reason":"x_y","width":1000,"height":2000},{"path":null,"reason":"z"}]}')
+    rows = [("l1", cell), ("l2", '{"positive":[],"issues":[],"suggestions":[],"bad_photos":[]}'),
+            ("l3", None), ("l4", "broken")]
+    found = photo_flags(spark.createDataFrame(rows, "listing_id string, explanation_json string"))
+    assert sorted(map(tuple, found.collect()), key=str) == [
+        ("l1", "a", "x y; 1000 x 2000 px (2.00 MP)"), ("l1", None, "z")]
+    assert optimised(found).count("from_json(") == 1
+
+
+def test_positions_keep_the_rows_in_place(spark):
+    from hostlens.operators.ordering import position_in_group
+
+    rows = [(f"g{i % 3}", (i * 7 % 50, i), f"p{i}") for i in range(50)]
+    frame = spark.createDataFrame(rows, "g string, k struct<a:long,b:long>, p string").repartition(4)
+    placed = position_in_group(frame, "g", [F.col("k")], kept=["p"])
+    assert placed.columns == ["g", "p", "position"]
+    want = {}
+    for g in {r[0] for r in rows}:
+        for n, (_, p) in enumerate(sorted((k, p) for h, k, p in rows if h == g), 1):
+            want[p] = (g, n)
+    assert {r["p"]: (r["g"], r["position"]) for r in placed.collect()} == want
+    assert "Exchange hashpartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
