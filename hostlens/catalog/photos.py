@@ -438,9 +438,10 @@ def photo_position(spark, sf):
     photos = views.photos(spark, sf).select("entity_id", "file", "seq", "row_key")
     listings = eligible(views.listings(spark, sf))
     found = matching.gallery_members(listings, photos)
+    ordered = matching.with_entity_order(found, photos).drop("entity_id")
     placed = ordering.position_in_group(
-        matching.with_entity_order(found, photos), "gallery",
-        [F.col("entity_first"), F.col("seq"), F.col("row_key")],
+        ordered, "gallery", [F.col("entity_first"), F.col("seq"), F.col("row_key")],
+        kept=["gallery", "file"],
     )
     return placed.select("gallery", "file", "position")
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostlens.operators.sizing import broadcast_if_small
 from hostlens.session import cut
 
 
-def _sorted_rows(df: DataFrame, order: list[Column]) -> DataFrame:
+def _sorted_rows(df: DataFrame, order: list[Column], kept: list[str] | None = None) -> DataFrame:
     """Range-sorted rows with their partition and their place in it, written once.
 
+    Only the `kept` columns are written after the sort, all by default.
+
     Writing fixes the partition borders for all readers. The order must end in a
     unique key: then range partitions stay balanced however many rows share the
     leading columns. The input is written first, since a range sort reads it
@@ -19,11 +22,11 @@ def _sorted_rows(df: DataFrame, order: list[Column]) -> DataFrame:
     df = cut(df, "unsorted")
     serial = F.monotonically_increasing_id()
     placed = df.orderBy(*order).withColumn("_serial", serial).select(
-        "*",
+        *(df.columns if kept is None else kept),
         F.shiftright("_serial", 33).alias("_part"),
         F.col("_serial").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
     )
-    return cut(placed.drop("_serial"), "sorted")
+    return cut(placed, "sorted")
 
 
 def rank_all(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -42,10 +45,16 @@ def rank_all(df: DataFrame, order: list[Column], name: str = "rank") -> DataFram
 
 
 def position_in_group(
-    df: DataFrame, group: str, order: list[Column], name: str = "position"
+    df: DataFrame, group: str, order: list[Column], name: str = "position",
+    kept: list[str] | None = None,
 ) -> DataFrame:
-    """1-based position inside a group, also for a group larger than one task."""
-    rows = _sorted_rows(df, [F.col(group).asc(), *order])
+    """1-based position inside a group, also for a group larger than one task.
+
+    Columns that serve the order alone need not be written again: `kept` names those of
+    the result, all by default.
+    """
+    kept = df.columns if kept is None else kept
+    rows = _sorted_rows(df, [F.col(group).asc(), *order], [group, *(c for c in kept if c != group)])
     runs = rows.groupBy(group, "_part").agg(
         F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
@@ -54,8 +63,9 @@ def position_in_group(
         Window.partitionBy(group).orderBy("_part")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    placed = rows.join(runs, [group, "_part"])
+    # written, so that a counted small table of runs travels and the rows stay in place
+    runs = cut(runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))), "runs")
+    placed = rows.join(broadcast_if_small(runs), [group, "_part"])
     return placed.withColumn(
         name, F.col("_place") - F.col("_first") + F.col("_before") + 1
     ).drop("_part", "_place", "_first", "_n", "_before")
