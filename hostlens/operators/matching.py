@@ -102,10 +102,14 @@ def gallery_members(
     return named if found is None else named.unionByName(cut(found, "fallback"))
 
 
+def entity_order(photos: DataFrame) -> DataFrame:
+    """The row key of the first photo of every entity."""
+    return photos.groupBy("entity_id").agg(F.min("row_key").alias("entity_first"))
+
+
 def with_entity_order(members: DataFrame, photos: DataFrame) -> DataFrame:
     """Add the row key of the entity's first photo, the major gallery order."""
-    first = photos.groupBy("entity_id").agg(F.min("row_key").alias("entity_first"))
-    return members.join(first, "entity_id")
+    return members.join(entity_order(photos), "entity_id")
 
 
 def file_keys(files: DataFrame, data_root: str) -> DataFrame:

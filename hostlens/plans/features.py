@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from hostlens.functions.explanation import to_json_cell
 from hostlens.operators import amenities, listing, matching, rooms, scoring, technical
@@ -31,8 +32,6 @@ _UNKNOWN = {
     "avg_aesthetic": "double", "room_mask": "int", "detected_mask": "int",
     "bad_photos": _FLAGS,
 }
-
-
 @dataclass(frozen=True)
 class Vision:
     """Prompt vectors of the two classifiers; None switches a classifier off.
@@ -76,6 +75,18 @@ def photo_rows(photos: DataFrame, vision: Vision, s: Settings = DEFAULTS) -> Dat
     return technical.with_photo_scores(seen, s)
 
 
+def flat_keys(df: DataFrame, name: str) -> list[Column]:
+    """Columns that order rows as the named one does: the fields of a struct, one by one.
+
+    Comparing structs inside structs makes a new comparison for every pair of rows.
+    """
+    kind = df.schema[name].dataType
+    if not isinstance(kind, StructType):
+        return [F.col(name)]
+    # a missing struct comes before one of missing fields
+    return [F.col(name).isNotNull(), *[F.col(name)[f.name] for f in kind.fields]]
+
+
 def gallery_flags(members: DataFrame, photos: DataFrame, s: Settings) -> DataFrame:
     """All flagged photos of each gallery as one ordered array.
 
@@ -83,9 +94,10 @@ def gallery_flags(members: DataFrame, photos: DataFrame, s: Settings) -> DataFra
     flag table has the same rows one by one.
     """
     ordered = matching.with_entity_order(scoring.flagged_photos(members, s), photos)
+    order = [key for c in ("entity_first", "seq", "row_key") for key in flat_keys(ordered, c)]
     return ordered.groupBy("gallery").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct(
-            "entity_first", "seq", "row_key", "path", "reason",
+        F.sort_array(F.collect_list(F.struct(
+            *[key.alias(f"_{i}") for i, key in enumerate(order)], "path", "reason",
             F.col("width").cast("int").alias("width"),
             F.col("height").cast("int").alias("height"),
         ))),
@@ -249,7 +261,8 @@ def listing_flags(listings: DataFrame, members: DataFrame, records: DataFrame,
     """
     ordered = matching.with_entity_order(scoring.flagged_photos(members, s), records)
     placed = position_in_group(
-        ordered, "gallery", [F.col("entity_first"), F.col("seq"), F.col("row_key"), F.col("path")])
+        ordered, "gallery", [F.col("entity_first"), F.col("seq"), F.col("row_key"), F.col("path")],
+        kept=["gallery", "path", "reason", "width", "height"])
     keyed = listings.select("listing_id", matching.id_digits(F.col("listing_id")).alias("gallery"))
     return keyed.filter("gallery <> ''").join(placed, "gallery").select(
         "listing_id", (F.col("position") - 1).alias("position"), "path", "reason",
