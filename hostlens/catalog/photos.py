@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ from hostlens.functions.similarity import hamming, prompt_softmax
 from hostlens.operators import amenities, duplicates, matching, ordering, rooms, technical
 from hostlens.operators.aliases import with_alias_key
 from hostlens.operators.pixels import photo_metrics
+from hostlens.operators.sizing import broadcast_if_small
 from hostlens.plans.features import Vision, photo_rows
+from hostlens.session import cut
 from hostlens.settings import AMENITY_LABELS, DEFAULTS, EXPECTED_ROOMS, ROOM_LABELS
 from hostlens.sources.tables import eligible
 
@@ -217,7 +221,8 @@ def alias_table_match(spark, sf):
     listed = views.listings(spark, sf).select(F.explode("amenities").alias("item"))
     words = views.table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("item"))
     items = listed.unionByName(words).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    keyed = with_alias_key(items.withColumn("word", F.trim(F.lower("item"))), table)
+    keyed = with_alias_key(
+        items.withColumn("word", F.trim(F.lower("item"))), table, shares=True)
     return keyed.select("item", "n", "key")
 
 
@@ -438,10 +443,12 @@ def photo_position(spark, sf):
     photos = views.photos(spark, sf).select("entity_id", "file", "seq", "row_key")
     listings = eligible(views.listings(spark, sf))
     found = matching.gallery_members(listings, photos)
-    ordered = matching.with_entity_order(found, photos).drop("entity_id")
+    # written: a counted small table of entities travels, and the photos stay in place
+    first = broadcast_if_small(cut(matching.entity_order(photos), "first"))
+    ordered = found.join(first, "entity_id").drop("entity_id")
     placed = ordering.position_in_group(
         ordered, "gallery", [F.col("entity_first"), F.col("seq"), F.col("row_key")],
-        kept=["gallery", "file"],
+        kept=["gallery", "file"], light=True,
     )
     return placed.select("gallery", "file", "position")
 
@@ -655,6 +662,22 @@ JOIN cosines c ON c.n = s.x GROUP BY ALL
 """)
 
 
+@F.pandas_udf("binary")
+def _pictures(vectors: pd.Series) -> pd.Series:
+    """The pixel bytes of vectors of 64 doubles; null stays null."""
+    i, c = np.divmod(np.arange(3 * _SIDE * _SIDE), 3)
+    y, x = np.divmod(i, _SIDE)
+    place = (y // 4 * 8 + x // 4 + c * 21) % 64
+    grain = (x * 7 + y * 13 + c * 5) % 17
+    found = vectors.notna()
+    made = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+    if found.any():
+        levels = np.floor((np.stack(vectors[found].to_list()) + 0.6) * 200.0).astype(np.int64)
+        pixels = np.clip(levels[:, place] + grain, 0, 255).astype(np.uint8)
+        made[found] = [row.tobytes() for row in pixels]
+    return made
+
+
 def derived_images(spark, sf) -> DataFrame:
     """One 32 x 32 picture per embedding, pixels by formula from its values."""
     def level(k):
@@ -666,7 +689,13 @@ def derived_images(spark, sf) -> DataFrame:
         return F.lpad(F.hex(F.least(F.greatest(base, F.lit(0)), F.lit(255))), 2, "0")
 
     places = F.sequence(F.lit(0), F.lit(3 * _SIDE * _SIDE - 1))
-    data = F.unhex(F.array_join(F.transform(places, level), ""))
+    slow = F.unhex(F.array_join(F.transform(places, level), ""))
+    # whole vectors of usual numbers in one step for a batch, any other by the formula
+    v = F.col("embedding")
+    usual = (F.size(v) >= 64) & F.forall(F.slice(v, 1, 64), lambda x: F.abs(x) < 1e6)
+    usual = F.coalesce(usual, F.lit(False))
+    data = F.coalesce(_pictures(F.when(usual, F.slice(v, 1, 64).cast("array<double>"))),
+                      F.when(~usual, slow))
     rows = views.table(spark, sf, "embeddings")
     return rows.select(
         "vec_id", F.col("vec_id").cast("string").alias("path"),

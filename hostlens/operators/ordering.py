@@ -9,7 +9,8 @@ from hostlens.operators.sizing import broadcast_if_small
 from hostlens.session import cut
 
 
-def _sorted_rows(df: DataFrame, order: list[Column], kept: list[str] | None = None) -> DataFrame:
+def _sorted_rows(df: DataFrame, order: list[Column], kept: list[str] | None = None,
+                 light: bool = False) -> DataFrame:
     """Range-sorted rows with their partition and their place in it, written once.
 
     Only the `kept` columns are written after the sort, all by default.
@@ -17,12 +18,15 @@ def _sorted_rows(df: DataFrame, order: list[Column], kept: list[str] | None = No
     Writing fixes the partition borders for all readers. The order must end in a
     unique key: then range partitions stay balanced however many rows share the
     leading columns. The input is written first, since a range sort reads it
-    twice: once to sample the borders, once to sort.
+    twice: once to sample the borders, once to sort. A `light` input, wide but quickly
+    made, is made twice instead.
     """
-    df = cut(df, "unsorted")
+    kept = df.columns if kept is None else kept
+    if not light:
+        df = cut(df, "unsorted")
     serial = F.monotonically_increasing_id()
     placed = df.orderBy(*order).withColumn("_serial", serial).select(
-        *(df.columns if kept is None else kept),
+        *kept,
         F.shiftright("_serial", 33).alias("_part"),
         F.col("_serial").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
     )
@@ -46,15 +50,16 @@ def rank_all(df: DataFrame, order: list[Column], name: str = "rank") -> DataFram
 
 def position_in_group(
     df: DataFrame, group: str, order: list[Column], name: str = "position",
-    kept: list[str] | None = None,
+    kept: list[str] | None = None, light: bool = False,
 ) -> DataFrame:
     """1-based position inside a group, also for a group larger than one task.
 
     Columns that serve the order alone need not be written again: `kept` names those of
-    the result, all by default.
+    the result, all by default. A `light` input is made twice, not written.
     """
     kept = df.columns if kept is None else kept
-    rows = _sorted_rows(df, [F.col(group).asc(), *order], [group, *(c for c in kept if c != group)])
+    rows = _sorted_rows(df, [F.col(group).asc(), *order], [group, *(c for c in kept if c != group)],
+                        light)
     runs = rows.groupBy(group, "_part").agg(
         F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
