@@ -476,8 +476,10 @@ WHERE room_confidence >= 0.25 AND room <> 'other' GROUP BY room""")
 def confident_rooms(spark, sf):
     from hostlens.operators.rooms import room_bit
 
-    rows = scored_photos(spark, sf).filter(room_bit() != 0)
-    return rows.groupBy("room").agg(F.count(F.lit(1)).alias("n"))
+    # counted, then dropped: a filter on rooms would move below the room rule and repeat
+    # the whole path for every keyword of every room, in code too long to compile
+    rows = scored_photos(spark, sf)
+    return rows.groupBy("room").agg(F.count_if(room_bit() != 0).alias("n")).filter("n > 0")
 
 
 @query("B17_stay_listings", "SELECT doc_id, name FROM clean_cells WHERE vertical = 'stay'")

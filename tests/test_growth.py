@@ -1,28 +1,27 @@
 """Plans and forms whose work may not grow faster than the tables."""
 
-import pytest  # noqa: F401
+import pytest
 from pyspark.sql import functions as F
 
-from hostlens.operators import rooms
-
 
 def optimised(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_a_filter_on_rooms_names_the_path_few_times(spark):
-    paths = ["a/Living-Room_1.jpg", "living.jpg", "x/pool_view.jpg", "cover.png", "img.jpg", None,
-             "bathroom/bed_room.jpg", "bath_room.jpg", "overview bedroom"]
-    want = ["living", "living", "pool", "exterior", "other", "other", "other", "other", "bedroom"]
-    frame = spark.createDataFrame([(p,) for p in paths], "p string").repartition(2)
-    # the path is an expression: every use of it that is copied is worked out again
-    seen = rooms.with_room(frame.select(F.concat("p", F.lit("")).alias("path")))
-    assert {r["path"]: r["room"] for r in seen.collect()} == dict(zip(paths, want, strict=True))
-    kept = seen.filter(rooms.room_bit() != 0).groupBy("room").count()
-    assert {r["room"]: r["count"] for r in kept.collect()} == {
-        "living": 2, "pool": 1, "exterior": 1, "bedroom": 1}
-    # once for the room, twice in the filter: confidence and room
-    assert optimised(kept).count("translate(") <= 3
+def test_confident_rooms_name_the_path_once(spark, tmp_path):
+    from hostlens.catalog.inputs import confident_rooms
+
+    parts = [0, 0, 1, 3, 4, 6, 7, 9, 12, 15, 15, 18]
+    spark.createDataFrame(
+        [(i, p, 1, 5, 10.0, 100.0, 0.1) for i, p in enumerate(parts)],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(3).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    found = confident_rooms(spark, str(tmp_path))
+    # "bath-room" is no bathroom, "img" no room; "cover" counts as exterior
+    assert {r["room"]: r["n"] for r in found.collect()} == {
+        "bedroom": 2, "living": 1, "exterior": 2, "view": 1, "kitchen": 1, "pool": 2, "bathroom": 1}
+    assert optimised(found).count("translate(") == 1
 
 
 def test_flags_are_ordered_without_structs_in_structs(spark):
