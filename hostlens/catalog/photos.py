@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from hostlens.catalog import views
 from hostlens.catalog.inputs import inventory, r6
@@ -662,7 +663,8 @@ JOIN cosines c ON c.n = s.x GROUP BY ALL
 """)
 
 
-@F.pandas_udf("binary")
+# a type in words would need a session when this module is read
+@F.pandas_udf(BinaryType())
 def _pictures(vectors: pd.Series) -> pd.Series:
     """The pixel bytes of vectors of 64 doubles; null stays null."""
     i, c = np.divmod(np.arange(3 * _SIDE * _SIDE), 3)

@@ -1,5 +1,9 @@
 """Plans and forms whose work may not grow faster than the tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +123,11 @@ def test_pictures_in_batches_are_those_of_the_formula(spark, tmp_path):
         assert got[vec_id] == bytes(want), vec_id
     # usual vectors are made by the batch, not pixel by pixel
     assert "ArrowEvalPython" in optimised(derived)
+
+
+def test_queries_are_read_without_a_session():
+    root = Path(__file__).resolve().parents[1]
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    found = subprocess.run([sys.executable, "-B", "-c", code], cwd=root, capture_output=True,
+                           text=True, timeout=120)
+    assert found.returncode == 0, found.stderr[-800:]
