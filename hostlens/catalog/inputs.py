@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -24,7 +25,7 @@ from hostlens.plans.features import (
 from hostlens.session import scratch_path
 from hostlens.settings import FEATURE_COLUMNS
 from hostlens.sources import sinks, tables
-from hostlens.sources.images import existing_files, read_images
+from hostlens.sources.images import existing_files, fewer_tasks, read_images
 
 
 def r6(c):
@@ -184,21 +185,28 @@ def _png(width: int, height: int, bgr: bytes) -> bytes:
     )
 
 
+# folders that hold the derived pictures: Spark lists this many in parallel
+_FOLDERS = 64
+
+
 def image_folder(images: DataFrame) -> str:
-    """Write derived pixels as PNG files into the shared folder, from the tasks.
+    """Write derived pixels as PNG files below the shared folder, from the tasks.
 
     The shared folder must be mounted as a file system on every executor.
     """
     folder = scratch_path(images.sparkSession, "images").removeprefix("file:")
-    Path(folder).mkdir(parents=True)
+    for k in range(_FOLDERS):
+        Path(f"{folder}/{k}").mkdir(parents=True)
 
     def save(rows) -> None:
+        token = uuid.uuid4().hex
         for row in rows:
-            target = Path(folder) / f"img_{row.vec_id}.png"
-            # a retried task replaces the file in one step
-            part_file = target.with_suffix(f".{uuid.uuid4().hex}.part")
-            part_file.write_bytes(_png(row.width, row.height, bytes(row.data)))
-            part_file.rename(target)
+            inside = f"{folder}/{(row.vec_id or 0) % _FOLDERS}"
+            # a retried task replaces the file in one step; readers pass over _ names
+            part_file = f"{inside}/_img_{row.vec_id}.{token}.part"
+            with open(part_file, "wb") as out:
+                out.write(_png(row.width, row.height, bytes(row.data)))
+            os.replace(part_file, f"{inside}/img_{row.vec_id}.png")
 
     images.select("vec_id", "height", "width", "data").foreachPartition(save)
     return folder
@@ -212,14 +220,16 @@ def image_file_scan(spark, sf):
     from hostlens.catalog.photos import derived_images
 
     folder = image_folder(derived_images(spark, sf))
-    images = read_images(spark, folder)
+    images = fewer_tasks(read_images(spark, folder))
+    images = images.withColumn("shape", F.struct("height", "width", "channels"))
     number = F.regexp_extract("path", r"img_(\d+)\.png$", 1).cast("bigint")
-    shape = images.select("path", "height", "width", "channels")
     listed = existing_files(spark, folder).withColumn("listed", F.lit(True))
-    measured = photo_metrics(images).select("path", r6(F.col("brightness")).alias("brightness"))
-    return (
-        shape.join(measured, "path").join(listed, "path", "left")
-        .select(number.alias("vec_id"), "height", "width", "channels", "listed", "brightness")
+    # each picture is decoded once: its shape comes along with its metrics
+    measured = photo_metrics(images, ("shape",)).select(
+        "path", "shape.*", r6(F.col("brightness")).alias("brightness")
+    )
+    return measured.join(listed, "path", "left").select(
+        number.alias("vec_id"), "height", "width", "channels", "listed", "brightness"
     )
 
 

@@ -1,5 +1,6 @@
 """Plans and forms whose work may not grow faster than the tables."""
 
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -131,3 +132,40 @@ def test_queries_are_read_without_a_session():
     found = subprocess.run([sys.executable, "-B", "-c", code], cwd=root, capture_output=True,
                            text=True, timeout=120)
     assert found.returncode == 0, found.stderr[-800:]
+
+
+def test_pictures_are_decoded_once_in_few_tasks(spark, tmp_path, monkeypatch):
+    from hostlens.catalog import inputs
+
+    rows = [(i, [((i * 31 + k * 17) % 97) / 97 - 0.5 for k in range(64)]) for i in range(300)]
+    rows += [(7, rows[7][1]), (300, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(inputs, "_FOLDERS", 3)
+    found = inputs.image_file_scan(spark, str(tmp_path))
+    got = {r["vec_id"]: r for r in found.collect()}
+    assert len(got) == found.count() == 301
+    assert all(tuple(r)[1:5] == (32, 32, 3, True) for r in got.values())
+    for vec_id in (0, 7, 299):
+        picture = next(bytes(r["data"]) for r in inputs_pictures(spark, tmp_path, vec_id))
+        grey = [(3735 * b + 19235 * g + 9798 * r + 16384) >> 15
+                for b, g, r in zip(picture[::3], picture[1::3], picture[2::3], strict=True)]
+        assert got[vec_id]["brightness"] == pytest.approx(sum(grey) / 1024, abs=2e-6)
+    # one scan of pictures; only the paths of the other are read
+    assert len(re.findall(r"Relation .*image", optimised(found))) == 1, optimised(found)
+
+
+def inputs_pictures(spark, path, vec_id):
+    from hostlens.catalog.photos import derived_images
+
+    return derived_images(spark, str(path)).filter(F.col("vec_id") == vec_id).collect()
+
+
+def test_small_pictures_share_a_task(spark):
+    from hostlens.sources.images import fewer_tasks
+
+    cores = spark.sparkContext.defaultParallelism
+    many, few = spark.range(0, 900, 1, 900), spark.range(0, 9, 1, 3)
+    assert fewer_tasks(many).rdd.getNumPartitions() == max(57, 2 * cores)
+    assert fewer_tasks(few).rdd.getNumPartitions() == 3
+    assert fewer_tasks(many).count() == 900
