@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.operators.sizing import broadcast_if_small
+from hostlens.operators.sizing import broadcast_if_small, lookup_side
 from hostlens.session import cut
 
 
@@ -46,23 +46,22 @@ def direct_members(photos: DataFrame) -> DataFrame:
 
 
 def unmatched_galleries(wanted: DataFrame, photos: DataFrame) -> DataFrame:
-    """Wanted galleries that no entity id names."""
-    named = direct_members(photos.select("entity_id")).select("gallery").distinct()
-    return wanted.join(named, "gallery", "left_anti")
+    """Wanted galleries that no entity id names.
 
+    Each different entity id is taken apart once. An id without digits names the empty
+    gallery, which is never wanted: a filter on it would move below the distinct ids.
+    """
+    ids = photos.select("entity_id").distinct()
+    named = ids.select(F.coalesce(id_digits(F.col("entity_id")), F.lit("")).alias("gallery"))
+    return wanted.join(named.distinct(), "gallery", "left_anti")
 
-def digit_pieces(path: Column, lengths: Column) -> Column:
-    """Distinct digit substrings of a path that have one of the given lengths."""
-    runs = F.regexp_extract_all(path, F.lit(r"(\p{Nd}+)"), F.lit(1))
-
-    def cuts(run: Column) -> Column:
-        fitting = F.filter(lengths, lambda n: n <= F.length(run))
-        return F.flatten(F.transform(fitting, lambda n: F.transform(
-            F.sequence(F.lit(1), F.length(run) - n + 1),
-            lambda start: run.substr(start, n),
-        )))
 
-    return F.array_distinct(F.flatten(F.transform(runs, cuts)))
+def digit_pieces(path: Column, lengths: list[int]) -> Column:
+    """Distinct digit substrings of a path that have one of the given lengths."""
+    # looking ahead from every place finds pieces that overlap, in one pass for a length
+    return F.array_distinct(F.concat(*[
+        F.regexp_extract_all(path, F.lit(rf"(?=(\p{{Nd}}{{{n}}}))"), F.lit(1)) for n in lengths
+    ]))
 
 
 def fallback_members(unmatched: DataFrame, photos: DataFrame) -> DataFrame | None:
@@ -80,8 +79,8 @@ def fallback_members(unmatched: DataFrame, photos: DataFrame) -> DataFrame | Non
     ]
     if not lengths:
         return None
-    sizes = F.array(*[F.lit(n) for n in sorted(lengths)])
-    exploded = photos.withColumn("gallery", F.explode(digit_pieces(F.col("file"), sizes)))
+    pieces = digit_pieces(F.col("file"), sorted(lengths))
+    exploded = photos.withColumn("gallery", F.explode(pieces))
     return exploded.join(broadcast_if_small(unmatched), "gallery", "left_semi")
 
 
@@ -94,8 +93,8 @@ def gallery_members(
     counts as a match, so it is they that decide who falls back to the paths.
     Photos of galleries that no listing wants are left out before any work on them.
     """
-    wanted = wanted_galleries(listings)
-    named = direct_members(photos).join(wanted, "gallery", "left_semi")
+    wanted = cut(wanted_galleries(listings), "wanted")
+    named = direct_members(photos).join(lookup_side(wanted), "gallery", "left_semi")
     known = photos if records is None else records
     found = fallback_members(unmatched_galleries(wanted, known), photos)
     # written once: several aggregates read it, and finding it scans every path

@@ -15,3 +15,13 @@ def broadcast_if_small(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame
     The count stops at the bound. A larger table keeps its plain shuffle join.
     """
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def lookup_side(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """Distinct short keys, counted, as the right side of a semi join.
+
+    Beyond the bound of a broadcast they are hashed share by share, so the rows that are
+    looked up, far more of them and wider, are shuffled but not sorted.
+    """
+    found = broadcast_if_small(keys, most)
+    return keys.hint("shuffle_hash") if found is keys else found

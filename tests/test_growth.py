@@ -169,3 +169,39 @@ def test_small_pictures_share_a_task(spark):
     assert fewer_tasks(many).rdd.getNumPartitions() == max(57, 2 * cores)
     assert fewer_tasks(few).rdd.getNumPartitions() == 3
     assert fewer_tasks(many).count() == 900
+
+
+def test_paths_are_taken_apart_without_a_step_for_each_piece(spark):
+    from hostlens.operators.matching import digit_pieces
+
+    paths = ["p1234/x_56٣٤.jpg", "12\U0001d7ce\U0001d7cf4", "a7b77c777", "", None, "none"]
+    frame = spark.createDataFrame(list(enumerate(paths)), "n int, path string")
+    lengths = [1, 2, 4]
+    found = frame.select("n", digit_pieces(F.col("path"), lengths).alias("pieces"))
+    for n, pieces in found.collect():
+        runs = re.findall(r"\d+", paths[n] or "")
+        want = {run[i:i + k] for run in runs for k in lengths for i in range(len(run) - k + 1)}
+        assert sorted(pieces or []) == sorted(want), paths[n]
+    assert "lambda" not in optimised(found)
+
+
+def test_wanted_galleries_are_hashed_when_they_are_many(spark):
+    from hostlens.operators.sizing import lookup_side
+
+    keys = spark.range(50).select(F.col("id").cast("string").alias("gallery"))
+    rows = spark.range(200).select((F.col("id") % 70).cast("string").alias("gallery"))
+    for most, node in ((10, "ShuffledHashJoin"), (50, "BroadcastHashJoin")):
+        found = rows.join(lookup_side(keys, most), "gallery", "left_semi")
+        assert node in found._jdf.queryExecution().sparkPlan().toString()
+        assert found.count() == sum(i % 70 < 50 for i in range(200))
+
+
+def test_entity_ids_are_taken_apart_once(spark):
+    from hostlens.operators.matching import unmatched_galleries
+
+    wanted = spark.createDataFrame([("1",), ("2",), ("3",), ("03",)], "gallery string")
+    photos = spark.createDataFrame([("a_1",), ("a_1",), ("b1",), ("3",), ("x",), ("",), (None,)],
+                                   "entity_id string")
+    found = unmatched_galleries(wanted, photos)
+    assert sorted(r[0] for r in found.collect()) == ["03", "2"]
+    assert optimised(found).count("regexp_extract(") == 1
