@@ -32,10 +32,22 @@ def file_uri(path: str) -> str:
     return f"file:{escaped}" if path.startswith("/") else escaped
 
 
+def fewer_tasks(files: DataFrame, scans: int = 16) -> DataFrame:
+    """The same files, many scan splits a task, as far as every core still has work.
+
+    A split counts each file as 4 MB (spark.sql.files.openCostInBytes), so one of small
+    files, or of names alone, ends after some 30, and starting its task takes longer.
+    The number of tasks still grows with the number of files.
+    """
+    splits = files.rdd.getNumPartitions()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(-(-splits // scans), min(splits, 2 * cores), 1))
+
+
 def existing_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Paths of all files below a folder; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(plain_path(F.col("path")).alias("path"))
+    return fewer_tasks(files.select(plain_path(F.col("path")).alias("path")))
 
 
 def read_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
@@ -45,18 +57,6 @@ def read_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     return flat_images(images).withColumn("path", plain_path(F.col("path")))
 
 
-def fewer_tasks(images: DataFrame, scans: int = 16) -> DataFrame:
-    """The same images, many scan splits a task, as far as every core still has work.
-
-    A split counts each file as 4 MB (spark.sql.files.openCostInBytes), so one of small
-    pictures ends after some 30 of them, and starting its task takes longer than they do.
-    The number of tasks still grows with the number of files.
-    """
-    splits = images.rdd.getNumPartitions()
-    cores = images.sparkSession.sparkContext.defaultParallelism
-    return images.coalesce(max(-(-splits // scans), min(splits, 2 * cores), 1))
-
-
 def _images_named(spark: SparkSession, part: DataFrame) -> DataFrame | None:
     """Decoded images of the paths of one slice; None if none of the files is there."""
     names = [row["path"] for row in part.collect()]

@@ -171,6 +171,17 @@ def test_small_pictures_share_a_task(spark):
     assert fewer_tasks(many).count() == 900
 
 
+def test_names_of_files_share_a_task(spark, tmp_path):
+    from hostlens.sources.images import existing_files
+
+    cores = spark.sparkContext.defaultParallelism
+    for k in range(40 * 2 * cores):
+        (tmp_path / f"{k}.png").write_bytes(b"x")
+    found = existing_files(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 2 * cores
+    assert found.distinct().count() == 40 * 2 * cores
+
+
 def test_paths_are_taken_apart_without_a_step_for_each_piece(spark):
     from hostlens.operators.matching import digit_pieces
 
