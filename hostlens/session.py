@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# whether the shuffle files of an execution go when it ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
                   memory: str | None = None) -> SparkSession:
@@ -47,12 +50,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
+def cut(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame:
     """Cut the lineage: write the frame once to the shared folder and read it back.
 
     The written table survives lost executors, and each reader scans only the
-    columns it needs.
+    columns it needs. The shuffle files of the write are read by nothing else and go when
+    it ends; else they would fill the disk until the driver collects its garbage. A `path`
+    below the shared folder may be given, to write over a table that is no longer read.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = path or scratch_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,12 +2,14 @@
 
 import os
 import random
+import time
 from collections import Counter
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from hostlens import session
 from hostlens.catalog.inputs import _png
 from hostlens.functions.models import blur_detector, room_predictor
 from hostlens.operators import evaluation, profiling
@@ -242,3 +244,21 @@ def test_images_are_opened_by_name_and_missing_ones_are_invalid(spark, tmp_path,
     assert all(found[p]["phash"] is None and found[p]["width"] == 0 for p in gone)
     assert not any(r["valid"] for r in measured(gone).values())
     assert measured([]) == {}
+
+
+def test_shuffle_files_of_a_cut_go_when_it_is_written(spark):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {name for folder in disk.localDirs() for _, _, names in os.walk(folder.getPath())
+                for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+    rows = spark.range(1000).withColumn("k", F.col("id") % 10)
+    sums = rows.groupBy("k").agg(F.sum("id").alias("t"))
+    before, switch = files(), spark.conf.get(session.CLEANUP)
+    found = session.cut(rows.join(sums, "k"), "sums")
+    until = time.time() + 20  # they are removed in the background
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(session.CLEANUP) == switch
+    assert found.count() == 1000 and found.agg(F.sum("t")).first()[0] == 100 * sum(range(1000))
