@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import cycle
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.llm.common import LOWER, UPPER
-from hostlens.session import cut
+from hostlens.session import cut, scratch_path
 
 DAMPING = 0.85
 TOLERANCE = 1e-6  # change of all ranks together in a step under which the propagation ends
-CUT_EVERY = 8
+CUT_EVERY = 8  # steps between two looks at the change
 MOST_RULES = 100_000  # rules up to this number are sent to all tasks
 # links of a page: the value of href or src, quoted or not
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
@@ -108,15 +110,17 @@ def personalised_rank(
     less than the tolerance together, which is looked at every CUT_EVERY steps; each step
     changes them by damping times the one before at most, so that comes. Edges are normalised
     once and written; each step is one join on the source and one aggregation with partial
-    sums, so a host with very many edges is no single task's work; steps are cut every
-    CUT_EVERY.
+    sums, so a host with very many edges is no single task's work. The ranks of each step are
+    written, in turn to one of two tables: all steps have the same short plan, and the driver
+    holds no more of them the longer it takes.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
     flow = cut(edges.join(out, ["kind", "src"]).select(
         "kind", F.col("src").alias("host"), "dst",
         (F.col("weight") / F.col("all")).alias("share")), "trust-flow")
-    base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-    rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
+    rank = cut(seeds.select("kind", "host", F.col("seed").alias("rank")), "trust-seeds")
+    base = rank.withColumn("rank", F.col("rank") * (1 - damping))
+    tables = cycle([scratch_path(edges.sparkSession, "trust-rank") for _ in range(2)])
     nothing = F.lit(0.0)
     while True:
         for step in range(1, CUT_EVERY + 1):
@@ -125,11 +129,12 @@ def personalised_rank(
                 (F.col("rank") * F.col("share") * damping).alias("rank"))
             whole = passed.unionByName(base)
             if step < CUT_EVERY:
-                rank = whole.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+                rank = cut(whole.groupBy("kind", "host").agg(F.sum("rank").alias("rank")),
+                           path=next(tables))
         both = whole.withColumn("old", nothing).unionByName(rank.select(
             "kind", "host", nothing.alias("rank"), F.col("rank").alias("old")))
         found = cut(both.groupBy("kind", "host").agg(
-            F.sum("rank").alias("rank"), F.sum("old").alias("old")), "trust-rank")
+            F.sum("rank").alias("rank"), F.sum("old").alias("old")), path=next(tables))
         rank = found.select("kind", "host", "rank")
         change = found.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         if change is None or change < tolerance:

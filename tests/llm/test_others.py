@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import corpus, edge_rows, frame, prose, words  # noqa: E402
 
-from hostlens.llm import sharding  # noqa: E402
+from hostlens.llm import link_trust, sharding  # noqa: E402
 from hostlens.llm.deobfuscation import (  # noqa: E402
     SYMBOLS, Costs, Reader, character_costs, choose_features, decode, decode_doubles, fit_toxicity, moves_of,
     score_toxicity, symbols, trigram_counts)
@@ -460,3 +460,29 @@ def test_distrust_goes_all_the_way(spark):
     ranks = [got[k]["distrust"] for k in range(20)]
     assert ranks[18] == pytest.approx(0.85 * ranks[19], abs=1e-8)
     assert ranks[0] == pytest.approx(0.85 ** 19 * ranks[19], abs=1e-8)
+
+
+def test_plans_of_the_ranks_stay_small(spark, monkeypatch):
+    """However many steps it takes, none is planned together with others."""
+    joins, cut = [], link_trust.cut
+
+    def counted(df, *names, **more):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins.append(plan.count("Join "))
+        return cut(df, *names, **more)
+
+    monkeypatch.setattr(link_trust, "cut", counted)
+    edges = spark.createDataFrame([("t", f"h{k}", f"h{k + 1}", 2.0) for k in range(30)] + [
+        ("t", "h30", "h0", 1.0), ("t", "h0", "h2", 2.0)], "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("t", "h0", 1.0)], "kind string, host string, seed double")
+    got = {r["host"]: r["rank"] for r in link_trust.personalised_rank(edges, seeds).collect()}
+    assert len(joins) > 24 and max(joins) == 1
+    want = {"h0": 1.0}
+    for _ in range(400):
+        new = Counter({"h0": 0.15})
+        for k in range(31):
+            for dst in ({0: ["h1", "h2"], 30: ["h0"]}.get(k) or [f"h{k + 1}"]):
+                new[dst] += 0.85 * want.get(f"h{k}", 0) / (2 if k == 0 else 1)
+        want = new
+    assert set(got) == set(want)
+    assert all(got[h] == pytest.approx(want[h], abs=1e-5) for h in want)
