@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,9 @@ from hostlens.session import cut
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 UNIT = 1_000_000_000
-ENTRIES = 200_000  # counted terms that a task holds before it passes them on
+MOST = ((1 << 63) - 1) // UNIT  # counts whose shares are found in 64 bits
+ENTRIES = 1 << 20  # counted terms that a task holds before it adds them up or passes them on
+PASSED = 1 << 16  # counted terms that are passed on at once
 WORD = 64  # term ids of one bitmap word
 BLOCK_ENTRIES = 1 << 17  # (source, term) entries that are compared in one task
 CELLS = 1 << 21  # pairs of bitmap words that are compared at once
@@ -26,55 +27,97 @@ CELLS = 1 << 21  # pairs of bitmap words that are compared at once
 _BYTES = bytes.maketrans(
     bytes(c for c in range(128) if chr(c) not in UPPER + LOWER) + UPPER.encode(),
     b" " * (128 - 52) + LOWER.encode())
+_TABLE = np.frombuffer(_BYTES, dtype=np.uint8)
+COUNTED = ["lang", "source", "term", "n", "docs"]
+
+
+def _counted(batch: pa.RecordBatch, groups: dict[tuple[str, str], int]) -> pa.Table:
+    """(group, term, n, docs) of the texts of one batch; their groups are numbered in `groups`."""
+    texts = batch.column(0).cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[
+        texts.offset: texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    # one blank after each text keeps their terms apart
+    data = _TABLE[np.insert(data[bounds[0]: bounds[-1]], bounds[1:] - bounds[0], 32)]
+    inner = data != 32
+    edges = np.flatnonzero(np.diff(inner, prepend=False))  # starts and ends in turn
+    ahead = np.searchsorted(edges[::2], bounds - bounds[0] + np.arange(len(texts) + 1))
+    offsets = np.zeros(len(edges) // 2 + 1, dtype=np.int32)
+    np.cumsum(edges[1::2] - edges[::2], out=offsets[1:])
+    letters = data[inner]
+    del data, inner, edges
+    terms = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [
+        None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    del offsets, letters
+    code, many = terms.indices.to_numpy().astype(np.int64), max(1, len(terms.dictionary))
+    pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+    group = np.array([groups.setdefault(pair, len(groups)) for pair in pairs], dtype=np.int64)
+    doc = np.repeat(np.arange(len(texts)), np.diff(ahead))
+    # terms of a document, then those of a group
+    found, n = np.unique(doc * many + code, return_counts=True)
+    cell = group[found // many] * many + found % many
+    order = np.argsort(cell)
+    cell, first = np.unique(cell[order], return_index=True)
+    docs = np.diff(np.append(first, len(order)))
+    return pa.table({
+        "group": pa.array(cell // many), "term": terms.dictionary.take(pa.array(cell % many)),
+        "n": pa.array(np.add.reduceat(n[order], first) if len(first) else n),
+        "docs": pa.array(docs)})
 
 
 def _term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents; term null for every group.
 
-    Texts are counted as bytes, a group's terms together, before anything is shuffled.
+    Texts are counted as bytes, a group's terms together, before anything is shuffled. Few
+    are left to be added up before the shuffle, so Spark adds them up behind it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        held = 0
-
-        def packed() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, docs_) in counts.items():
-                terms = list(n)
-                columns = [
-                    pa.array([lang] * (len(terms) + 1)), pa.array([source] * (len(terms) + 1)),
-                    pa.array([*terms, None], pa.binary()).cast(pa.string()),
-                    pa.array([*n.values(), 0], pa.int64()),
-                    pa.array([*(docs_[t] for t in terms), 0], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
-            counts.clear()
+        groups: dict[tuple[str, str], int] = {}
+        held: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            found = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate(
+                [("n", "sum"), ("docs", "sum")])
+            return found.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(
+                ["group", "term", "n", "docs"])
+
+        def packed(found: pa.Table) -> Iterator[pa.RecordBatch]:
+            langs, sources = (pa.array([pair[k] for pair in groups], pa.string()) for k in (0, 1))
+            zeros = pa.array([0] * len(groups), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [langs, sources, pa.nulls(len(groups), pa.string()), zeros, zeros], COUNTED)
+            for part in found.to_batches(max_chunksize=PASSED):
+                yield pa.RecordBatch.from_arrays(
+                    [langs.take(part.column(0)), sources.take(part.column(0)),
+                     part.column(1).cast(pa.string()), part.column(2), part.column(3)], COUNTED)
+            groups.clear()
+            held.clear()
 
         for batch in pieces(batches):
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            groups = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            for text, group in zip(texts, groups, strict=True):
-                n, docs_ = counts.setdefault(group, (Counter(), Counter()))
-                terms = text.translate(_BYTES).split()
-                before = len(n)
-                n.update(terms)
-                docs_.update(set(terms))
-                held += len(n) - before
-            if held >= ENTRIES:
-                yield from packed()
-                held = 0
-        yield from packed()
+            held.append(_counted(batch, groups))
+            if sum(t.num_rows for t in held) >= ENTRIES:
+                held[:] = [merged()]
+                if held[0].num_rows > ENTRIES // 2:
+                    yield from packed(held[0])
+        if held:
+            yield from packed(merged())
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
                          for c in ("text", "lang", "source")])
     parts = rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
-    return parts.groupBy("lang", "source", "term").agg(
+    return parts.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
     """1 + floor(UNIT * (n + 1) / (total + terms)), exactly; null without terms."""
-    top = F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
-    low = F.nullif(total + terms, F.lit(0)).cast("decimal(20,0)")
-    return F.lit(1) + F.call_function("div", top, low)
+    low = F.nullif(total + terms, F.lit(0))
+    # beyond 64 bits only
+    large = F.lit(UNIT).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
+    return F.lit(1) + F.when(
+        n < MOST, F.call_function("div", F.lit(UNIT).cast("bigint") * (n + 1), low)).otherwise(
+        F.call_function("div", large, low.cast("decimal(20,0)")))
 
 
 def _gap(p: Column, q: Column) -> Column:

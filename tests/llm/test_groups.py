@@ -163,6 +163,34 @@ def test_divergence_keeps_the_top_terms_only(spark):
     assert "WindowGroupLimit" in plan
 
 
+def test_divergence_shuffles_terms_as_tasks_counted_them(spark):
+    # a task's terms are added up already; Spark hashed all of them once more before the shuffle
+    counts = divergence._term_counts(sources(spark, [("a b", "en", "x")]))
+    below = counts._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
+    assert "MapInArrow" in below and "Aggregate" not in below
+
+
+@pytest.mark.parametrize("entries", [3_000, 30_000])
+def test_divergence_adds_up_the_terms_of_many_batches(spark, monkeypatch, entries):
+    monkeypatch.setattr(divergence, "ENTRIES", entries)
+    rng = random.Random(2)
+    names = ["".join(rng.choice("abcdé") for _ in range(6)) for _ in range(2_000)]
+    rows = [("\x00".join(rng.choices(names, k=1_500)), "en", rng.choice("xyz")) for _ in range(300)]
+    rows += [("\U0001f600\x7f" + "Z" * 1_300_000 + " tail", "en", "x"), ("", "en", "none")]
+    got = divergence.source_divergence(sources(spark, rows).coalesce(1)).collect()
+    assert sorted(map(tuple, got)) == brute_divergence(rows)
+
+
+def test_divergence_shares_are_exact_beyond_64_bits(spark):
+    most = divergence.MOST
+    rows = [(n, total, 7) for n in (0, 5, most - 1, most, most + 1, 10 ** 15)
+            for total in (n, 3 * n + 1)] + [(4, 0, 0), (most, 0, 0)]
+    got = spark.createDataFrame(rows, "n long, total long, v long").select(
+        "n", "total", "v", divergence._share(F.col("n"), F.col("total"), F.col("v")).alias("p"))
+    for n, total, v, p in got.collect():
+        assert p == (1 + 10 ** 9 * (n + 1) // (total + v) if total + v else None)
+
+
 def _speech(rng, lang, n):
     endings = {"xx": ["ung", "heit", "chen"], "yy": ["ción", "ado", "mente"], "zz": ["eau", "aux"]}
     return " ".join("".join(rng.choice("abdegiklmnorst") for _ in range(rng.randint(1, 4)))
