@@ -102,6 +102,7 @@ def _term_counts(docs: DataFrame) -> DataFrame:
                     yield from packed(held[0])
         if held:
             yield from packed(merged())
+        pa.default_memory_pool().release_unused()  # the worker lives on beside later stages
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
                          for c in ("text", "lang", "source")])
