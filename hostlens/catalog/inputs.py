@@ -22,7 +22,7 @@ from hostlens.operators.validation import require_columns, validate_features
 from hostlens.plans.features import (
     Vision, contract_rows, listing_rows, photo_rows, score_rows,
 )
-from hostlens.session import scratch_path
+from hostlens.session import cut_in_turn, scratch_path
 from hostlens.settings import FEATURE_COLUMNS
 from hostlens.sources import sinks, tables
 from hostlens.sources.images import existing_files, fewer_tasks, read_images
@@ -185,23 +185,29 @@ def _png(width: int, height: int, bgr: bytes) -> bytes:
     )
 
 
-# folders that hold the derived pictures: Spark lists this many in parallel
+# folders that hold the derived pictures of a slice: Spark lists this many in parallel
 _FOLDERS = 64
+# pictures of a slice: the driver lists the files of one slice at a time
+_SLICE = 30_000
 
 
-def image_folder(images: DataFrame) -> str:
+def image_folders(images: DataFrame) -> list[str]:
     """Write derived pixels as PNG files below the shared folder, from the tasks.
 
-    The shared folder must be mounted as a file system on every executor.
+    The shared folder must be mounted as a file system on every executor. Returns the
+    folders of the slices, of about `_SLICE` pictures each.
     """
-    folder = scratch_path(images.sparkSession, "images").removeprefix("file:")
-    for k in range(_FOLDERS):
-        Path(f"{folder}/{k}").mkdir(parents=True)
+    top = scratch_path(images.sparkSession, "images").removeprefix("file:")
+    folders, slices = _FOLDERS, -(-images.select("vec_id").count() // _SLICE) or 1
+    for k in range(slices * folders):
+        Path(f"{top}/{k % slices}/{k // slices}").mkdir(parents=True)
 
     def save(rows) -> None:
         token = uuid.uuid4().hex
         for row in rows:
-            inside = f"{folder}/{(row.vec_id or 0) % _FOLDERS}"
+            # by its name: equal ids meet in one file, whatever the ids are
+            place = zlib.crc32(str(row.vec_id).encode())
+            inside = f"{top}/{place % slices}/{place // slices % folders}"
             # a retried task replaces the file in one step; readers pass over _ names
             part_file = f"{inside}/_img_{row.vec_id}.{token}.part"
             with open(part_file, "wb") as out:
@@ -209,17 +215,11 @@ def image_folder(images: DataFrame) -> str:
             os.replace(part_file, f"{inside}/img_{row.vec_id}.png")
 
     images.select("vec_id", "height", "width", "data").foreachPartition(save)
-    return folder
+    return [f"{top}/{k}" for k in range(slices)]
 
 
-@query("A6_image_file_scan", """
-SELECT vec_id, 32 AS height, 32 AS width, 3 AS channels, true AS listed,
-  round(avg(grey), 6) AS brightness
-FROM pixel_rows GROUP BY vec_id""")
-def image_file_scan(spark, sf):
-    from hostlens.catalog.photos import derived_images
-
-    folder = image_folder(derived_images(spark, sf))
+def _scanned(spark, folder: str) -> DataFrame:
+    """Shape and brightness of the pictures below a folder, and whether they are listed."""
     images = fewer_tasks(read_images(spark, folder))
     images = images.withColumn("shape", F.struct("height", "width", "channels"))
     number = F.regexp_extract("path", r"img_(\d+)\.png$", 1).cast("bigint")
@@ -233,6 +233,19 @@ def image_file_scan(spark, sf):
     )
 
 
+@query("A6_image_file_scan", """
+SELECT vec_id, 32 AS height, 32 AS width, 3 AS channels, true AS listed,
+  round(avg(grey), 6) AS brightness
+FROM pixel_rows GROUP BY vec_id""")
+def image_file_scan(spark, sf):
+    from hostlens.catalog.photos import derived_images
+
+    folders = image_folders(derived_images(spark, sf))
+    if len(folders) == 1:
+        return _scanned(spark, folders[0])
+    return cut_in_turn((_scanned(spark, folder) for folder in folders), "pictures")
+
+
 _FEATURE_VALUES = """listing_id, round(quality_score, 6) AS quality_score,
   round(text_quality, 6) AS text_quality, round(completeness, 6) AS completeness,
   photo_status, version, quality_engine_version, config_version, explanation_json"""

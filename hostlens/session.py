@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,20 +52,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Executions inside remove their shuffle files when they end.
+
+    Else the files fill the disk until the driver collects its garbage.
+    """
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame:
     """Cut the lineage: write the frame once to the shared folder and read it back.
 
     The written table survives lost executors, and each reader scans only the
     columns it needs. The shuffle files of the write are read by nothing else and go when
-    it ends; else they would fill the disk until the driver collects its garbage. A `path`
-    below the shared folder may be given, to write over a table that is no longer read.
+    it ends. A `path` below the shared folder may be given, to write over a table that is
+    no longer read.
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with shuffles_removed(spark):
         df.write.mode("overwrite").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_in_turn(frames: Iterable[DataFrame], name: str = "step") -> DataFrame:
+    """Write frames of one schema to one table, each made when the one before is written."""
+    path = None
+    for df in frames:
+        spark, schema = df.sparkSession, df.schema
+        path = path or scratch_path(spark, name)
+        with shuffles_removed(spark):
+            df.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

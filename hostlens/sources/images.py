@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from hostlens.sources.replace import is_there
 
 # image files whose names the driver holds at a time, as the plan of one scan
 FILES_PER_SCAN = 200_000
+# how many bytes of listed files the driver keeps, though no later scan finds them again
+LISTINGS = "spark.sql.hive.filesourcePartitionFileCacheSize"
 # what an image that can't be read measures; it has no hash
 _INVALID = {"valid": False, "width": 0, "height": 0, "sharpness": 0.0, "colorfulness": 0.0,
             "contrast": 0.0, "brightness": 0.0}
@@ -44,16 +48,31 @@ def fewer_tasks(files: DataFrame, scans: int = 16) -> DataFrame:
     return files.coalesce(max(-(-splits // scans), min(splits, 2 * cores), 1))
 
 
+@contextmanager
+def listings_dropped(spark: SparkSession) -> Iterator[None]:
+    """Folders loaded inside are listed for their own scan alone, and the list goes with it."""
+    before = spark.conf.get(LISTINGS)
+    spark.conf.set(LISTINGS, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTINGS, before)
+
+
 def existing_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Paths of all files below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    with listings_dropped(spark):
+        files = reader.load(folder)
     return fewer_tasks(files.select(plain_path(F.col("path")).alias("path")))
 
 
 def read_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """Decoded images below a folder; an unreadable file has a negative height."""
-    images = spark.read.format("image").option("recursiveFileLookup", "true").option(
-        "ignoreMissingFiles", "true").load(folder)
+    reader = spark.read.format("image").option("recursiveFileLookup", "true").option(
+        "ignoreMissingFiles", "true")
+    with listings_dropped(spark):
+        images = reader.load(folder)
     return flat_images(images).withColumn("path", plain_path(F.col("path")))
 
 

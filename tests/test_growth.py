@@ -155,6 +155,48 @@ def test_pictures_are_decoded_once_in_few_tasks(spark, tmp_path, monkeypatch):
     assert len(re.findall(r"Relation .*image", optimised(found))) == 1, optimised(found)
 
 
+def test_the_driver_lists_a_slice_of_the_pictures_at_a_time(spark, tmp_path, monkeypatch):
+    from hostlens.catalog import inputs
+
+    rows = [(i * 64, [((i * 31 + k * 17) % 97) / 97 - 0.5 for k in range(64)]) for i in range(90)]
+    rows += [rows[7], (5, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(inputs, "_FOLDERS", 3)
+    want = sorted(map(tuple, inputs.image_file_scan(spark, str(tmp_path)).collect()), key=str)
+    assert len(want) == 91
+    listed = []
+
+    def watched(read):
+        def run(spark, folder):
+            listed.append(sum(1 for p in Path(folder).rglob("*.png")))
+            return read(spark, folder)
+        return run
+
+    monkeypatch.setattr(inputs, "read_images", watched(inputs.read_images))
+    monkeypatch.setattr(inputs, "existing_files", watched(inputs.existing_files))
+    monkeypatch.setattr(inputs, "_SLICE", 30, raising=False)
+    got = inputs.image_file_scan(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == want
+    # each picture is listed by two scans, in more than one slice
+    assert sum(listed) == 2 * 91 and max(listed) < 60
+
+
+def test_listings_of_files_are_not_kept(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    from hostlens.sources.images import existing_files, read_images
+
+    (tmp_path / "a.png").write_bytes(b"x")
+    size = "spark.sql.hive.filesourcePartitionFileCacheSize"
+    before, seen, load = spark.conf.get(size), [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, *a, **b: (
+        seen.append(spark.conf.get(size)), load(self, *a, **b))[1])
+    assert existing_files(spark, str(tmp_path)).count() == 1
+    assert read_images(spark, str(tmp_path)).count() == 1
+    assert seen[0] == seen[-1] == "0" and spark.conf.get(size) == before
+
+
 def inputs_pictures(spark, path, vec_id):
     from hostlens.catalog.photos import derived_images
 
