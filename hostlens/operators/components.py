@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlens.session import cut
+from hostlens.session import cut, is_empty
 
 
 def _toward_min(pairs: DataFrame, key: str) -> DataFrame:
@@ -40,7 +40,7 @@ def _is_star_forest(stars: DataFrame, key: str) -> bool:
     nodes = ends.groupBy(key, "node").agg(
         F.max("centre").alias("centre"), F.sum("leaf").alias("leaf")
     )
-    return nodes.filter(F.col("centre") + F.col("leaf") > 1).isEmpty()
+    return is_empty(nodes.filter(F.col("centre") + F.col("leaf") > 1))
 
 
 def component_roots(edges: DataFrame, key: str) -> DataFrame:

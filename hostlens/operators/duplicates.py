@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from hostlens.functions.similarity import hamming
 from hostlens.operators.components import component_roots
 from hostlens.operators.sizing import broadcast_if_small
-from hostlens.session import cut
+from hostlens.session import cut, is_empty
 
 BUCKET_ROWS = 1024
 HASH_BITS = 64
@@ -199,7 +199,7 @@ def _split_edges(hashes: DataFrame, threshold: int, limit: int) -> DataFrame:
         large = sizes.filter(F.col("size") > limit).drop("size")
         checked = rooted.join(broadcast_if_small(small), _BUCKET, "left_semi")
         edges = cut(edges.unionByName(_edges_inside(checked, _BUCKET, unlinked)).distinct())
-        if large.isEmpty():
+        if is_empty(large):
             return edges
         rows = rooted.join(broadcast_if_small(large), _BUCKET, "left_semi").drop("root")
     rooted = cut(_rooted(rows, edges))
@@ -216,7 +216,7 @@ def near_edges(hashes: DataFrame, threshold: int, limit: int = BUCKET_ROWS) -> D
     """
     sizes = hashes.groupBy("gallery").count().filter(F.col("count") > limit)
     large = cut(sizes.select("gallery"))
-    if large.isEmpty():
+    if is_empty(large):
         return _edges_inside(hashes, ["gallery"], _close(threshold))
     large = broadcast_if_small(large)
     small_part = hashes.join(large, "gallery", "left_anti")

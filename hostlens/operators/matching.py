@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlens.operators.sizing import broadcast_if_small, lookup_side
-from hostlens.session import cut
+from hostlens.session import cut, shuffles_removed
 
 
 def id_digits(c: Column) -> Column:
@@ -74,9 +74,10 @@ def fallback_members(unmatched: DataFrame, photos: DataFrame) -> DataFrame | Non
     """
     unmatched = cut(unmatched)
     # one row per distinct length of an id's digits: at most the longest id
-    lengths = [
-        row["n"] for row in unmatched.groupBy(F.length("gallery").alias("n")).count().collect()
-    ]
+    with shuffles_removed(unmatched.sparkSession):
+        lengths = [
+            row["n"] for row in unmatched.groupBy(F.length("gallery").alias("n")).count().collect()
+        ]
     if not lengths:
         return None
     pieces = digit_pieces(F.col("file"), sorted(lengths))
@@ -84,21 +85,40 @@ def fallback_members(unmatched: DataFrame, photos: DataFrame) -> DataFrame | Non
     return exploded.join(broadcast_if_small(unmatched), "gallery", "left_semi")
 
 
-def gallery_members(
+def only_wanted(rows: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """Rows whose gallery is wanted; None stands for galleries that are left out already."""
+    return rows if wanted is None else rows.join(lookup_side(wanted), "gallery", "left_semi")
+
+
+def open_members(
     listings: DataFrame, photos: DataFrame, records: DataFrame | None = None,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame | None]:
     """Photo rows with their gallery: named by the entity, else found in the path.
 
     `records` are all photo records; an entity without any existing photo still
     counts as a match, so it is they that decide who falls back to the paths.
-    Photos of galleries that no listing wants are left out before any work on them.
+    Photos of galleries that no listing wants are left out before any work on them, as far
+    as the wanted ones are few enough to travel. Else leaving them out would shuffle all
+    photos whole, and they stay: the second frame then holds the wanted galleries, for
+    `only_wanted` on rows that are shuffled by gallery anyway. It is None otherwise.
     """
     wanted = cut(wanted_galleries(listings), "wanted")
-    named = direct_members(photos).join(lookup_side(wanted), "gallery", "left_semi")
+    sure = broadcast_if_small(wanted)
+    named = direct_members(photos)
+    if sure is not wanted:
+        named = named.join(sure, "gallery", "left_semi")
     known = photos if records is None else records
     found = fallback_members(unmatched_galleries(wanted, known), photos)
     # written once: several aggregates read it, and finding it scans every path
-    return named if found is None else named.unionByName(cut(found, "fallback"))
+    members = named if found is None else named.unionByName(cut(found, "fallback"))
+    return members, wanted if sure is wanted else None
+
+
+def gallery_members(
+    listings: DataFrame, photos: DataFrame, records: DataFrame | None = None,
+) -> DataFrame:
+    """Photo rows of the wanted galleries alone, as `open_members` finds them."""
+    return only_wanted(*open_members(listings, photos, records))
 
 
 def entity_order(photos: DataFrame) -> DataFrame:

@@ -38,14 +38,22 @@ def photo_flag(s: Settings = DEFAULTS) -> Column:
     )
 
 
-def flagged_photos(photos: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """The long table of flagged photos, one row each, whole."""
+def flagged_rows(photos: DataFrame) -> DataFrame:
+    """Flagged photos with what their reason is made of, shorter than the reason."""
     kept = [c for c in ("gallery", "entity_id", "seq", "row_key") if c in photos.columns]
     return photos.filter(F.col("is_blurry") | F.col("is_low_resolution")).select(
-        *kept, "path", photo_flag(s).alias("reason"), "width", "height"
+        *kept, "path", "width", "height", "is_blurry", "is_low_resolution", "room",
+        "room_confidence",
     )
 
 
+def flagged_photos(photos: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """The long table of flagged photos, one row each, whole."""
+    flagged = flagged_rows(photos)
+    kept = [c for c in ("gallery", "entity_id", "seq", "row_key") if c in flagged.columns]
+    return flagged.select(*kept, "path", photo_flag(s).alias("reason"), "width", "height")
+
+
 def suggestions(all_issues: Column) -> Column:
     """Next steps; looks at the full issue list, before it is shortened."""
     blurry = F.when(F.col("blurry_count") > 0, F.array(F.concat(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostlens.session import shuffles_removed
+
 # a broadcast table may hold this many short keys (about 10 MB)
 BROADCAST_KEYS = 200_000
 
@@ -14,7 +16,9 @@ def broadcast_if_small(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame
 
     The count stops at the bound. A larger table keeps its plain shuffle join.
     """
-    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+    with shuffles_removed(keys.sparkSession):
+        few = keys.limit(most + 1).count() <= most
+    return F.broadcast(keys) if few else keys
 
 
 def lookup_side(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:

@@ -87,20 +87,50 @@ def flat_keys(df: DataFrame, name: str) -> list[Column]:
     return [F.col(name).isNotNull(), *[F.col(name)[f.name] for f in kind.fields]]
 
 
+def entity_starts(members: DataFrame, photos: DataFrame) -> DataFrame:
+    """(gallery, entity_id, entity_first) of the galleries and entities of members.
+
+    An entity that names its gallery needs no look at the members.
+    """
+    first = matching.entity_order(photos)
+    named = first.withColumn("gallery", matching.id_digits(F.col("entity_id")))
+    others = members.select("gallery", "entity_id").filter(
+        F.col("gallery") != matching.id_digits(F.col("entity_id"))
+    ).distinct().join(first, "entity_id")
+    return named.filter("gallery <> ''").unionByName(others)
+
+
 def gallery_flags(members: DataFrame, photos: DataFrame, s: Settings) -> DataFrame:
     """All flagged photos of each gallery as one ordered array.
 
     The array is one cell of the feature table by contract, whatever its size; the
-    flag table has the same rows one by one.
+    flag table has the same rows one by one. Flagged photos are shuffled once, by gallery,
+    together with the first photos of the entities, and without what can be made afterwards:
+    the list of an entity meets its first photo there, which orders the lists of a gallery.
     """
-    ordered = matching.with_entity_order(scoring.flagged_photos(members, s), photos)
-    order = [key for c in ("entity_first", "seq", "row_key") for key in flat_keys(ordered, c)]
-    return ordered.groupBy("gallery").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct(
-            *[key.alias(f"_{i}") for i, key in enumerate(order)], "path", "reason",
+    flagged = scoring.flagged_rows(members).filter("entity_id is not null")
+    # written: few rows are left of the shuffle, which goes
+    starts = cut(entity_starts(flagged, photos), "starts").withColumn("_there", F.lit(True))
+    minor = [key for c in ("seq", "row_key") for key in flat_keys(flagged, c)]
+    order = [f"_{i}" for i in range(len(minor))]
+    small = flagged.withColumns(dict(zip(order, minor, strict=True))).drop("seq", "row_key")
+    met = small.unionByName(starts, allowMissingColumns=True).repartition("gallery")
+    lists = met.groupBy("gallery", "entity_id").agg(
+        F.collect_list(F.when(F.col("_there").isNull(), F.struct(
+            *order, "path", scoring.photo_flag(s).alias("reason"),
             F.col("width").cast("int").alias("width"),
             F.col("height").cast("int").alias("height"),
-        ))),
+        ))).alias("_flags"),
+        F.max("entity_first").alias("entity_first"), F.max("_there").alias("_there"),
+    ).filter(F.col("_there") & (F.size("_flags") > 0))
+    return lists.groupBy("gallery").agg(F.transform(
+        F.flatten(F.transform(
+            F.sort_array(F.collect_list(F.struct(
+                *[key.alias(f"_{i}") for i, key in enumerate(flat_keys(lists, "entity_first"))],
+                F.sort_array("_flags").alias("_flags"),
+            ))),
+            lambda entity: entity["_flags"],
+        )),
         lambda flag: F.struct(
             flag["path"].alias("path"), flag["reason"].alias("reason"),
             flag["width"].alias("width"), flag["height"].alias("height"),
@@ -110,15 +140,21 @@ def gallery_flags(members: DataFrame, photos: DataFrame, s: Settings) -> DataFra
 
 def gallery_rows(
     members: DataFrame, photos: DataFrame, s: Settings = DEFAULTS,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
-    """Everything the scores need from a gallery, one row each."""
+    """Everything the scores need from a gallery, one row each.
+
+    Unwanted galleries are left out here where `wanted` is given. Steps that shuffle much
+    for few rows are written, so that their shuffles do not lie beside that of the flags.
+    """
     counted = members.groupBy("gallery").agg(
         *technical.technical_aggregates(), rooms.room_aggregate(s),
         amenities.amenity_aggregate(),
     )
-    stats = technical.with_duplicate_groups(
-        counted, duplicate_groups(members, s.hash_threshold)
-    )
+    hashes = matching.only_wanted(members.select("gallery", "phash"), wanted)
+    stats = cut(technical.with_duplicate_groups(
+        matching.only_wanted(counted, wanted), duplicate_groups(hashes, s.hash_threshold)
+    ), "stats")
     flags = gallery_flags(members, photos, s)
     return stats.join(flags, "gallery", "left")
 
@@ -197,9 +233,11 @@ def build_features(
     chosen = listings if limit is None else first_listings(listings, limit)
     chosen = eligible(chosen)
     known = photos if records is None else records
+    wanted = None
     if members is None:
-        members = scored_members(chosen, photos, vision, s, known)
-    galleries = gallery_rows(members, known, s)
+        members, wanted = matching.open_members(chosen, photos, known)
+        members = photo_rows(members, vision, s)
+    galleries = gallery_rows(members, known, s, wanted)
     return contract_rows(
         score_rows(listing_rows(chosen, s), galleries, vision, calibrator, s), s
     )

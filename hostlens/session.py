@@ -81,6 +81,15 @@ def cut(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_empty(df: DataFrame) -> bool:
+    """Whether a frame has no rows.
+
+    Unlike those of `isEmpty`, the shuffle files of a count go when it ends.
+    """
+    with shuffles_removed(df.sparkSession):
+        return df.limit(1).count() == 0
+
+
 def cut_in_turn(frames: Iterable[DataFrame], name: str = "step") -> DataFrame:
     """Write frames of one schema to one table, each made when the one before is written."""
     path = None

@@ -258,3 +258,103 @@ def test_entity_ids_are_taken_apart_once(spark):
     found = unmatched_galleries(wanted, photos)
     assert sorted(r[0] for r in found.collect()) == ["03", "2"]
     assert optimised(found).count("regexp_extract(") == 1
+
+
+def test_flagged_photos_are_shuffled_once(spark):
+    import random
+
+    from hostlens.plans.features import gallery_flags
+    from hostlens.settings import DEFAULTS
+
+    rng, rows = random.Random(3), []
+    for i in range(120):
+        # entities that name their gallery, one found by paths in many, and none
+        entity, gallery = rng.choice([("a_7", "7"), ("b7", "7"), ("c_12", "12"), ("misc", "31"),
+                                      ("misc", "44"), ("x_9", "44"), (None, "7")])
+        rows.append((gallery, entity, rng.choice([None, 1, 2]), (rng.randint(0, 9), i), f"p{i}",
+                     rng.random() < 0.4, rng.random() < 0.4, rng.choice(["pool", "other", None]),
+                     rng.choice([0.2, 0.5]), 10 + i, 20))
+    frame = spark.createDataFrame(rows, (
+        "gallery string, entity_id string, seq long, row_key struct<a:long,b:long>, path string, "
+        "is_blurry boolean, is_low_resolution boolean, room string, room_confidence double, "
+        "width long, height long")).repartition(4)
+    flags = gallery_flags(frame, frame, DEFAULTS)
+    assert flags._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    got = {r["gallery"]: [f["path"] for f in r["bad_photos"]] for r in flags.collect()}
+    first, want = {}, {}
+    for _, entity, _, key, *_ in rows:
+        first[entity] = min(key, first.get(entity, key))
+    for g, e, seq, key, path, blurry, low, *_ in rows:
+        if e is not None and (blurry or low):
+            want.setdefault(g, []).append((first[e], seq is not None, seq or 0, key, path))
+    assert got == {g: [x[-1] for x in sorted(found)] for g, found in want.items()}
+    reasons = {f["path"]: f["reason"] for r in flags.collect() for f in r["bad_photos"]}
+    assert all(reasons[r[4]].startswith("Blurry" if r[5] else "Below")
+               for r in rows if r[1] is not None and (r[5] or r[6]))
+
+
+def _members(spark):
+    rows = [(f"a_{g:02d}" if g % 5 else "misc", f"p/{g:02d}/{i}.jpg", 7 - i % 3, (i, g))
+            for i in range(8) for g in range(12)]
+    rows += [("b_03", "p/03/x.jpg", 1, (3, 0)), (None, "p/05/y.jpg", 1, (0, 0))]
+    photos = spark.createDataFrame(
+        rows, "entity_id string, file string, seq long, row_key struct<a:long,b:long>")
+    listings = spark.createDataFrame([(f"l_{g:02d}",) for g in range(2, 9)], "listing_id string")
+    return listings, photos.repartition(3)
+
+
+def test_many_wanted_galleries_do_not_shuffle_the_photos(spark, monkeypatch):
+    from hostlens.operators import matching
+
+    listings, photos = _members(spark)
+    want = sorted(matching.gallery_members(listings, photos).collect(), key=str)
+    found, wanted = matching.open_members(listings, photos)
+    assert wanted is None and sorted(found.collect(), key=str) == want
+    monkeypatch.setattr(matching, "broadcast_if_small", lambda keys: keys)
+    found, wanted = matching.open_members(listings, photos)
+    assert "Join" not in optimised(found)
+    assert sorted(matching.only_wanted(found, wanted).collect(), key=str) == want
+    assert sorted(matching.gallery_members(listings, photos).collect(), key=str) == want
+
+
+def test_features_are_the_same_for_many_wanted_galleries(spark, monkeypatch):
+    from hostlens.operators import matching
+    from hostlens.plans.features import Vision, gallery_rows, photo_rows
+
+    listings, photos = _members(spark)
+    photos = photos.select(
+        "*", F.col("file").alias("path"), (F.col("seq") * 300).alias("width"),
+        F.lit(700).alias("height"), (F.col("row_key.a") * 40.0).alias("sharpness"),
+        F.lit(20.0).alias("colorfulness"), F.lit(30.0).alias("contrast"),
+        F.lit(90.0).alias("brightness"), F.lit(True).alias("valid"),
+        (F.col("row_key.a") * 4095).alias("phash"))
+
+    def rows():
+        members, wanted = matching.open_members(listings, photos)
+        members = photo_rows(members, Vision())
+        found = gallery_rows(members, photos, wanted=wanted)
+        assert wanted is None or found.count() == 7
+        return sorted(found.collect(), key=lambda r: r["gallery"])
+
+    want = rows()
+    assert len(want) == 7 and any(r["bad_photos"] for r in want)
+    monkeypatch.setattr(matching, "broadcast_if_small", lambda keys: keys)
+    assert rows() == want
+
+
+def test_looks_and_counts_leave_no_shuffle_files(spark):
+    import time
+
+    from hostlens.operators.sizing import broadcast_if_small
+    from hostlens.session import is_empty
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    groups = spark.range(1000).groupBy((F.col("id") % 300).alias("g")).count()
+    before = blocks.getAllBlocks().size()
+    assert not is_empty(groups) and is_empty(groups.filter("g < 0"))
+    broadcast_if_small(groups, 100)
+    for _ in range(50):
+        if blocks.getAllBlocks().size() <= before:
+            break
+        time.sleep(0.2)
+    assert blocks.getAllBlocks().size() <= before
