@@ -21,7 +21,6 @@ from hostlens.functions.similarity import hamming, prompt_softmax
 from hostlens.operators import amenities, duplicates, matching, ordering, rooms, technical
 from hostlens.operators.aliases import with_alias_key
 from hostlens.operators.pixels import photo_metrics
-from hostlens.operators.sizing import broadcast_if_small
 from hostlens.plans.features import Vision, photo_rows
 from hostlens.session import cut
 from hostlens.settings import AMENITY_LABELS, DEFAULTS, EXPECTED_ROOMS, ROOM_LABELS
@@ -443,13 +442,13 @@ FROM members m JOIN entity_order o ON o.entity_id = m.entity_id""")
 def photo_position(spark, sf):
     photos = views.photos(spark, sf).select("entity_id", "file", "seq", "row_key")
     listings = eligible(views.listings(spark, sf))
-    found = matching.gallery_members(listings, photos)
-    # written: a counted small table of entities travels, and the photos stay in place
-    first = broadcast_if_small(cut(matching.entity_order(photos), "first"))
-    ordered = found.join(first, "entity_id").drop("entity_id")
-    placed = ordering.position_in_group(
-        ordered, "gallery", [F.col("entity_first"), F.col("seq"), F.col("row_key")],
-        kept=["gallery", "file"], light=True,
+    found, wanted = matching.open_members(listings, photos)
+    # written: the shuffle that finds the first photos goes
+    first = cut(matching.entity_order(photos), "first")
+    # the photos of an entity follow each other, in the place of its first one
+    placed = ordering.position_by_section(
+        found, "gallery", "entity_id", first, [F.col("seq"), F.col("row_key")],
+        kept=["gallery", "file"], groups=wanted,
     )
     return placed.select("gallery", "file", "position")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostlens.operators.sizing import broadcast_if_small
+from hostlens.operators.sizing import broadcast_if_small, lookup_side
 from hostlens.session import cut
 
 
@@ -74,3 +74,36 @@ def position_in_group(
     return placed.withColumn(
         name, F.col("_place") - F.col("_first") + F.col("_before") + 1
     ).drop("_part", "_place", "_first", "_n", "_before")
+
+
+def position_by_section(
+    df: DataFrame, group: str, section: str, starts: DataFrame, order: list[Column],
+    name: str = "position", kept: list[str] | None = None, groups: DataFrame | None = None,
+) -> DataFrame:
+    """1-based position inside a group whose sections follow each other whole.
+
+    `starts` says where a section comes, by its columns beside `section`, which differ
+    between the sections of a group; sections without a start are left out, and groups
+    that are not among `groups`, if given. Rows are sorted by the section itself, and only
+    counted runs of rows meet `starts` and `groups`, not the rows before their sort.
+    """
+    kept = df.columns if kept is None else kept
+    keys = [group, section]
+    rows = _sorted_rows(df, [F.col(group).asc(), F.col(section).asc(), *order],
+                        [*keys, *(c for c in kept if c not in keys)], light=True)
+    runs = rows.groupBy(*keys, "_part").agg(
+        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    places = [c for c in starts.columns if c != section]
+    met = runs.join(starts, section)
+    if groups is not None:
+        met = met.join(lookup_side(groups), group, "left_semi")
+    earlier = (
+        Window.partitionBy(group).orderBy(*places, section, "_part")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    runs = cut(met.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select(
+        *keys, "_part", "_first", "_before"), "runs")
+    placed = rows.join(broadcast_if_small(runs), [*keys, "_part"])
+    return placed.select(*kept, (
+        F.col("_place") - F.col("_first") + F.col("_before") + 1).alias(name))

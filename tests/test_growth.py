@@ -342,6 +342,37 @@ def test_features_are_the_same_for_many_wanted_galleries(spark, monkeypatch):
     assert rows() == want
 
 
+def test_photos_meet_no_table_before_they_are_sorted(spark, monkeypatch):
+    from hostlens.operators import matching, ordering
+    from hostlens.session import cut
+
+    listings, photos = _members(spark)
+    members = matching.gallery_members(listings, photos).collect()
+    first, want = {}, {}
+    for r in photos.collect():
+        first[r.entity_id] = min(r.row_key, first.get(r.entity_id, r.row_key))
+    for r in members:
+        if r.entity_id is not None:
+            want.setdefault(r.gallery, []).append(
+                (first[r.entity_id], r.entity_id, r.seq, r.row_key, r.file))
+    want = sorted((g, x[-1], n) for g, found in want.items()
+                  for n, x in enumerate(sorted(found), 1))
+    seen, sort = [], ordering._sorted_rows
+    monkeypatch.setattr(ordering, "_sorted_rows",
+                        lambda df, *a, **b: (seen.append(optimised(df)), sort(df, *a, **b))[1])
+    for small in (True, False):
+        if not small:
+            monkeypatch.setattr(matching, "broadcast_if_small", lambda keys: keys)
+            monkeypatch.setattr(ordering, "broadcast_if_small", lambda keys: keys)
+        found, wanted = matching.open_members(listings, photos)
+        placed = ordering.position_by_section(
+            found, "gallery", "entity_id", cut(matching.entity_order(photos)),
+            [F.col("seq"), F.col("row_key")], kept=["gallery", "file"], groups=wanted)
+        assert placed.columns == ["gallery", "file", "position"]
+        assert sorted(map(tuple, placed.collect())) == want
+    assert "Join" not in seen[1] and seen[0].count("Join") <= 2
+
+
 def test_looks_and_counts_leave_no_shuffle_files(spark):
     import time
 
